@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import packing, quality
 from .common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's vocabulary on this machine; every worker has the same."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_residual_packing": op10_residual_packing,
     "op6_compression_bands": op6_compression_bands,
 }
 
