@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality
+from . import decontaminate, langid, packing, quality, secrets, warc
 from .common import table
 
 
@@ -25,9 +25,43 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_records(spark, warc.write_archives(table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_crf_language": op2_crf_language,
+    "op4_crf_secrets": op4_crf_secrets,
+    "op7_qgram_decontamination": op7_qgram_decontamination,
+    "op9_warc_index": op9_warc_index,
     "op10_residual_packing": op10_residual_packing,
     "op6_compression_bands": op6_compression_bands,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # Five hexadecimal digits are four letters of base 32.
+    "op9_warc_index": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS sha FROM pages
+        ), f AS (SELECT sha, min(page_id) AS first FROM p GROUP BY sha)
+        SELECT page_id, n::BIGINT AS payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    ((('0x' || substr(sha, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM p JOIN f USING (sha)
+    """,
+}
