@@ -1,7 +1,7 @@
-"""Remembered results for the words of a text.
+"""Numbers for the words of texts.
 
-Texts repeat their words, so what depends on a word alone is worked out once in each worker:
-a whole text is then one dictionary look-up for each word and one numpy gather.
+Texts repeat their words, so what depends on a word alone is worked out once in each worker: a
+whole text is then one dictionary look-up for each word and one numpy gather.
 """
 
 from __future__ import annotations
@@ -11,11 +11,8 @@ from itertools import chain
 
 import numpy as np
 
-REMEMBERED = 300_000
-#: Words that `learn` gets at once.
+#: New words that `learn` gets at once.
 LEARNED = 20_000
-
-
 _KEPT: dict[str, tuple[str, object]] = {}
 
 
@@ -24,60 +21,39 @@ def kept(name: str, key: str, make: Callable[[], object]) -> object:
 
     Only the latest key of each name is held.
     """
-    if _KEPT.get(name, ("", None))[0] != key:
+    if name not in _KEPT or _KEPT[name][0] != key:
         _KEPT[name] = (key, make())
     return _KEPT[name][1]
 
 
-class Memo:
-    """word (bytes) -> a list of non-negative integers, worked out by `learn(words)`.
+def grown(array: np.ndarray, rows: int) -> np.ndarray:
+    """The array, with room for so many rows."""
+    while len(array) < rows:
+        array = np.concatenate([array, np.zeros_like(array)])
+    return array
 
-    Forgets everything once more than `remembered` words are held, at the start of a batch, so a
-    worker's memory is bounded; `forgot` is called then.
-    """
 
-    def __init__(self, learn: Callable[[list[str]], list[list[int]]], remembered: int = REMEMBERED, forgot: Callable[[], None] | None = None):
-        self.learn, self.remembered, self.forgot = learn, remembered, forgot
-        self.forget()
+class Numbers:
+    """Words numbered from 0 as they are met.
 
-    def forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
-        self.used = 0
-        if self.forgot:
-            self.forgot()
-
-    def add(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), LEARNED):
-            self._add(words[i : i + LEARNED])
+    cut(text) gives a text's words; learn(words, first) is told of new words, which get the
+    numbers from `first` on. With more than `most` words all is forgotten at the start of a batch,
+    so a worker's memory is bounded; `first` is then 0 again.
+    """
 
-    def _add(self, words: list[bytes]) -> None:
-        lists = self.learn([w.decode("utf-8", "replace") for w in words])
-        n, k = len(words), len(self.at)
-        sizes = np.fromiter(map(len, lists), np.int64, n)
-        new = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + n > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-        self.flat[self.used : self.used + len(new)] = new
-        self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
-        self.count[k : k + n] = sizes
-        self.used += len(new)
-        self.at.update(zip(words, range(k, k + n)))
+    def __init__(self, cut: Callable[[str], list], learn: Callable[[list, int], None], most: int = 600_000):
+        self.cut, self.learn, self.most = cut, learn, most
+        self.at: dict = {}
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words of all texts in turn, and how many belong to each text."""
-        if len(self.at) > self.remembered:
-            self.forget()
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        self.add(sorted(set().union(*split).difference(self.at)))
-        get = self.at.__getitem__
-        words = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(words.sum()))
-        sizes = self.count[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[at] - ends[:-1], sizes)]
-        return flat, np.diff(ends[np.concatenate([[0], np.cumsum(words)])])
+        if len(self.at) > self.most:
+            self.at = {}
+        split = [self.cut(t) for t in texts]
+        fresh = sorted(set().union(*split).difference(self.at))
+        for i in range(0, len(fresh), LEARNED):
+            words, first = fresh[i : i + LEARNED], len(self.at)
+            self.learn(words, first)
+            self.at.update(zip(words, range(first, first + len(words))))
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        return np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum())), sizes

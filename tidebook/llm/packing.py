@@ -10,9 +10,12 @@ bins. An underfull bin carries only the keys and lengths of its pieces.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, staged, texts_of
+from .memo import Numbers, grown, kept
 
 SEQUENCE = 2048
 #: A bin with at most this share of room left is emitted before the last round.
@@ -29,70 +33,62 @@ LEAST_GAIN = 0.01
 FAN_IN = 8
 #: Items that one task packs in the first round (about 24 bytes each).
 ITEMS_PER_TASK = 200_000
-#: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Encoder:
-    """Ids of whole texts, remembering those of the space-separated words already met.
+# How the tokenizer cuts a normalised text into parts that it encodes one by one,
+# for texts within Latin-1: letters, single numerals, contractions, and what else is not space.
+LETTERS, NUMERALS, BLANK = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+PARTS = re.compile(f"[{LETTERS}]+|[{NUMERALS}]|'(?:s|t|re|ve|m|ll|d)|[^{BLANK}{LETTERS}{NUMERALS}]+")
+BEYOND = re.compile("[^\u0000-\u00ff]")
+
 
-    The tokenizer turns white space into separators that no token crosses and handles what lies
-    between them one by one, so the ids of a text are those of its ASCII-space-separated words in
-    turn. (NFC and lower-casing do not cross white space either.)
+def parts_of(text: str) -> list[str]:
+    """Parts whose ids, in turn, are those of the text.
+
+    Within Latin-1 normalising only puts letters in lower case and spaces together. In other texts
+    words with other characters stay whole, since no token crosses white space.
     """
+    if not BEYOND.search(text):
+        return PARTS.findall(text.lower())
+    out: list[str] = []
+    for w in text.encode("utf-8", "replace").split():
+        word = w.decode("utf-8")
+        out += [word] if BEYOND.search(word) else PARTS.findall(word.lower())
+    return out
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self.forget()
+class Encoder:
+    """Ids of whole texts, remembering those of the parts already met."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
+        from tokenizers import Tokenizer
 
-    def forget(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.numbers = Numbers(parts_of, self._learn)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
-        self.used = 0
 
-    def learn(self, words: list[bytes]) -> None:
-        if not words:
-            return
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        lists = [f.ids for f in found]
-        flat = np.fromiter((i for x in lists for i in x), np.uint32)
-        k, n = len(self.at), len(words)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + n > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-        sizes = np.fromiter(map(len, lists), np.int64, n)
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
-        self.count[k : k + n] = sizes
-        self.used += len(flat)
-        self.at.update(zip(words, range(k, k + n)))
+    def _learn(self, parts: list[str], first: int) -> None:
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        used = int(self.begin[first - 1] + self.count[first - 1]) if first else 0
+        total, last = int(sizes.sum()), first + len(parts)
+        self.ids, self.begin, self.count = grown(self.ids, used + total), grown(self.begin, last), grown(self.count, last)
+        self.ids[used : used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
+        self.begin[first:last] = used + np.cumsum(sizes) - sizes
+        self.count[first:last] = sizes
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with id 0 after the last."""
-        if len(self.at) > self.remembered:
-            self.forget()
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        fresh: dict[bytes, None] = {}
-        for words in split:
-            fresh.update(dict.fromkeys(w for w in words if w not in self.at))
-        self.learn(list(fresh))
-        get, out = self.at.__getitem__, []
-        for words in split:
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            sizes = self.count[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.zeros(total + 1, np.uint32)
-            ids[:total] = self.ids[np.arange(total) + np.repeat(self.begin[at] - ends + sizes, sizes)]
-            out.append(ids)
-        return out
+        at, parts = self.numbers.batch(texts)
+        sizes = self.count[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.arange(ends[-1]) + np.repeat(self.begin[at] - ends[:-1], sizes)]
+        return [np.append(x, np.uint32(0)) for x in np.split(flat, ends[np.cumsum(parts)][:-1])]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -104,7 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, text_c
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = kept("encoder", tokenizer, lambda: Encoder(tokenizer))
         for batch in pieces(batches, "text", 4 << 20):
             out: list[tuple] = []
             rows, keys = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()
