@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .memo import grown
+
 
 def hashed(features: list[str], width: int) -> list[int]:
     return [zlib.crc32(f.encode("utf-8", "replace")) % width for f in features]
@@ -150,29 +152,13 @@ def train(
 
 
 class Scored:
-    """Scores of tokens met so far in a worker, by number; `features(token)` are strings.
+    """Scores of tokens by their number; each feature function gives its columns, side by side."""
 
-    With several feature functions a token's row has the scores under each, side by side.
-    """
+    def __init__(self, features: list[Callable[[str], list[str]]], weights: np.ndarray):
+        self.features, self.weights = features, weights
+        self.table = np.zeros((1 << 12, len(features) * weights.shape[1]), np.float32)
 
-    def __init__(self, features: list[Callable[[str], list[str]]], weights: np.ndarray, most: int = 600_000):
-        self.features, self.weights, self.most = features, weights, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, len(self.features) * self.weights.shape[1]), np.float32)
-
-    def full(self) -> bool:
-        return len(self.number) > self.most
-
-    def numbers(self, tokens: list[str]) -> list[int]:
-        fresh = [t for t in dict.fromkeys(tokens) if t not in self.number]
-        if fresh:
-            width, k = len(self.weights), len(self.number)
-            new = np.hstack([Features([hashed(f(t), width) for t in fresh]).scores(self.weights) for f in self.features])
-            while k + len(fresh) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[k : k + len(fresh)] = new
-            self.number.update(zip(fresh, range(k, k + len(fresh))))
-        return [self.number[t] for t in tokens]
+    def learn(self, tokens: list[str], first: int) -> None:
+        width = len(self.weights)
+        self.table = grown(self.table, first + len(tokens))
+        self.table[first : first + len(tokens)] = np.hstack([Features([hashed(f(t), width) for t in tokens]).scores(self.weights) for f in self.features])

@@ -8,19 +8,19 @@ the greatest mean probability over its words.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
 from .common import crc_bucket, pieces, texts_of
-from .memo import Memo, kept
+from .memo import Numbers, kept
 
 #: Bounds of the training sample: about so many documents of each language, of each a window of
 #: so many characters at a place that its id decides.
@@ -34,11 +34,13 @@ WIDTH = 1 << 16
 ROUNDS = 50
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"
 
-LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_in(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters, in lower case. (Numerals such as one half alone are no word.)"""
+    words = LETTERS.findall(text.lower())
+    return words if not words or words[0].isalpha() else [w for w in words if any(map(str.isalpha, w))]
 
 
 def word_features(lexicon: dict[str, str]):
@@ -103,18 +105,7 @@ class Reader:
 
     def __init__(self, model: Model):
         self.scored = crf.Scored([word_features(model.lexicon)], model.weights)
-        self.memo = Memo(self._learn, forgot=None)
-
-    def _learn(self, parts: list[str]) -> list[list[int]]:
-        found = [words_in(p) for p in parts]
-        numbers = iter(self.scored.numbers([w for ws in found for w in ws]))
-        return [[next(numbers) for _ in ws] for ws in found]
-
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.scored.full():
-            self.scored.clear()
-            self.memo.forget()
-        return self.memo.batch(texts)
+        self.numbers = Numbers(words_in, self.scored.learn)
 
 
 def training_sample(docs: DataFrame, fold: F.Column, text_col: str, label_col: str, id_col: str, per_label: int, chars: int) -> list[tuple[str, str]]:
@@ -156,7 +147,7 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, text_col: str = "te
             n = batch.num_rows
             best, score, switches, lengths = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
             if model:
-                flat, lengths = reader.batch(texts_of(batch, "text"))
+                flat, lengths = reader.numbers.batch(texts_of(batch, "text"))
                 gamma = crf.forward_backward(reader.scored.table[flat], lengths, model.moves)
                 some = np.flatnonzero(lengths)
                 if len(some):
