@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .common import pieces, texts_of
-from .memo import Memo, kept
+from .memo import Numbers, kept
 
 # The base patterns and their order.
 KINDS = ("assign", "access", "hex")
@@ -180,19 +180,10 @@ class Tagger:
     def __init__(self, model: Model):
         self.model = model
         self.scored = crf.Scored([side(p) for p in "spn"], model.weights)
-        self.memo = Memo(self._learn)
-
-    def _learn(self, parts: list[str]) -> list[list[int]]:
-        found = [TOKEN.findall(p) for p in parts]
-        flat = [w for ws in found for w in ws]
-        numbers = iter(self.scored.numbers(flat))
-        return [[next(numbers) for _ in ws] for ws in found]
+        self.numbers = Numbers(TOKEN.findall, self.scored.learn)
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
-        if self.scored.full():
-            self.scored.clear()
-            self.memo.forget()
-        flat, lengths = self.memo.batch(texts)
+        flat, lengths = self.numbers.batch(texts)
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
         if not len(flat):
             return out
@@ -210,9 +201,8 @@ class Tagger:
         tags = crf.viterbi(scores, lengths, self.model.moves)
         for k in np.flatnonzero(np.bincount(np.repeat(np.arange(len(texts)), lengths), tags != OUTSIDE, len(texts))).tolist():
             own_tags = tags[ends[k] - lengths[k] : ends[k]].tolist()
-            # A word's tokens are found within words split at ASCII space, as the memo does.
-            tokens = [(w.start() + m.start(), w.start() + m.end()) for w in WORD.finditer(texts[k]) for m in TOKEN.finditer(w[0])]
-            for (start, end), tag in zip(tokens, own_tags):
+            for m, tag in zip(TOKEN.finditer(texts[k]), own_tags):
+                start, end = m.span()
                 if tag == BEGIN or (tag == INSIDE and not out[k]):
                     out[k].append((start, end))
                 elif tag == INSIDE:
@@ -220,9 +210,6 @@ class Tagger:
         return out
 
 
-WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-
-
 def scan(text: str, extra: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and those with the field's spans that meet no base span (kind 3)."""
     base = base_spans(text)
