@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, quality, secrets, warc
+from . import decontaminate, jaccard, kneser_ney, langid, packing, pii, quality, secrets, warc
 from .common import table
 
 
@@ -41,10 +41,25 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op3_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_crf_language": op2_crf_language,
+    "op3_bayes_jaccard_join": op3_bayes_jaccard_join,
     "op4_crf_secrets": op4_crf_secrets,
+    "op5_weak_supervision_pii": op5_weak_supervision_pii,
     "op7_qgram_decontamination": op7_qgram_decontamination,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_warc_index": op9_warc_index,
     "op10_residual_packing": op10_residual_packing,
     "op6_compression_bands": op6_compression_bands,
