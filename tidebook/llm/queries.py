@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, kneser_ney, langid, packing, pii, quality, secrets, warc
+from . import decontaminate, jaccard, kneser_ney, langid, licenses, packing, pii, quality, secrets, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op1_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_patience_licenses": op1_patience_licenses,
     "op2_crf_language": op2_crf_language,
     "op3_bayes_jaccard_join": op3_bayes_jaccard_join,
     "op4_crf_secrets": op4_crf_secrets,
