@@ -1 +1,6 @@
-"""Package plans of tidebook."""
+"""The reference queries: each a DataFrame plan over the driver's tables, with its SQL."""
+
+from . import features
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "features"]
