@@ -53,3 +53,44 @@ def nearest(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("symbol"
     both = asof(asof(left, lean.withColumnRenamed("_v", "_b"), keys, on, tie, source="_tb"), lean.withColumnRenamed("_v", "_f"), keys, on, tie, direction="forward", source="_tf")
     before, after = _micros(on) - _micros("_tb"), _micros("_tf") - _micros(on)
     return both.withColumn(name, F.when(after.isNull() | (before <= after), F.col("_b")).otherwise(F.col("_f"))).drop("_b", "_f", "_tb", "_tf")
+
+
+def markout(fills: DataFrame, quotes: DataFrame, horizons_s: tuple[int, ...], tolerance_s: int, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
+    """A row per fill and horizon with the mid then, and the gain a share since the fill price.
+
+    fills: keys, ts, seq, direction, price. All horizons go through one as-of join; a quote older
+    than the tolerance counts as none.
+    """
+    targets = fills.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons_s])))
+    targets = targets.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.col("horizon")))
+    found = asof(targets, quotes.select(*keys, "ts", "seq", "mid"), keys, tolerance_us=tolerance_s * 1_000_000)
+    return found.withColumn("markout", F.col("direction") * (F.col("mid") - F.col("price")))
+
+
+def pair_sides(messages: DataFrame, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
+    """Pairs of the latest bid and ask message of a key; emitting a pair consumes both.
+
+    messages: keys, ts, seq, side ('bid' or 'ask'). Returns keys, bid_seq, ask_seq, one row where
+    the second of a pair arrives. What a key holds is one message a side.
+    """
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "bid_seq long, ask_seq long"])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held: dict[str, int] = {}
+        out = []
+        for seq, side in rows.sort_values(["ts", "seq"])[["seq", "side"]].itertuples(index=False):
+            held[side] = seq
+            if len(held) == 2:
+                out.append((*key, held["bid"], held["ask"]))
+                held = {}
+        return pd.DataFrame(out, columns=[*keys, "bid_seq", "ask_seq"])
+
+    return messages.select(*keys, "ts", "seq", "side").groupBy(*keys).applyInPandas(run, schema)
+
+
+def unmatched(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Groups of left without any right row, with their numbers of rows."""
+    return left.join(right.select(*keys).distinct(), list(keys), "left_anti").groupBy(*keys).count()

@@ -1,6 +1,6 @@
 """The reference queries: each a DataFrame plan over the driver's tables, with its SQL."""
 
-from . import features
+from . import features, relations
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "features"]
+__all__ = ["ORACLE", "QUERIES", "features", "relations"]

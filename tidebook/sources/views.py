@@ -78,8 +78,11 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
     joined = li.join(o, li.l_orderkey == o.o_orderkey)
     side = F.when(F.col("l_linestatus") == "O", 1).otherwise(-1)
-    gross = side * F.col("l_extendedprice") * (F.col("l_discount") - 0.05)
-    fee = F.col("l_extendedprice") * F.col("l_tax") * 0.1
+    # Money in whole cents, so that both engines add the same numbers.
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    edge = F.round(F.col("l_discount") * 100).cast("long") - 5
+    gross = side * F.signum(edge).cast("long") * F.floor(cents * F.abs(edge) / 100)
+    fee = F.floor(cents * F.round(F.col("l_tax") * 100).cast("long") / 1000)
     return joined.select(
         F.col("o_orderpriority").alias("arm"),
         F.col("l_returnflag").alias("underlying"),
@@ -90,9 +93,9 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") % 3 == 0, "taker_stop").when(F.col("l_linenumber") % 3 == 1, "maker_exit").otherwise("taker_max_hold").alias("exit_method"),
         F.col("l_quantity").alias("qty"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        F.round(gross, 2).alias("gross_pnl"),
-        F.round(fee, 2).alias("fee"),
-        (F.round(gross, 2) - F.round(fee, 2)).alias("net_pnl"),
+        (gross / 100).alias("gross_pnl"),
+        (fee / 100).alias("fee"),
+        ((gross - fee) / 100).alias("net_pnl"),
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").cast("long").alias("line"),
         F.col("l_partkey").alias("part_key"),
@@ -128,14 +131,17 @@ SQL = {
         list_transform(embedding[21:40], lambda x: (1 + floor(1000 * abs(x::DOUBLE)))::BIGINT) AS ask_qty,
         list_transform(embedding[41:60], lambda x: (1 + floor(20 * abs(x::DOUBLE)))::BIGINT) AS bid_orders,
         list_reverse(list_transform(embedding[41:60], lambda x: (1 + floor(20 * abs(x::DOUBLE)))::BIGINT)) AS ask_orders FROM embeddings)""",
-    "trades": """trades AS (SELECT *, gross_pnl - fee AS net_pnl FROM (SELECT o_orderpriority AS arm, l_returnflag AS underlying,
+    "trades": """trades AS (SELECT * EXCLUDE (gross, fees), gross / 100 AS gross_pnl, fees / 100 AS fee, (gross - fees) / 100 AS net_pnl FROM (
+        SELECT o_orderpriority AS arm, l_returnflag AS underlying,
         CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS direction,
         least(o_orderdate, l_shipdate) AS entry_ts, greatest(o_orderdate, l_shipdate) AS exit_ts,
         CAST(greatest(o_orderdate, l_shipdate) AS DATE) AS date,
         CASE l_linenumber % 3 WHEN 0 THEN 'taker_stop' WHEN 1 THEN 'maker_exit' ELSE 'taker_max_hold' END AS exit_method,
         l_quantity AS qty, l_extendedprice / l_quantity AS price,
-        round((CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END) * l_extendedprice * (l_discount - 0.05::DOUBLE), 2) AS gross_pnl,
-        round(l_extendedprice * l_tax * 0.1::DOUBLE, 2) AS fee, l_orderkey AS order_key, l_linenumber::BIGINT AS line,
+        (CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END) * sign(round(l_discount * 100)::BIGINT - 5)::BIGINT
+            * floor(round(l_extendedprice * 100)::BIGINT * abs(round(l_discount * 100)::BIGINT - 5) / 100)::BIGINT AS gross,
+        floor(round(l_extendedprice * 100)::BIGINT * round(l_tax * 100)::BIGINT / 1000)::BIGINT AS fees,
+        l_orderkey AS order_key, l_linenumber::BIGINT AS line,
         l_partkey AS part_key, l_suppkey AS supp_key FROM lineitem JOIN orders ON l_orderkey = o_orderkey))""",
     "daily": "daily AS (SELECT arm, strftime(date, '%Y-%m') AS day, round(sum(net_pnl), 2) AS pnl FROM trades GROUP BY ALL)",
     "bars": """bars AS (SELECT symbol, date_trunc('hour', ts) AS hour, arg_max(mid, (ts, seq)) AS close FROM ticks WHERE mid > 0 GROUP BY ALL)""",
