@@ -111,15 +111,11 @@ def normal_ppf(p: Column) -> Column:
 def normal_cdf(z: Column) -> Column:
     """The normal distribution, by a series near 0 and a continued fraction beyond (error below 1e-12)."""
     x = F.abs(z)
-    term = series = x
-    for k in range(1, 40):
-        term = term * x * x / (2 * k + 1)
-        series = series + term
+    steps = lambda n: F.sequence(F.lit(n), F.lit(1))
+    series = x * F.aggregate(steps(40), F.lit(1.0), lambda a, k: 1 + a * x * x / (2 * k + 1))
+    fraction = F.aggregate(steps(24), x, lambda a, k: x + k / a)
     dens = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    tail = x + 0.0
-    for k in range(24, 0, -1):
-        tail = x + k / tail
-    upper = F.when(x < 3, 0.5 - dens * series).otherwise(dens / tail)
+    upper = F.when(x < 3, 0.5 - dens * series).otherwise(dens / fraction)
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
