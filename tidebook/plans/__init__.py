@@ -1,6 +1,6 @@
 """The reference queries: each a DataFrame plan over the driver's tables, with its SQL."""
 
-from . import analytics, features, relations
+from . import analytics, dynamics, features, relations
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "features", "relations"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "dynamics", "features", "relations"]

@@ -108,6 +108,10 @@ def _div(p: str, tag: str, first: int, n: int) -> str:
     return _over(n, f"{x} * ln({x} / {y})", first)
 
 
+#: Sums of the sides and the symmetry break over them, for other queries.
+_SUMS_W = (_sums("w", 1, 20), _div("bid", "w", 1, 20) + " - " + _div("ask", "w", 1, 20))
+
+
 @query(
     V.with_views("book")
     + f""", s AS (SELECT *, {_sums("w", 1, 20)}, {_sums("t", 1, 5)}, {_sums("d", 6, 15)} FROM book)
