@@ -49,7 +49,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     p = np.empty_like(scores, dtype=np.float64)
     p[steps.at] = _exponent(scores.astype(np.float64))
     move = np.exp(transitions)
-    alpha, beta = np.empty_like(p), np.ones_like(p)
+    alpha = np.empty_like(p)
     spans = list(steps)
     for k, (first, n) in enumerate(spans):
         a = p[first : first + n]
@@ -57,18 +57,23 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
             a = a * (alpha[spans[k - 1][0] : spans[k - 1][0] + n] @ move)
         alpha[first : first + n] = a / a.sum(axis=1, keepdims=True)
     expected = np.zeros_like(move)
-    for k in range(len(spans) - 1, 0, -1):
+    beta = np.ones((spans[-1][1] if spans else 0, len(move)))
+    for k in range(len(spans) - 1, -1, -1):
         first, n = spans[k]
-        ahead = p[first : first + n] * beta[first : first + n]
-        prior = spans[k - 1][0]
-        b = ahead @ move.T
-        if pairs:
-            norm = (alpha[prior : prior + n] * b).sum(axis=1, keepdims=True)
-            expected += move * ((alpha[prior : prior + n] / norm).T @ ahead)
-        beta[prior : prior + n] = b / b.sum(axis=1, keepdims=True)
-    gamma = alpha * beta
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    return (gamma[steps.at], expected) if pairs else gamma[steps.at]
+        here = alpha[first : first + n]
+        if k:
+            prior, before = spans[k - 1]
+            ahead = p[first : first + n] * beta
+            b = ahead @ move.T
+            if pairs:
+                last = alpha[prior : prior + n]
+                expected += move * ((last / (last * b).sum(axis=1, keepdims=True)).T @ ahead)
+        here *= beta  # the label probabilities take the place of the forward values
+        here /= here.sum(axis=1, keepdims=True)
+        if k:
+            beta = np.ones((before, len(move)))
+            beta[:n] = b / b.sum(axis=1, keepdims=True)
+    return (alpha[steps.at], expected) if pairs else alpha[steps.at]
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -152,13 +157,29 @@ def train(
 
 
 class Scored:
-    """Scores of tokens by their number; each feature function gives its columns, side by side."""
+    """Scores of tokens by their number; each feature function gives its columns, side by side.
+
+    Tokens with equal key(token) must have equal features, which are then worked out once.
+    """
 
-    def __init__(self, features: list[Callable[[str], list[str]]], weights: np.ndarray):
-        self.features, self.weights = features, weights
+    def __init__(self, features: list[Callable[[str], list[str]]], weights: np.ndarray, key: Callable[[str], object] | None = None):
+        self.features, self.weights, self.key = features, weights, key
         self.table = np.zeros((1 << 12, len(features) * weights.shape[1]), np.float32)
+        self.known: dict[object, np.ndarray] = {}
 
-    def learn(self, tokens: list[str], first: int) -> None:
+    def _scores(self, tokens: list[str]) -> np.ndarray:
         width = len(self.weights)
+        return np.hstack([Features([hashed(f(t), width) for t in tokens]).scores(self.weights) for f in self.features]).astype(np.float32)
+
+    def learn(self, tokens: list[str], first: int) -> None:
         self.table = grown(self.table, first + len(tokens))
-        self.table[first : first + len(tokens)] = np.hstack([Features([hashed(f(t), width) for t in tokens]).scores(self.weights) for f in self.features])
+        if self.key is None:
+            self.table[first : first + len(tokens)] = self._scores(tokens)
+            return
+        keys = [self.key(t) for t in tokens]
+        fresh = {k: t for k, t in zip(keys, tokens) if k not in self.known}
+        if fresh:
+            self.known.update(zip(fresh, self._scores(list(fresh.values()))))
+        self.table[first : first + len(tokens)] = [self.known[k] for k in keys]
+        if len(self.known) > 200_000:
+            self.known = {}

@@ -63,8 +63,28 @@ def values(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]
     return out
 
 
+WORD = re.compile(r"([^\W\d_]{1,19})([^\w\s]{0,4})")
+
+
+def _plain(w: str) -> tuple[int, str, str] | None:
+    """(length, case, marks behind) of a short word of letters that holds no cue, else None."""
+    found = WORD.fullmatch(w)
+    if not found or CUES.search(w.lower()):
+        return None
+    letters, marks = found.groups()
+    return len(letters), "a" if letters.islower() else "A" if letters.isupper() else "Aa" if letters[1:].islower() else "aA", marks
+
+
+def token_key(w: str) -> object:
+    """Equal keys have equal features: plain words share theirs by length, case and marks."""
+    return _plain(w) or w
+
+
 def token_features(w: str) -> list[str]:
-    """Shape of a token; all texts of one shape share their features."""
+    """Shape of a token."""
+    if plain := _plain(w):
+        n, case, marks = plain
+        return ["bias", f"n{n}", f"word{case}", f"word{case}{n // 8}", f"behind{marks}"]
     n = len(w)
     low = w.lower()
     digits = sum(map(str.isdigit, w))
@@ -75,14 +95,13 @@ def token_features(w: str) -> list[str]:
     m = min(n, 80)
     entropy = -sum(c / m * math.log2(c / m) for c in counts.values())
     turns = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(w[:80], w[1:80]))
-    size = min(9, n.bit_length() * 2 + (n > 1.5 * (1 << max(0, n.bit_length() - 1)))) if n < 64 else 15
+    size = min(40, n // 2)
     classes = "a" * (alpha > upper) + "A" * bool(upper) + "0" * bool(digits) + "-" * bool(other)
-    out = ["bias", f"n{size}", f"c{classes}", f"c{classes}n{n // 8}", f"e{round(entropy * 2)}", f"d{4 * digits // n}", f"t{min(9, turns // 2)}"]
-    out.append(f"t{min(9, turns // 2)}n{n // 8}")
+    out = ["bias", f"l{size}", f"c{classes}", f"c{classes}n{n // 8}", f"e{round(entropy * 2)}", f"d{4 * digits // n}", f"t{min(9, turns // 2)}", f"t{min(9, turns // 2)}n{n // 8}"]
     if n >= 16 and not set(low) - set("0123456789abcdef"):
         out.append(f"hex{digits != n}")
-    if (m := CUES.search(low)) and n < 24:
-        out.append(f"cue{m[0]}")
+    if (found := CUES.search(low)) and n < 24:
+        out.append(f"cue{found[0]}")
     if n == 1 and not w.isalnum():
         out.append(f"is{w}")
     if digits == n:
@@ -179,7 +198,7 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.model = model
-        self.scored = crf.Scored([side(p) for p in "spn"], model.weights)
+        self.scored = crf.Scored([side(p) for p in "spn"], model.weights, token_key)
         self.numbers = Numbers(TOKEN.findall, self.scored.learn)
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
@@ -188,17 +207,29 @@ class Tagger:
         if not len(flat):
             return out
         own, prior, after = np.split(self.scored.table, 3, axis=1)
-        scores = own[flat].astype(np.float64)
+        scores = own[flat]
         ends = np.cumsum(lengths)
         firsts, lasts = (ends - lengths)[lengths > 0], ends[lengths > 0] - 1
-        left, right = prior[flat[:-1]].astype(np.float64), after[flat[1:]].astype(np.float64)
+        left, right = prior[flat[:-1]], after[flat[1:]]
         left[firsts[1:] - 1] = 0
         right[lasts[:-1]] = 0
         scores[1:] += left
         scores[:-1] += right
-        width = len(self.model.weights)
-        scores += np.repeat(np.array([self.model.weights[crf.hashed(file_features(t), width)].sum(axis=0) for t in texts]), lengths, axis=0)
-        tags = crf.viterbi(scores, lengths, self.model.moves)
+        width, moves = len(self.model.weights), self.model.moves
+        some = np.flatnonzero(lengths)
+        scores += np.repeat(np.array([self.model.weights[crf.hashed(file_features(texts[k]), width)].sum(axis=0) for k in some]), lengths[some], axis=0)
+        # A run inside a secret gains at most `gain` at each move. Where every token prefers
+        # outside by more than two gains, no run can pay, and the best labels are all outside.
+        gain = float(moves.max() - moves[OUTSIDE, OUTSIDE])
+        margin = scores[:, OUTSIDE] - np.maximum(scores[:, BEGIN], scores[:, INSIDE])
+        open_ = some[np.minimum.reduceat(margin, firsts) <= 2 * max(gain, 0.0)]
+        if not len(open_):
+            return out
+        kept_ = np.zeros(len(texts), bool)
+        kept_[open_] = True
+        tags = np.zeros(len(flat), np.int8)
+        on = np.repeat(kept_, lengths)
+        tags[on] = crf.viterbi(scores[on], lengths[open_], moves)
         for k in np.flatnonzero(np.bincount(np.repeat(np.arange(len(texts)), lengths), tags != OUTSIDE, len(texts))).tolist():
             own_tags = tags[ends[k] - lengths[k] : ends[k]].tolist()
             for m, tag in zip(TOKEN.finditer(texts[k]), own_tags):
@@ -243,7 +274,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = kept("secrets", key, lambda: Tagger(shared.value)) if shared.value else None
-        for batch in pieces(batches, "text", 16 << 20):
+        for batch in pieces(batches, "text", 8 << 20):
             texts = texts_of(batch, "text")
             rows = []
             for text, extra in zip(texts, tagger.spans(texts) if tagger else [[]] * len(texts)):
@@ -265,7 +296,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", sample: int = SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = kept("secrets", key, lambda: Tagger(shared.value)) if shared.value else None
-        for batch in pieces(batches, "text", 16 << 20):
+        for batch in pieces(batches, "text", 8 << 20):
             given, texts = batch.column("text").to_pylist(), texts_of(batch, "text")
             out = []
             for old, text, extra in zip(given, texts, tagger.spans(texts) if tagger else [[]] * len(texts)):
