@@ -14,6 +14,7 @@ contracted over those representatives.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ class WordHashes:
     """64-bit hashes of the words of texts, remembered across texts."""
 
     def __init__(self) -> None:
-        self.numbers = Numbers(lambda t: t.encode("utf-8", "surrogatepass").split(), self._learn)
+        self.numbers = Numbers(lambda t: t.encode("utf-8", "surrogatepass").split(), self._learn, most=200_000)
         self.table = np.zeros(1 << 16, np.uint64)
 
     def _learn(self, words: list[bytes], first: int) -> None:
@@ -309,7 +310,7 @@ def linked_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = kept("words", "jaccard", WordHashes)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 4 << 20):
             sets = [shingles(w, words) for w in hashes.batch(texts_of(batch, "text"))]
             sig = pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), sig], names=["doc_id", "h", "sig"])
@@ -379,12 +380,13 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     best = classes.groupBy("label").agg(F.min(first).alias("best"))
     stays = classes.join(best, "label").select("h", (F.col("h") == F.col("best.h")).alias("this"), "first_id")
     # Keys of rows that go: of another class, or of the class but with another id.
+    h, gone_h, gone_id = (f"_{c}_{uuid.uuid4().hex}" for c in ("h", "gone_h", "gone_id"))  # names that docs can't have
     rows = members.filter(~F.col("empty")).join(stays, "h")
-    gone = rows.filter(~(F.col("this") & F.col("doc_id").eqNullSafe(F.col("first_id")))).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
-    marked = docs.withColumn("_h", _text_key("text"))
-    left = marked.join(gone, (F.col("_h") == F.col("gone_h")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = rows.filter(~(F.col("this") & F.col("doc_id").eqNullSafe(F.col("first_id")))).select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
+    marked = docs.withColumn(h, _text_key("text"))
+    left = marked.join(gone, (F.col(h) == F.col(gone_h)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
     again = members.filter(~F.col("empty")).groupBy("doc_id", "h").count().filter("count > 1").isEmpty()
     if not again:
         worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-        left = left.filter(worded).dropDuplicates(["doc_id", "_h"]).unionByName(left.filter(~worded))
-    return left.drop("_h")
+        left = left.filter(worded).dropDuplicates(["doc_id", h]).unionByName(left.filter(~worded))
+    return left.drop(h)
