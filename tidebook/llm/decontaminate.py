@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, texts_of
+from .memo import release
 
 Q = 10
 #: Edits allowed, as a share of an item's characters.
@@ -209,6 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float
     for shared in blocks(benchmark, q, edits, item_text_col, item_id_col, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             items = shared.value
             for batch in pieces(batches, "text", 4 << 20):
                 keys = batch.column("doc_id").to_pylist()
@@ -226,6 +228,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits:
     for shared in blocks(benchmark, q, edits, "text", "item_id", block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in pieces(batches, "text", 4 << 20):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[t for t, *_ in shared.value.search(texts_of(batch, "text"))]] = False

@@ -13,17 +13,23 @@ import numpy as np
 
 #: New words that `learn` gets at once.
 LEARNED = 20_000
-_KEPT: dict[str, tuple[str, object]] = {}
+_KEPT: list[tuple[tuple[str, str], object]] = []
 
 
 def kept(name: str, key: str, make: Callable[[], object]) -> object:
-    """What `make` returns, kept in this worker process for later tasks with the same key.
+    """What `make` returns, kept in this worker process for later tasks with the same name and key.
 
-    Only the latest key of each name is held.
+    Only the latest is held: a worker that goes on to another operator frees what the last one knew.
     """
-    if name not in _KEPT or _KEPT[name][0] != key:
-        _KEPT[name] = (key, make())
-    return _KEPT[name][1]
+    if not _KEPT or _KEPT[0][0] != (name, key):
+        _KEPT.clear()
+        _KEPT.append(((name, key), make()))
+    return _KEPT[0][1]
+
+
+def release() -> None:
+    """Free what `kept` holds, in operators that keep nothing."""
+    _KEPT.clear()
 
 
 def grown(array: np.ndarray, rows: int) -> np.ndarray:
@@ -41,7 +47,7 @@ class Numbers:
     so a worker's memory is bounded; `first` is then 0 again.
     """
 
-    def __init__(self, cut: Callable[[str], list], learn: Callable[[list, int], None], most: int = 600_000):
+    def __init__(self, cut: Callable[[str], list], learn: Callable[[list, int], None], most: int = 400_000):
         self.cut, self.learn, self.most = cut, learn, most
         self.at: dict = {}
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, pieces, texts_of
+from .memo import release
 
 #: (bytes below which the row holds, least ratio, greatest ratio). Short texts hardly
 #: compress, long ones share more of their history; ratios outside are not those of prose.
@@ -105,6 +106,7 @@ def quality_rules(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        release()
         squeeze = zstandard.ZstdCompressor(level=level).compress
         for batch in pieces(batches, "text"):
             rows = [measure(t, squeeze, bands, chunk, chunk_share) for t in texts_of(batch, "text")]
@@ -127,6 +129,7 @@ def keep_good(docs: DataFrame, **settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        release()
         squeeze = zstandard.ZstdCompressor(level=settings.get("level", LEVEL)).compress
         given = {k: v for k, v in settings.items() if k != "level"}
         for batch in pieces(batches, "text"):
