@@ -12,7 +12,7 @@ from tidebook.sources import views as V
 
 from .features import W
 from .registry import query, rounded, shown
-from .relations import mids
+from .relations import _FILLS, mids
 
 SIGNALS, HORIZONS = ("micro_deviation", "obi_1", "ofi_l1"), (1, 5, 10)
 T = V.with_views("trades")
@@ -328,3 +328,100 @@ def u10_arm_report(spark, d):
     diff = E.bootstrap(_diffs(spark, d), ("arm",), "diff", "day").select("arm", "low", "high")
     out = stats.join(diff, "arm", "left").withColumn("verdict", F.when(F.col("low") > 0, "real").when(F.col("high") < 0, "worse").when(F.col("low").isNotNull(), "inconclusive"))
     return shown(out, ("arm", "n", "verdict"), "sharpe", "psr", "dsr", "n_eff", "max_drawdown", digits=4)
+
+
+# Further reports
+
+
+@query(
+    V.with_views("clean")
+    + """, m AS (SELECT *, (bid + ask) / 2 AS mid, ask - bid AS spread FROM clean)"""
+    + _FILLS
+    + f""" SELECT symbol, count(DISTINCT seq) AS fills, {rounded(*[f"avg(CASE WHEN horizon = {h} THEN markout END) AS at_{h}s" for h in (0, 300, 1800)], digits=6)} FROM mk GROUP BY symbol"""
+)
+def g20_instrument_markout(spark, d):
+    from .relations import markouts
+
+    g = markouts(spark, d).groupBy("symbol").agg(F.countDistinct("seq").alias("fills"), *[F.avg(F.when(F.col("horizon") == h, F.col("markout"))).alias(f"at_{h}s") for h in (0, 300, 1800)])
+    return shown(g, ("symbol", "fills"), "at_0s", "at_300s", "at_1800s")
+
+
+@query()
+def g26_normal_plot(spark, d):
+    """Fit of the ordered log spreads to normal order-statistic medians, a session at a time."""
+    s = mids(spark, d).filter("spread > 0").select("symbol", "date", "seq", F.ln("spread").alias("x"))
+    w = Window.partitionBy("symbol", "date")
+    n = F.count("*").over(w)
+    i = F.row_number().over(w.orderBy("x", "seq"))
+    end = F.pow(F.lit(0.5), 1 / n)
+    place = F.when(i == n, end).when(i == 1, 1 - end).otherwise((i - 0.3175) / (n + 0.365))
+    q = s.withColumns({"p": place, "n": n}).filter("n >= 3").withColumn("q", C.normal_ppf(F.col("p")))
+    return shown(q.groupBy("symbol", "date").agg(F.count("*").alias("n"), F.regr_slope("x", "q").alias("slope"), F.regr_intercept("x", "q").alias("intercept"), F.regr_r2("x", "q").alias("r2")), ("symbol", "date", "n"), "slope", "intercept", "r2", digits=4)
+
+
+@query(
+    T
+    + f""", o AS (SELECT arm, order_key % 7 = 0 AS open, net_pnl FROM trades) SELECT arm, count(*) AS trades, count(CASE WHEN open THEN 1 END) AS open_positions, {rounded("sum(CASE WHEN open THEN 0 ELSE net_pnl END) AS realized", "sum(CASE WHEN open THEN net_pnl ELSE 0 END) AS unrealized", digits=2)} FROM o GROUP BY arm"""
+)
+def g29_telemetry_totals(spark, d):
+    """Totals as the live snapshot tells them; a trade of an order in seven counts as still open."""
+    t = V.trades(spark, d).withColumn("open", F.col("order_key") % 7 == 0)
+    g = t.groupBy("arm").agg(F.count("*").alias("trades"), F.count_if("open").alias("open_positions"), F.sum(F.when(F.col("open"), 0.0).otherwise(F.col("net_pnl"))).alias("realized"), F.sum(F.when(F.col("open"), F.col("net_pnl")).otherwise(0.0)).alias("unrealized"))
+    return shown(g, ("arm", "trades", "open_positions"), "realized", "unrealized", digits=2)
+
+
+@query(T + """, m AS (SELECT arm, to_json({'n': count(*), 'wins': count(CASE WHEN net_pnl > 0 THEN 1 END)}) AS j FROM trades GROUP BY arm) SELECT arm, CAST(json_extract(j, '$.n') AS BIGINT) AS n, CAST(json_extract(j, '$.wins') AS BIGINT) AS wins FROM m""")
+def s22_report_json(spark, d):
+    """Report rows through JSON and back, as the monitor reads them."""
+    m = V.trades(spark, d).groupBy("arm").agg(F.to_json(F.struct(F.count("*").alias("n"), F.count_if(F.col("net_pnl") > 0).alias("wins"))).alias("j"))
+    return m.select("arm", F.from_json("j", "n long, wins long").alias("r")).select("arm", "r.n", "r.wins")
+
+
+@query()
+def o11_bounded_sample(spark, d):
+    """At most about 1000 rows of each session, chosen by a hash of the row, for plots."""
+    q = V.quotes(spark, d)
+    n = F.count("*").over(Window.partitionBy("symbol", "date"))
+    draw = F.pmod(F.xxhash64("symbol", "seq", F.lit(42)), F.lit(1_000_000)) / 1e6
+    return q.withColumn("n", n).filter(draw < 1000 / F.col("n")).select("symbol", "seq")
+
+
+# Signals that the reference only describes
+
+
+@query(
+    V.with_views("ticks")
+    + f""", v AS (SELECT symbol, date, seq, mid, sum(mid * (1 + k)) OVER {W} / sum(1 + k) OVER {W} AS vwap FROM ticks) SELECT symbol, seq, {rounded("(mid - vwap) / vwap * 1e4 AS vwap_dev_bps", digits=3)} FROM v"""
+)
+def a8_vwap_deviation(spark, d):
+    """Distance from the session's volume-weighted price so far, in basis points."""
+    w = C.session().rowsBetween(Window.unboundedPreceding, 0)
+    vol = 1 + F.col("k")
+    vwap = F.sum(F.col("mid") * vol).over(w) / F.sum(vol).over(w)
+    return shown(V.ticks(spark, d).withColumn("vwap_dev_bps", (F.col("mid") - vwap) / vwap * 1e4), ("symbol", "seq"), "vwap_dev_bps", digits=3)
+
+
+@query(
+    V.with_views("clean")
+    + """, s AS (SELECT symbol, seq, ask - bid AS spread, avg(ask - bid) OVER f AS mean, count(*) OVER f AS n FROM clean WINDOW f AS (PARTITION BY symbol, date ORDER BY ts, seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+    SELECT symbol, seq FROM s WHERE n = 20 AND spread > 1.5::DOUBLE * mean + 1e-9::DOUBLE"""
+)
+def a10_spread_breakout(spark, d):
+    """Packets whose spread is more than half again the mean of the twenty before."""
+    f = C.session().rowsBetween(-20, -1)
+    s = mids(spark, d).withColumns({"mean": F.avg("spread").over(f), "n": F.count("*").over(f)})
+    return s.filter((F.col("n") == 20) & (F.col("spread") > 1.5 * F.col("mean") + 1e-9)).select("symbol", "seq")
+
+
+@query(
+    V.with_views("bars")
+    + f""", r AS (SELECT symbol, hour, ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY hour)) AS r FROM bars)
+    SELECT a.symbol AS leader, b.symbol AS follower, count(*) AS n, {rounded("corr(a.r, b.r) AS lead_corr", digits=5)} FROM r a JOIN r b ON b.hour = a.hour + INTERVAL 1 HOUR AND a.symbol <> b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY ALL"""
+)
+def a12_lead_lag(spark, d):
+    """Correlation of a symbol's return with another's an hour later."""
+    b = V.bars(spark, d)
+    r = b.withColumn("r", F.ln("close") - F.ln(F.lag("close").over(Window.partitionBy("symbol").orderBy("hour")))).filter("r IS NOT NULL")
+    lead = r.select(F.col("symbol").alias("leader"), (F.col("hour") + F.expr("INTERVAL 1 HOUR")).alias("hour"), F.col("r").alias("x"))
+    j = lead.join(r.select(F.col("symbol").alias("follower"), "hour", F.col("r").alias("y")), "hour").filter("leader <> follower")
+    return shown(j.groupBy("leader", "follower").agg(F.count("*").alias("n"), F.corr("x", "y").alias("lead_corr")), ("leader", "follower", "n"), "lead_corr", digits=5)
