@@ -83,15 +83,17 @@ def o2_by_absolute_ic(spark, d):
 
 @query(
     V.with_views("clean")
-    + f""", m AS (SELECT symbol, seq, (bid + ask) / 2 AS a, ask - bid AS b, bid_qty::DOUBLE AS c, ask_qty::DOUBLE AS d FROM clean),
-    r AS (SELECT symbol, {", ".join(f"rank() OVER (PARTITION BY symbol ORDER BY {x}) + (count(*) OVER (PARTITION BY symbol, {x}) - 1) / 2 AS {x}" for x in "abcd")} FROM m)
-    SELECT symbol, {rounded(*[f"corr({x}, {y}) AS {x}{y}" for x, y in ("ab", "ac", "ad", "bc", "bd", "cd")], digits=5)} FROM r GROUP BY symbol"""
+    + f""", m AS (SELECT symbol, date, seq, (bid + ask) / 2 AS a, ask - bid AS b, bid_qty::DOUBLE AS c, ask_qty::DOUBLE AS d FROM clean),
+    r AS (SELECT symbol, date, {", ".join(f"rank() OVER (PARTITION BY symbol, date ORDER BY {x}) + (count(*) OVER (PARTITION BY symbol, date, {x}) - 1) / 2 AS {x}" for x in "abcd")} FROM m)
+    SELECT symbol, date, {rounded(*[f"corr({x}, {y}) AS {x}{y}" for x, y in ("ab", "ac", "ad", "bc", "bd", "cd")], digits=5)} FROM r GROUP BY symbol, date"""
 )
 def g15_rank_correlation(spark, d):
-    m = mids(spark, d).select("symbol", F.col("mid").alias("a"), F.col("spread").alias("b"), F.col("bid_qty").alias("c"), F.col("ask_qty").alias("d"))
-    r = m.select("symbol", *[C.mean_rank(["symbol"], F.col(x)).alias(x) for x in "abcd"])
+    """Rank correlations of a session's columns, on all of its rows."""
+    keys = ["symbol", "date"]
+    m = mids(spark, d).select(*keys, F.col("mid").alias("a"), F.col("spread").alias("b"), F.col("bid_qty").alias("c"), F.col("ask_qty").alias("d"))
+    r = m.select(*keys, *[C.mean_rank(keys, F.col(x)).alias(x) for x in "abcd"])
     pairs = [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")]
-    return shown(r.groupBy("symbol").agg(*[F.corr(x, y).alias(x + y) for x, y in pairs]), ("symbol",), *[x + y for x, y in pairs], digits=5)
+    return shown(r.groupBy(*keys).agg(*[F.corr(x, y).alias(x + y) for x, y in pairs]), tuple(keys), *[x + y for x, y in pairs], digits=5)
 
 
 @query(D + f" SELECT a.arm AS arm_a, b.arm AS arm_b, {rounded('corr(a.pnl, b.pnl) AS r')} FROM daily a JOIN daily b ON a.day = b.day AND a.arm < b.arm GROUP BY ALL")
