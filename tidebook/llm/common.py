@@ -73,3 +73,14 @@ def renamed(df: DataFrame, *taken: str) -> DataFrame:
     """df without columns whose names an operator's result needs."""
     low = {t.lower() for t in taken}
     return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 8) -> DataFrame:
+    """Inner join on `key`, which small holds once a value: each value's rows of big go to several tasks.
+
+    small is repeated `salts` times, so it should be narrow.
+    """
+    salt = f"_salt_{uuid.uuid4().hex}"
+    left = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(right, [key, salt]).drop(salt)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, staged, texts_of
+from .common import pieces, salted_join, staged, texts_of
 from .memo import Numbers, grown, kept
 
 WORDS, THRESHOLD = 5, 0.8
@@ -360,7 +360,7 @@ def jaccard_join(docs: DataFrame, **settings) -> DataFrame:
     members, classes = linked_classes(docs, **settings)
     names = classes.groupBy("label").agg(F.min("first_id").alias("class_id"))
     named = classes.join(names, "label").select("h", "class_id", "size", "linked_docs")
-    out = members.join(named, "h")
+    out = salted_join(members, named, "h")
     alone = F.col("empty")
     return out.select(
         "doc_id",
@@ -381,7 +381,7 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     stays = classes.join(best, "label").select("h", (F.col("h") == F.col("best.h")).alias("this"), "first_id")
     # Keys of rows that go: of another class, or of the class but with another id.
     h, gone_h, gone_id = (f"_{c}_{uuid.uuid4().hex}" for c in ("h", "gone_h", "gone_id"))  # names that docs can't have
-    rows = members.filter(~F.col("empty")).join(stays, "h")
+    rows = salted_join(members.filter(~F.col("empty")), stays, "h")
     gone = rows.filter(~(F.col("this") & F.col("doc_id").eqNullSafe(F.col("first_id")))).select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
     marked = docs.withColumn(h, _text_key("text"))
     left = marked.join(gone, (F.col(h) == F.col(gone_h)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
