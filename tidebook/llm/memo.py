@@ -56,7 +56,7 @@ class Numbers:
         if len(self.at) > self.most:
             self.at = {}
         split = [self.cut(t) for t in texts]
-        fresh = sorted(set().union(*split).difference(self.at))
+        fresh = list(set().union(*split).difference(self.at))
         for i in range(0, len(fresh), LEARNED):
             words, first = fresh[i : i + LEARNED], len(self.at)
             self.learn(words, first)

@@ -68,7 +68,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a text that spells one out can't end a document
-        self.numbers = Numbers(parts_of, self._learn)
+        self.numbers = Numbers(parts_of, self._learn, most=800_000)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
