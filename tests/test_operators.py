@@ -29,11 +29,13 @@ def at(s):
 # Functions
 
 
-@pytest.mark.parametrize("z, p", [(0.0, 0.5), (1.0, 0.8413447460685429), (-2.5, 0.006209665325776132), (4.0, 0.9999683287581669), (-6.0, 9.865876450376946e-10), (2.999, 0.998645668), (3.001, 0.998654564)])
-def test_normal_cdf_and_inverse(spark, z, p):
+@pytest.mark.parametrize("z", [0.0, 1.0, -2.5, 4.0, -6.0, 2.999, 3.001, -0.3, 7.5])
+def test_normal_cdf_and_inverse(spark, z):
+    p = math.erfc(-z / math.sqrt(2)) / 2
     r = spark.range(1).select(C.normal_cdf(F.lit(z)).alias("p"), C.normal_ppf(F.lit(p)).alias("z")).first()
-    assert r["p"] == pytest.approx(p, rel=1e-8)
-    assert r["z"] == pytest.approx(z, abs=1e-4)
+    assert r["p"] == pytest.approx(p, rel=1e-9)
+    if z < 7:  # beyond, p is 1 but for its last digits
+        assert r["z"] == pytest.approx(z, abs=1e-6)
 
 
 def test_fee_of_a_round_trip(spark):

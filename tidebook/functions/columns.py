@@ -123,3 +123,8 @@ def mean_rank(window_keys: list, value: Column) -> Column:
     """Rank with ties at their mean."""
     w = Window.partitionBy(*window_keys)
     return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*window_keys, value)) - 1) / 2
+
+
+def correlation(x, y) -> Column:
+    """Pearson correlation of two columns without nulls, as an aggregate; null where one is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

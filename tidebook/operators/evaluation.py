@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.columns import EPS, mean_rank, normal_cdf, normal_ppf
+from tidebook.functions.columns import EPS, correlation, mean_rank, normal_cdf, normal_ppf
 
 
 def signal_ic(df: DataFrame, signals: tuple[str, ...], horizons: tuple[int, ...], keys: tuple[str, ...] = ("symbol", "date"), least: int = 50) -> DataFrame:
@@ -25,7 +25,7 @@ def signal_ic(df: DataFrame, signals: tuple[str, ...], horizons: tuple[int, ...]
     long = long.select(*keys, "s.*", F.inline("ys")).filter("x IS NOT NULL AND y IS NOT NULL")
     group = [*keys, "signal", "horizon"]
     ranked = long.repartition(*group).select(*group, mean_rank(group, F.col("x")).alias("rx"), mean_rank(group, F.col("y")).alias("ry"))
-    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("ic"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
+    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), correlation("rx", "ry").alias("ic"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
     return out.select(*group, "n", F.when((F.col("n") >= least) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("ic")).alias("ic"))
 
 
@@ -199,5 +199,5 @@ def bootstrap(pairs: DataFrame, by: tuple[str, ...], value: str, order: str, dra
     asked = rows.select(*by, "_i", "_n").crossJoin(F.broadcast(draw)).withColumn("_at", place)
     means = asked.select(*by, "_b", F.col("_at").alias("_i")).join(rows.select(*by, "_i", "_x"), [*by, "_i"]).groupBy(*by, "_b").agg(F.avg("_x").alias("_m"))
     spread = means.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"), F.avg(F.when(F.col("_m") > 0, 1.0).otherwise(0.0)).alias("p_gt0"))
-    point = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"), (F.avg("_x") / (F.stddev_samp("_x") / F.sqrt(F.count("*")))).alias("t"))
+    point = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"), F.try_divide(F.avg("_x"), F.stddev_samp("_x") / F.sqrt(F.count("*"))).alias("t"))
     return point.join(spread, list(by))

@@ -79,10 +79,10 @@ def dickey_fuller(df: DataFrame, keys: tuple[str, ...], order: str, value: str =
     c = lambda p, q: F.covar_pop(p, q) * F.count("*")
     m = d.groupBy(*keys).agg(F.count("*").alias("n"), *[c(p, q).alias(p + q) for p, q in (("_l", "_l"), ("_p", "_p"), ("_l", "_p"), ("_l", "_y"), ("_p", "_y"), ("_y", "_y"))])
     det = F.col("_l_l") * F.col("_p_p") - F.col("_l_p") * F.col("_l_p")
-    b1 = (F.col("_l_y") * F.col("_p_p") - F.col("_p_y") * F.col("_l_p")) / det
-    b2 = (F.col("_p_y") * F.col("_l_l") - F.col("_l_y") * F.col("_l_p")) / det
+    b1 = F.try_divide(F.col("_l_y") * F.col("_p_p") - F.col("_p_y") * F.col("_l_p"), det)
+    b2 = F.try_divide(F.col("_p_y") * F.col("_l_l") - F.col("_l_y") * F.col("_l_p"), det)
     rss = F.col("_y_y") - b1 * F.col("_l_y") - b2 * F.col("_p_y")
-    t = b1 / F.sqrt(rss / (F.col("n") - 3) * F.col("_p_p") / det)
+    t = F.try_divide(b1, F.sqrt(F.try_divide(F.try_divide(rss, F.col("n") - 3) * F.col("_p_p"), det)))
     return m.select(*keys, "n", F.when(F.col("n") > 3, t).alias("adf_t")).withColumn("adf_p", unit_root_p(F.col("adf_t")))
 
 

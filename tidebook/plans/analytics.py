@@ -85,7 +85,7 @@ def o2_by_absolute_ic(spark, d):
     V.with_views("clean")
     + f""", m AS (SELECT symbol, date, seq, (bid + ask) / 2 AS a, ask - bid AS b, bid_qty::DOUBLE AS c, ask_qty::DOUBLE AS d FROM clean),
     r AS (SELECT symbol, date, {", ".join(f"rank() OVER (PARTITION BY symbol, date ORDER BY {x}) + (count(*) OVER (PARTITION BY symbol, date, {x}) - 1) / 2 AS {x}" for x in "abcd")} FROM m)
-    SELECT symbol, date, {rounded(*[f"corr({x}, {y}) AS {x}{y}" for x, y in ("ab", "ac", "ad", "bc", "bd", "cd")], digits=5)} FROM r GROUP BY symbol, date"""
+    SELECT symbol, date, {rounded(*[f"CASE WHEN var_pop({x}) > 0 AND var_pop({y}) > 0 THEN corr({x}, {y}) END AS {x}{y}" for x, y in ("ab", "ac", "ad", "bc", "bd", "cd")], digits=5)} FROM r GROUP BY symbol, date"""
 )
 def g15_rank_correlation(spark, d):
     """Rank correlations of a session's columns, on all of its rows."""
@@ -93,14 +93,14 @@ def g15_rank_correlation(spark, d):
     m = mids(spark, d).select(*keys, F.col("mid").alias("a"), F.col("spread").alias("b"), F.col("bid_qty").alias("c"), F.col("ask_qty").alias("d"))
     r = m.select(*keys, *[C.mean_rank(keys, F.col(x)).alias(x) for x in "abcd"])
     pairs = [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")]
-    return shown(r.groupBy(*keys).agg(*[F.corr(x, y).alias(x + y) for x, y in pairs]), tuple(keys), *[x + y for x, y in pairs], digits=5)
+    return shown(r.groupBy(*keys).agg(*[C.correlation(x, y).alias(x + y) for x, y in pairs]), tuple(keys), *[x + y for x, y in pairs], digits=5)
 
 
 @query(D + f" SELECT a.arm AS arm_a, b.arm AS arm_b, {rounded('corr(a.pnl, b.pnl) AS r')} FROM daily a JOIN daily b ON a.day = b.day AND a.arm < b.arm GROUP BY ALL")
 def g16_arm_correlation(spark, d):
     day = V.daily(spark, d)
     j = day.select("day", F.col("arm").alias("arm_a"), F.col("pnl").alias("x")).join(day.select("day", F.col("arm").alias("arm_b"), F.col("pnl").alias("y")), "day").filter("arm_a < arm_b")
-    return shown(j.groupBy("arm_a", "arm_b").agg(F.corr("x", "y").alias("r")), ("arm_a", "arm_b"), "r")
+    return shown(j.groupBy("arm_a", "arm_b").agg(C.correlation("x", "y").alias("r")), ("arm_a", "arm_b"), "r")
 
 
 # Trades
@@ -177,7 +177,7 @@ def g10_cumulative(spark, d):
 def g11_fill_rate(spark, d):
     """Counters run through a day, so their greatest value counts."""
     m = V.trades(spark, d).groupBy("arm", "date").agg(F.max("line").alias("posts"), F.max(F.col("line") % 4).alias("fills"))
-    return shown(m.groupBy("arm").agg(F.sum("posts").alias("posts"), F.sum("fills").alias("fills"), (F.sum("fills") / F.sum("posts")).alias("rate")), ("arm", "posts", "fills"), "rate")
+    return shown(m.groupBy("arm").agg(F.sum("posts").alias("posts"), F.sum("fills").alias("fills"), F.try_divide(F.sum("fills"), F.sum("posts")).alias("rate")), ("arm", "posts", "fills"), "rate")
 
 
 @query(D + f" SELECT arm, count(pnl) AS n, {rounded('skewness(pnl) AS skew', 'kurtosis(pnl) + 3 AS kurt', digits=5)} FROM daily GROUP BY arm")
@@ -187,7 +187,7 @@ def g17_moments(spark, d):
 
 @query(D + f" SELECT arm, {rounded('max(pnl) / sum(pnl) AS concentration', digits=5)}, {rounded('min(pnl) AS worst', digits=2)} FROM daily GROUP BY arm")
 def g21_best_day(spark, d):
-    m = V.daily(spark, d).groupBy("arm").agg((F.max("pnl") / F.sum("pnl")).alias("concentration"), F.min("pnl").alias("worst"))
+    m = V.daily(spark, d).groupBy("arm").agg(F.try_divide(F.max("pnl"), F.sum("pnl")).alias("concentration"), F.min("pnl").alias("worst"))
     return shown(shown(m, ("arm", "concentration"), "worst", digits=2), ("arm", "worst"), "concentration", digits=5)
 
 
@@ -195,14 +195,14 @@ def g21_best_day(spark, d):
 def g32_break_even_rate(spark, d):
     w = F.avg(F.when(F.col("exit_method") == "maker_exit", F.col("net_pnl")))
     loss = F.abs(F.avg(F.when(F.col("exit_method") != "maker_exit", F.col("net_pnl"))))
-    return shown(V.trades(spark, d).groupBy("arm").agg((loss / (w + loss)).alias("break_even")), ("arm",), "break_even", digits=5)
+    return shown(V.trades(spark, d).groupBy("arm").agg(F.try_divide(loss, w + loss).alias("break_even")), ("arm",), "break_even", digits=5)
 
 
 @query(T + f", s AS (SELECT underlying, sum(gross_pnl - fee) AS mid_to_mid, sum(abs(gross_pnl)) AS capture FROM trades GROUP BY underlying) SELECT underlying, {rounded('-mid_to_mid / capture AS retention', digits=5)} FROM s")
 def g31_spread_retention(spark, d):
     """Share of the captured spread at which the result is 0."""
     s = V.trades(spark, d).groupBy("underlying").agg(F.sum(F.col("gross_pnl") - F.col("fee")).alias("m"), F.sum(F.abs("gross_pnl")).alias("c"))
-    return shown(s.withColumn("retention", -F.col("m") / F.col("c")), ("underlying",), "retention", digits=5)
+    return shown(s.withColumn("retention", F.try_divide(-F.col("m"), F.col("c"))), ("underlying",), "retention", digits=5)
 
 
 # Data quality
@@ -246,7 +246,7 @@ def g24_depth_profile(spark, d):
 def g25_log_normal_spread(spark, d):
     l = mids(spark, d).filter("spread > 0").select("symbol", F.ln("spread").alias("x"))  # noqa: E741
     f = l.groupBy("symbol").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sigma"))
-    j = l.join(F.broadcast(f), "symbol").groupBy("symbol", "mu", "sigma").agg(F.avg(F.when(F.abs((F.col("x") - F.col("mu")) / F.col("sigma")) > 2, 1.0).otherwise(0.0)).alias("beyond_two"))
+    j = l.join(F.broadcast(f), "symbol").groupBy("symbol", "mu", "sigma").agg(F.avg(F.when(F.abs(F.try_divide(F.col("x") - F.col("mu"), F.col("sigma"))) > 2, 1.0).otherwise(0.0)).alias("beyond_two"))
     return shown(j, ("symbol",), "mu", "sigma", "beyond_two", digits=5)
 
 
@@ -426,4 +426,4 @@ def a12_lead_lag(spark, d):
     r = b.withColumn("r", F.ln("close") - F.ln(F.lag("close").over(Window.partitionBy("symbol").orderBy("hour")))).filter("r IS NOT NULL")
     lead = r.select(F.col("symbol").alias("leader"), (F.col("hour") + F.expr("INTERVAL 1 HOUR")).alias("hour"), F.col("r").alias("x"))
     j = lead.join(r.select(F.col("symbol").alias("follower"), "hour", F.col("r").alias("y")), "hour").filter("leader <> follower")
-    return shown(j.groupBy("leader", "follower").agg(F.count("*").alias("n"), F.corr("x", "y").alias("lead_corr")), ("leader", "follower", "n"), "lead_corr", digits=5)
+    return shown(j.groupBy("leader", "follower").agg(F.count("*").alias("n"), C.correlation("x", "y").alias("lead_corr")), ("leader", "follower", "n"), "lead_corr", digits=5)

@@ -209,7 +209,7 @@ def u19_ou_fit(spark, d):
 def _positions(spark, d):
     s = G.spread(pairs(spark, d)).withColumns({"ts": F.col("hour"), "seq": F.lit(0).cast("long")})
     f = C.rolling(Window.partitionBy("x", "y").orderBy("hour"), 24)
-    z = F.when(F.count("s").over(f) >= 24, (F.col("s") - F.avg("s").over(f)) / F.stddev_samp("s").over(f))
+    z = F.when(F.count("s").over(f) >= 24, F.try_divide(F.col("s") - F.avg("s").over(f), F.stddev_samp("s").over(f)))
     return R.fade_positions(s.withColumn("z", z).select("x", "y", "hour", "ts", "seq", "s", "z"))
 
 

@@ -177,7 +177,7 @@ def j16_paired_difference(spark, d):
     a = day.select("day", F.col("arm").alias("arm_a"), F.col("pnl").alias("x"))
     b = day.select("day", F.col("arm").alias("arm_b"), F.col("pnl").alias("y"))
     diff = F.col("x") - F.col("y")
-    g = a.join(b, "day").filter("arm_a < arm_b").groupBy("arm_a", "arm_b").agg(F.count("*").alias("n"), F.avg(diff).alias("mean_diff"), (F.avg(diff) / (F.stddev_samp(diff) / F.sqrt(F.count("*")))).alias("t"))
+    g = a.join(b, "day").filter("arm_a < arm_b").groupBy("arm_a", "arm_b").agg(F.count("*").alias("n"), F.avg(diff).alias("mean_diff"), F.try_divide(F.avg(diff), F.stddev_samp(diff) / F.sqrt(F.count("*"))).alias("t"))
     return shown(g, ("arm_a", "arm_b", "n"), "mean_diff", "t", digits=4)
 
 
@@ -221,7 +221,7 @@ def w7_rolling_beta(spark, d):
     b = V.bars(spark, d)
     p = b.select(F.col("symbol").alias("x"), "hour", F.ln("close").alias("la")).join(b.select(F.col("symbol").alias("y"), "hour", F.ln("close").alias("lb")), "hour").filter("x < y")
     f = C.rolling(Window.partitionBy("x", "y").orderBy("hour"), 24)
-    beta = F.when(F.count("*").over(f) >= 24, F.covar_samp("la", "lb").over(f) / F.var_samp("lb").over(f))
+    beta = F.when(F.count("*").over(f) >= 24, F.try_divide(F.covar_samp("la", "lb").over(f), F.var_samp("lb").over(f)))
     return shown(p.withColumn("beta", beta).groupBy("x", "y").agg(F.avg("beta").alias("mean_beta"), F.stddev_samp("beta").alias("beta_drift")), ("x", "y"), "mean_beta", "beta_drift", digits=5)
 
 

@@ -30,8 +30,8 @@ def recordings(spark: SparkSession, root: str, symbols: list[str] | None = None,
 def one_contract(df: DataFrame) -> DataFrame:
     """Fails where an underlying's day has several contracts; else df as it is."""
     n = F.size(F.collect_set("symbol").over(Window.partitionBy("underlying", "trading_date")))
-    checked = F.when(n > 1, F.raise_error(F.concat(F.lit("several contracts of "), "underlying", F.lit(" on "), F.col("trading_date").cast("string")))).otherwise(F.lit(True))
-    return df.filter(checked)
+    said = F.concat(F.lit("several contracts of "), "underlying", F.lit(" on "), F.col("trading_date").cast("string"))
+    return df.withColumn("_ok", F.when(n > 1, F.raise_error(said)).otherwise(F.lit(True))).filter("_ok").drop("_ok")
 
 
 def levels(df: DataFrame) -> DataFrame:
