@@ -26,6 +26,8 @@ from .memo import Numbers, kept
 #: so many characters at a place that its id decides.
 SAMPLE_PER_LABEL = 250
 SAMPLE_CHARS = 2000
+#: Languages that are learned, the most frequent ones.
+MOST_LABELS = 256
 #: Training sequences, each of one to three segments of sampled documents, and words a segment.
 SEQUENCES = 2400
 SEGMENT = 24
@@ -111,7 +113,8 @@ class Reader:
 def training_sample(docs: DataFrame, fold: F.Column, text_col: str, label_col: str, id_col: str, per_label: int, chars: int) -> list[tuple[str, str]]:
     """About `per_label` rows of each label where `fold` holds, chosen by a hash of their id."""
     usable = docs.filter(fold & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(F.col(label_col).cast("string")).count().collect()}
+    sizes = usable.groupBy(F.col(label_col).cast("string").alias("label")).count()
+    counts = {r[0]: r[1] for r in sizes.orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()}
     if not counts:
         return []
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000)) / 1e6

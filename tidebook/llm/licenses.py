@@ -77,13 +77,18 @@ class Template:
     def __init__(self, license_: str, text: str):
         self.license, self.words = license_, WORD.findall(text.lower())
         self.seeds = {w for w in self.words if SEED.match(w)}
+        self.counts = Counter(self.words)
         self.least = next(share for upto, share in LEAST if len(self.words) <= upto)
 
     def match(self, words: list[str], at: int) -> tuple[float, int, int, int] | None:
         """(coverage, first word, last word, matched) of the template near word `at`, if it is covered."""
         n = len(self.words)
         low = max(0, at - n - n // 2)
-        pairs = patience(words[low : at + n + n // 2 + 1], self.words)
+        window = words[low : at + n + n // 2 + 1]
+        present = set(window)
+        if sum(c for w, c in self.counts.items() if w in present) < self.least * n:
+            return None  # even all words that are there would not cover it
+        pairs = patience(window, self.words)
         # Words aligned far from the rest are chance; the run around the most words stays.
         runs: list[list[int]] = []
         for k, _ in pairs:
