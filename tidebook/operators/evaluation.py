@@ -94,6 +94,37 @@ def sharpe(daily: DataFrame, *by: str, value: str = "pnl", days: int | None = No
     return daily.groupBy(*by).agg(out.alias("sharpe"))
 
 
+def run_summary(trades: DataFrame, *by: str, day: str = "date", days: int = 252) -> DataFrame:
+    """Trade metrics, annualised Sharpe of daily results and drawdown, from one pass over the trades.
+
+    Trades are summed by day first; all else is worked out from the days.
+    """
+    net = F.col("net_pnl")
+    d = trades.groupBy(*by, day).agg(
+        F.count("*").alias("_n"),
+        F.sum(net).alias("_net"),
+        F.sum("gross_pnl").alias("_gross"),
+        F.sum("fee").alias("_fee"),
+        F.count_if(net > 0).alias("_wins"),
+        F.sum(F.when(net > 0, net).otherwise(0.0)).alias("_won"),
+        F.sum(F.when(net < 0, -net).otherwise(0.0)).alias("_lost"),
+    )
+    w = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_cum", F.sum("_net").over(w)).withColumn("_down", F.col("_cum") - F.max("_cum").over(w))
+    lost = F.sum("_lost")
+    return d.groupBy(*by).agg(
+        F.sum("_n").alias("n_trades"),
+        F.count("*").alias("n_days"),
+        F.sum("_net").alias("net"),
+        F.sum("_gross").alias("gross"),
+        F.sum("_fee").alias("fees"),
+        (F.sum("_wins") / F.sum("_n")).alias("win_rate"),
+        F.when(lost > 0, F.sum("_won") / lost).otherwise(F.lit(float("inf"))).alias("profit_factor"),
+        F.when(F.count("*") >= 2, F.avg("_net") / (F.stddev_samp("_net") + EPS) * F.sqrt(F.lit(float(days)))).alias("sharpe"),
+        F.min("_down").alias("max_drawdown"),
+    )
+
+
 def moments(daily: DataFrame, *by: str, value: str = "pnl") -> DataFrame:
     """n, per-period Sharpe, bias-corrected skewness, and bias-corrected kurtosis plus 3."""
     n = F.count(value).cast("double")

@@ -31,6 +31,15 @@ def ema(df: DataFrame, value: str, name: str, alpha: float | None = None, span:
     return _grouped(df, keys, f"{name} double", work)
 
 
+def emas(df: DataFrame, values: dict[str, str], span: int, keys: tuple[str, ...] = SESSION) -> DataFrame:
+    """Several exponential means of one span, name by value column, in one grouped map."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(**{n: rows[v].astype(float).ewm(span=span, adjust=False).mean() for v, n in values.items()})
+
+    return _grouped(df, keys, ", ".join(f"{n} double" for n in values.values()), work)
+
+
 def kalman_levels(z: np.ndarray, dt: np.ndarray, q: float, r: float, dt0: float) -> tuple[np.ndarray, np.ndarray]:
     """Level and velocity of a constant-velocity filter; the first value sets the state."""
     n = len(z)

@@ -80,11 +80,11 @@ def p23_data_driven_composite(spark, d):
 
 @query()
 def p24_feature_pipeline(spark, d):
-    """Every book feature in order, both composites smoothed in one grouped map each."""
+    """Every book feature in order, both composites smoothed in one grouped map."""
     df = X.centre_of_gravity(X.symmetry(X.fragmentation(X.gradient(_book_features(spark, d)))))
     df = X.flow_composite(X.composite(X.flow_levels(X.microprice(df))))
     names = ["a1_asymmetry", "a2_bid_fragmentation", "a3_symmetry_break", "a4_cog_divergence", "a5_condensation_signal", "a6_ask_shallowing", "micro_deviation", "ofi_ml", "composite_raw", "flow_raw"]
-    df = R.ema(R.ema(df.select("symbol", "date", "ts", "seq", *names), "composite_raw", "composite_eq", span=100), "flow_raw", "flow_eq", span=100)
+    df = R.emas(df.select("symbol", "date", "ts", "seq", *names), {"composite_raw": "composite_eq", "flow_raw": "flow_eq"}, span=100)
     return shown(df, KEYS, *names, "composite_eq", "flow_eq", digits=4)
 
 

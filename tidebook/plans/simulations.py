@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebook.operators import evaluation as E
@@ -83,30 +84,24 @@ def e8_trade_log(spark, d):
 @query()
 def e9_walk_forward(spark, d):
     """One parameter set over all sessions: daily results and their statistics."""
-    t = S.backtest(_signals(spark, d), MAKERS[:1])
-    daily = t.groupBy("symbol", F.col("date").alias("day")).agg(F.sum("net_pnl").alias("pnl"))
-    out = E.trade_metrics(t, "symbol").join(E.sharpe(daily, "symbol", days=252), "symbol").join(E.drawdown(daily, "pnl", ("symbol",), ("day",)), "symbol")
+    out = E.run_summary(S.backtest(_signals(spark, d), MAKERS[:1]), "symbol")
     return shown(out, ("symbol", "n_trades"), "net", "gross", "fees", "win_rate", "sharpe", "max_drawdown", digits=4)
 
 
 @query()
 def e10_grid_search(spark, d):
     """Every set over every session, the sets ordered by Sharpe, those without one last."""
-    t = S.backtest(_signals(spark, d), GRID)
-    daily = t.groupBy("param_id", "date").agg(F.sum("net_pnl").alias("pnl"))
-    out = E.trade_metrics(t, "param_id").join(E.sharpe(daily, "param_id", days=252), "param_id").join(S.params_frame(spark, GRID).select("param_id", "threshold", "max_hold", "stop_ticks"), "param_id")
+    sets = S.params_frame(spark, GRID).select("param_id", "threshold", "max_hold", "stop_ticks")
+    out = E.run_summary(S.backtest(_signals(spark, d), GRID), "param_id").join(F.broadcast(sets), "param_id")
     return shown(out, ("param_id", "threshold", "max_hold", "stop_ticks", "n_trades"), "net", "win_rate", "sharpe", digits=4).orderBy(F.desc_nulls_last("sharpe"), "param_id")
 
 
 @query()
 def e11_train_test(spark, d):
     """The training days' best set on the days after them."""
-    t = S.backtest(_signals(spark, d), GRID)
-    days = t.select("date").distinct()
-    from pyspark.sql import Window
-
-    place = days.select("date", (F.row_number().over(Window.orderBy("date")) <= F.floor(F.count("*").over(Window.partitionBy()) * 0.75)).alias("train"))
-    daily = t.join(F.broadcast(place), "date").groupBy("param_id", "train", "date").agg(F.sum("net_pnl").alias("pnl"))
-    s = E.sharpe(daily, "param_id", "train").groupBy("param_id").pivot("train", [True, False]).agg(F.first("sharpe"))
+    daily = S.backtest(_signals(spark, d), GRID).groupBy("param_id", "date").agg(F.sum("net_pnl").alias("pnl"))
+    # Days are few: their places come from the daily results themselves.
+    place = F.dense_rank().over(Window.partitionBy("param_id").orderBy("date")) <= F.floor(F.count("*").over(Window.partitionBy("param_id")) * 0.75)
+    s = E.sharpe(daily.withColumn("train", place), "param_id", "train").groupBy("param_id").pivot("train", [True, False]).agg(F.first("sharpe"))
     s = s.withColumnsRenamed({"true": "train_sharpe", "false": "test_sharpe"})
     return shown(s.orderBy(F.desc_nulls_last("train_sharpe"), "param_id").limit(1), ("param_id",), "train_sharpe", "test_sharpe", digits=4)
