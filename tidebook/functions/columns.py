@@ -121,8 +121,9 @@ def normal_cdf(z: Column) -> Column:
 
 def mean_rank(window_keys: list, value: Column) -> Column:
     """Rank with ties at their mean."""
-    w = Window.partitionBy(*window_keys)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*window_keys, value)) - 1) / 2
+    w = Window.partitionBy(*window_keys).orderBy(value)
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))  # in the same window as the rank
+    return F.rank().over(w) + (ties - 1) / 2
 
 
 def correlation(x, y) -> Column:

@@ -126,13 +126,13 @@ def run_summary(trades: DataFrame, *by: str, day: str = "date", days: int = 252)
 
 
 def moments(daily: DataFrame, *by: str, value: str = "pnl") -> DataFrame:
-    """n, per-period Sharpe, bias-corrected skewness, and bias-corrected kurtosis plus 3."""
+    """n, n_days (values that aren't 0), per-period Sharpe, bias-corrected skewness, and bias-corrected kurtosis plus 3."""
     n = F.count(value).cast("double")
     g1, g2 = F.skewness(value), F.kurtosis(value)
     skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 3)
     sd = F.stddev_samp(value)
-    return daily.groupBy(*by).agg(F.count(value).alias("n"), F.when(sd > 0, F.avg(value) / sd).otherwise(0.0).alias("sharpe"), skew.alias("skew"), kurt.alias("kurt"))
+    return daily.groupBy(*by).agg(F.count(value).alias("n"), F.count(F.when(F.col(value) != 0, 1)).alias("n_days"), F.when(sd > 0, F.avg(value) / sd).otherwise(0.0).alias("sharpe"), skew.alias("skew"), kurt.alias("kurt"))
 
 
 def psr(sr: Column, n: Column, skew: Column, kurt: Column, star: Column) -> Column:
@@ -156,7 +156,7 @@ def deflated(daily: DataFrame, arm: str = "arm", value: str = "pnl") -> DataFram
 
     The arms are the trials: a summary row each, few enough for one broadcast row of totals.
     """
-    m = moments(daily, arm, value=value).join(daily.groupBy(arm).agg(F.count(F.when(F.col(value) != 0, 1)).alias("n_days")), arm)
+    m = moments(daily, arm, value=value)
     trials = m.agg(F.stddev_samp("sharpe").alias("_sd"), F.count("*").cast("double").alias("_n"))
     m = m.crossJoin(F.broadcast(trials)).withColumn("sr_star", expected_best(F.col("_sd"), F.col("_n")))
     args = [F.col(c) for c in ("sharpe", "n_days", "skew", "kurt")]
@@ -169,6 +169,7 @@ def pbo(matrix: DataFrame, arm: str = "arm", day: str = "day", value: str = "pnl
     matrix is long; days that an arm lacks go. Blocks are of equal length (a tail goes), and each
     split's means come from block sums, so the splits cost a re-aggregation of blocks x arms.
     """
+    matrix = matrix.select(arm, day, value).persist()  # days x arms: a summary, read three times
     arms = matrix.select(arm).distinct().count()
     whole = matrix.filter(F.col(value).isNotNull()).groupBy(day).agg(F.count("*").alias("_n")).filter(F.col("_n") == arms).select(day)
     days = whole.count()

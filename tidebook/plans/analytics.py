@@ -325,7 +325,7 @@ def u9_block_bootstrap(spark, d):
 @query()
 def u10_arm_report(spark, d):
     """Each arm with its statistics, and a verdict from the sign of its difference's interval."""
-    daily = V.daily(spark, d)
+    daily = V.daily(spark, d).persist()  # days x arms
     stats = E.deflated(daily).join(E.effective_size(daily, "pnl", ("arm",), ("day",)).drop("n"), "arm").join(E.drawdown(daily, "pnl", ("arm",), ("day",)), "arm")
     diff = E.bootstrap(_diffs(spark, d), ("arm",), "diff", "day").select("arm", "low", "high")
     out = stats.join(diff, "arm", "left").withColumn("verdict", F.when(F.col("low") > 0, "real").when(F.col("high") < 0, "worse").when(F.col("low").isNotNull(), "inconclusive"))
