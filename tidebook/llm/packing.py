@@ -68,7 +68,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a text that spells one out can't end a document
-        self.numbers = Numbers(parts_of, self._learn, most=800_000)
+        self.numbers = Numbers(parts_of, self._learn, most=500_000)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
@@ -102,7 +102,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept("encoder", tokenizer, lambda: Encoder(tokenizer))
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             out: list[tuple] = []
             rows, keys = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()
             for row, key, ids in zip(rows, keys, encoder.batch(texts_of(batch, "text"))):

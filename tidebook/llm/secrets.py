@@ -274,7 +274,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = kept("secrets", key, lambda: Tagger(shared.value)) if shared.value else None
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 3 << 20):
             texts = texts_of(batch, "text")
             rows = []
             for text, extra in zip(texts, tagger.spans(texts) if tagger else [[]] * len(texts)):
@@ -296,7 +296,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", sample: int = SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = kept("secrets", key, lambda: Tagger(shared.value)) if shared.value else None
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 3 << 20):
             given, texts = batch.column("text").to_pylist(), texts_of(batch, "text")
             out = []
             for old, text, extra in zip(given, texts, tagger.spans(texts) if tagger else [[]] * len(texts)):
