@@ -11,7 +11,7 @@ from tidebook.operators import recurrences as R
 from tidebook.operators import regime as G
 from tidebook.sources import views as V
 
-from .features import _A5, _A6, _BEFORE, _OFI, _RAW, _SUMS_W, KEYS, W, _z, frame
+from .features import _A5, _A6, _BEFORE, _OFI, _RAW, _SUMS_W, KEYS, W, _z
 from .registry import query, rounded, shown
 from .relations import mids
 
