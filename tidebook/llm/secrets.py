@@ -2,7 +2,7 @@
 
 The field tags tokens as the begin of a secret, inside or outside, from a token's shape, its
 neighbours and features of the file, decoded by Viterbi. Spans it finds are added to those of
-the patterns, which always stay.
+the patterns, which always stay, unless the patterns' spans cover them. They may overlap those.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ SAMPLE, SAMPLE_CHARS = 1500, 1200
 WIDTH, ROUNDS = 1 << 14, 50
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
-TOKEN = re.compile(r"""[^\s:="'(),;<>\[\]{}|!]+|[:="'(),;<>\[\]{}|!]""")
+TOKEN = re.compile(r"""[^\s:="'(),;<>\[\]{}|]+|[:="'(),;<>\[\]{}|]""")
 CUES = re.compile(r"pass|pwd|secret|token|api|key|auth|bearer|cred|private|login|akia|sk_|ghp_")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long"
 
@@ -241,11 +241,19 @@ class Tagger:
         return out
 
 
+def covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether spans (sorted) hold every character from start to end."""
+    for a, _, b in spans:
+        if a > start:
+            break
+        start = max(start, b)
+    return start >= end
+
+
 def scan(text: str, extra: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and those with the field's spans that meet no base span (kind 3)."""
+    """Base spans, and those with the field's spans that reach beyond all base spans (kind 3), whole."""
     base = base_spans(text)
-    added = [(s, 3, e) for s, e in extra if all(e <= b or s >= d for b, _, d in base)]
-    return base, sorted(base + added)
+    return base, sorted(base + [(s, 3, e) for s, e in extra if not covered(s, e, base)])
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:
@@ -290,6 +298,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
     """docs with the secret values in `text` replaced by a mark; the name of an assignment stays.
 
+    Values that overlap are replaced as one, by their union.
     All other columns stay as they are; null texts stay null.
     """
     shared, key = trained(docs.select("doc_id", "text"), "text", "doc_id", sample, chars), uuid.uuid4().hex
