@@ -25,6 +25,8 @@ Q = 10
 EDITS = 0.08
 #: Characters of items that are broadcast at once; a larger benchmark is searched in such blocks.
 BLOCK_CHARS = 8_000_000
+#: Pairs of text and item, and bands of diagonals, that one int64 key tells apart; the band of diagonal 0.
+PAIRS, _BANDS, _ZERO = 1 << 30, 1 << 33, 1 << 32
 SCHEMA = "doc_id long, item_id long, distance long, start long, end long, item_chars long"
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = re.compile(r"\s")
@@ -91,8 +93,15 @@ class Items:
 
     def candidates(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
         """(text, item, first diagonal, last diagonal) of the bands that meet the bound."""
-        if not len(self.hash) or not texts:
+        if not len(self.hash):
             return []
+        out = []
+        most = max(1, PAIRS // len(self.ids))
+        for first in range(0, len(texts), most):
+            out += [(first + t, *rest) for t, *rest in self._candidates(texts[first : first + most])]
+        return out
+
+    def _candidates(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
         sizes = np.array([len(t) for t in texts], np.int64)
         starts = np.cumsum(sizes) - sizes
         grams = qgrams(np.concatenate(texts), self.q)
@@ -110,11 +119,11 @@ class Items:
         item, text = self.item[row], np.repeat(text, n)
         diagonal = np.repeat(at, n) - starts[text] - self.place[row]
         step = self.budget[item] + 1
-        band = np.floor_divide(diagonal, step) + (1 << 22)
-        key, counts = np.unique((text * len(self.ids) + item) * (1 << 33) + band, return_counts=True)
+        band = np.floor_divide(diagonal, step) + _ZERO
+        key, counts = np.unique((text * len(self.ids) + item) * _BANDS + band, return_counts=True)
         after = np.zeros(len(key), np.int64)
         after[:-1] = np.where(key[1:] == key[:-1] + 1, counts[1:], 0)
-        pair = key >> 33
+        pair = key // _BANDS
         item = pair % len(self.ids)
         good = counts + after >= self.least[item]
         # A band whose lower half alone is empty begins one step lower; the half above covers it.
@@ -122,7 +131,7 @@ class Items:
         for key_, pair_ in zip(key[good].tolist(), pair[good].tolist()):
             i, t = pair_ % len(self.ids), pair_ // len(self.ids)
             width = int(self.budget[i]) + 1
-            low = ((key_ & ((1 << 33) - 1)) - (1 << 22)) * width
+            low = ((key_ % _BANDS) - _ZERO) * width
             out.append((t, i, low, low + 2 * width - 1))
         return out
 
