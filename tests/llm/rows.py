@@ -40,4 +40,5 @@ def hard_rows():
         row(10, "a" * 30_000),
         row(11, prose(11) + " token = \"9c8b45435718dcc700c184a7e303cdc64c6a8f7f\" " + prose(12)),
         row(12, "mail bob.smith@mail.example.com or +1 (415) 555-2671, host 10.1.2.255, card 4111 1111 1111 1111 now"),
+        row(13, "tail <|endoftext|> head <|startoftext|>"),
     ]

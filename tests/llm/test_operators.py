@@ -552,8 +552,24 @@ def test_packing_of_hard_rows(hard, none):
 def test_packing_in_rounds_is_nearly_full(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
-    n, total = check_packing(rows, packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), items_per_task=25, fan_in=2))
-    assert n <= math.ceil(total / 2048) * 1.03 + 1
+    one, total = check_packing(rows, packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json")))
+    assert one <= math.ceil(total / 2048) * 1.01 + 1
+    for fan_in, rounds in ((2, 4), (4, 1)):
+        n, _ = check_packing(rows, packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), items_per_task=25, fan_in=fan_in, rounds=rounds))
+        assert n <= math.ceil(total / 2048) * 1.03 + 1
+
+
+def test_no_two_packed_bins_fit_together(spark):
+    rng = random.Random(4)
+    sizes = [rng.choice([1, 3, 40, 51, 60, 70, 99]) for _ in range(3000)] + [51] * 400
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, size int").repartition(6)
+    out = packing.pack_items(items, 100, items_per_task=100, fan_in=4, rounds=4).collect()
+    assert sorted(r["item"] for r in out) == list(range(len(sizes)))
+    load = Counter()
+    for r in out:
+        load[r["seq"]] += sizes[r["item"]]
+    low, next_ = sorted(load.values())[:2]
+    assert low + next_ > 100 or len(load) == 1
 
 
 def test_packing_odd_texts():
@@ -562,7 +578,7 @@ def test_packing_odd_texts():
 
     path = tokenizer_file("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert 49407 in t.encode(texts[4], add_special_tokens=False).ids
     for text, ids in zip(texts, packing.Encoder(path).batch(texts)):
         assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 0], text
 

@@ -4,8 +4,14 @@ Documents become token ids with an end id; longer ones are cut into pieces of th
 length. Full pieces are sequences of their own. Shorter pieces are dealt at random over
 partitions, each of which packs its own by best fit, longest first, and emits the bins that
 are nearly full. What is left are underfull bins, and these are the items of the next round,
-over fewer partitions, up the tree, until one group holds them all or a round no longer saves
-bins. An underfull bin carries only the keys and lengths of its pieces.
+over fewer partitions, up the tree, until one group holds them all. An underfull bin carries
+only the keys and lengths of its pieces.
+
+Best fit leaves no two bins of a group that would fit together, so at most one of them is half
+full or less. A later round can only add such bins to others, one for each group below it, and
+for that the bins with most room are enough. So of its other bins a group hands up those
+with most room, as many as there are groups below one node of the tree in all rounds, and emits
+the rest: they are as full as they can get.
 """
 
 from __future__ import annotations
@@ -28,9 +34,9 @@ from .memo import Numbers, grown, kept
 SEQUENCE = 2048
 #: A bin with at most this share of room left is emitted before the last round.
 SLACK = 0.01
-#: Rounds stop once a round saves less than this share of the bins it was given.
-LEAST_GAIN = 0.01
-FAN_IN = 8
+FAN_IN = 64
+#: Rounds for which a group hands up bins with room: enough for FAN_IN ** ROUNDS groups.
+ROUNDS = 4
 #: Items that one task packs in the first round (about 24 bytes each).
 ITEMS_PER_TASK = 200_000
 
@@ -67,7 +73,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text that spells one out can't end a document
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)) if special else None
         self.numbers = Numbers(parts_of, self._learn, most=500_000)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
@@ -84,7 +91,17 @@ class Encoder:
         self.count[first:last] = sizes
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, with id 0 after the last."""
+        """The ids of each text, with id 0 after the last.
+
+        A text that spells out one of the tokenizer's special tokens is encoded whole.
+        """
+        whole = [k for k, t in enumerate(texts) if self.special and self.special.search(t)]
+        if whole:
+            out = dict(zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)))
+            others = iter(self.batch([t for k, t in enumerate(texts) if k not in out]))
+            return [np.append(np.array(out[k].ids, np.uint32), np.uint32(0)) if k in out else next(others) for k in range(len(texts))]
+        if not texts:
+            return []
         at, parts = self.numbers.batch(texts)
         sizes = self.count[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -149,8 +166,16 @@ def best_fit(sizes: np.ndarray, room: int) -> np.ndarray:
 BINS = "seq long, used int, full boolean, members array<long>, sizes array<int>, starts array<long>"
 
 
-def _pack_group(length: int, least: int, level: int):
-    """Pack the bins of one partition as items; a bin is full when it holds `least` tokens.
+def _handed_up(total: np.ndarray, length: int, least: int, carried: int) -> np.ndarray:
+    """Which bins go up the tree: those half full or less, and of the others below `least` the `carried` with most room."""
+    up = 2 * total <= length
+    others = np.flatnonzero(~up & (total < least))
+    up[others[np.argsort(total[others], kind="stable")[:carried]]] = True
+    return up
+
+
+def _pack_group(length: int, least: int, level: int, carried: int):
+    """Pack the bins of one partition as items; `full` are the bins that are not handed up.
 
     Bins are numbered by level, partition and place.
     """
@@ -179,7 +204,7 @@ def _pack_group(length: int, least: int, level: int):
         columns = {
             "seq": pa.array(first + np.arange(len(total))),
             "used": pa.array(total),
-            "full": pa.array(total >= least),
+            "full": pa.array(~_handed_up(total, length, least, carried)),
             "members": pa.ListArray.from_arrays(offsets, members.flatten()),
             "sizes": pa.ListArray.from_arrays(offsets, flat),
             "starts": pa.ListArray.from_arrays(offsets, pa.array(starts)),
@@ -189,30 +214,30 @@ def _pack_group(length: int, least: int, level: int):
     return run
 
 
-def pack_items(items: DataFrame, length: int = SEQUENCE, slack: float = SLACK, items_per_task: int = ITEMS_PER_TASK, fan_in: int = FAN_IN) -> DataFrame:
+def pack_items(items: DataFrame, length: int = SEQUENCE, slack: float = SLACK, items_per_task: int = ITEMS_PER_TASK, fan_in: int = FAN_IN, rounds: int = ROUNDS) -> DataFrame:
     """(item, size) -> (item, seq, offset): every item once, sizes of 1 to `length`.
 
-    `item` must be unique. Rounds over fewer and fewer partitions; a round's result is written
-    to the shared folder, so a lost executor repeats one round at most.
+    `item` must be unique. After the first round a group hands up at most one bin that is half
+    full or less and fan_in x rounds others. Every round goes on with a `fan_in`-th of the groups,
+    down to one. A round's result is written to the shared folder, so a lost executor repeats one
+    round at most.
     """
-    least = length - int(length * slack)
+    least, carried = length - int(length * slack), fan_in * rounds
     n = items.count()
     tasks = max(1, -(-n // items_per_task))
     bins = items.select(
         F.col("size").cast("int").alias("used"), F.array("item").alias("members"), F.array(F.col("size").cast("int")).alias("sizes"), F.xxhash64("item").alias("deal")
     )
     done: list[DataFrame] = []
-    level, before = 0, None
+    level = 0
     while True:
-        packed = bins.repartition(tasks, "deal").select("used", "members", "sizes").mapInArrow(_pack_group(length, least, level), BINS)
+        packed = bins.repartition(tasks, "deal").select("used", "members", "sizes").mapInArrow(_pack_group(length, least, level, carried), BINS)
         packed = staged(packed, "bins")
-        left = packed.filter(~F.col("full"))
-        rest = left.count()
-        last = tasks == 1 or (before is not None and rest > (1 - LEAST_GAIN) * before) or rest == 0
-        done.append(packed if last else packed.filter("full"))
-        if last:
+        done.append(packed if tasks == 1 else packed.filter("full"))
+        if tasks == 1:
             break
-        level, before, tasks = level + 1, rest, max(1, -(-tasks // fan_in), min(tasks, -(-rest // items_per_task)))
+        left = packed.filter(~F.col("full"))
+        level, tasks = level + 1, -(-tasks // fan_in)
         bins = left.select("used", "members", "sizes", F.xxhash64("seq").alias("deal"))
     every = done[0]
     for other in done[1:]:
@@ -223,9 +248,11 @@ def pack_items(items: DataFrame, length: int = SEQUENCE, slack: float = SLACK, i
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False, **settings) -> DataFrame:
     """Pack every document into sequences of at most `length` tokens; one row per piece.
 
-    Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids). Null and empty
-    texts are a document of the end id alone. Repeated rows and null ids are packed like any
-    other row. An empty table gives no rows. Ties between bins go to the one freed last.
+    Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids). The ids are those of
+    the tokenizer, also where a text spells out a special token. Null and empty texts are a document
+    of the end id alone. Repeated rows and null ids are packed like any other row; other columns are
+    not read. An empty table gives no rows. Ties between bins go to the one freed last. A very long
+    text is encoded by one task and cut into as many full sequences as it fills.
     """
     cut = staged(token_pieces(docs, tokenizer, length, text_col, id_col, with_ids), "pieces")
     short = F.col("length") < length
