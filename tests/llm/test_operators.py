@@ -511,6 +511,21 @@ def test_archives_small_payloads_ties_and_nothing(spark):
     assert warc.read_records(spark, warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_one_index_of_several_stores(spark, tmp_path):
+    made = []
+    for k in range(2):
+        pages = spark.createDataFrame([(10 * k + i, "u", f"{k} page {i} " * 50, "", "", "") for i in range(8)], PAGES)
+        made.append(warc.write_archives(pages, folder=f"file://{tmp_path}/store{k}"))
+    got = warc.read_records(spark, made[0].unionByName(made[1]), with_payload=True).collect()
+    assert {r["page_id"]: r["payload"].decode() for r in got} == {10 * k + i: f"{k} page {i} " * 50 for k in range(2) for i in range(8)}
+
+
+def test_read_tasks_follow_bytes(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert warc.read_tasks(spark, 0) == 1 and warc.read_tasks(spark, 5 << 20) == min(5, 3 * cores)
+    assert warc.read_tasks(spark, 100 << 30) == 1600 and warc.read_tasks(spark, 1 << 30) == max(16, 3 * cores)
+
+
 def test_reads_are_coalesced():
     rows = [("a", 0, 10), ("a", 10, 10), ("a", 500, 5), ("b", 505, 5)]
     assert [(p, s, e) for p, s, e, _ in warc.coalesced(rows, gap=16, most=100)] == [("a", 0, 20), ("a", 500, 505), ("b", 505, 510)]

@@ -12,7 +12,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +25,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "<urn:page:%s>"
 #: Copies of each repeated digest in the join, so that the pages of one digest go to many tasks.
 SALT = 16
-#: Bytes after which a task begins another archive.
-ROLL = 256 << 20
+#: Bytes and records after which a task begins another archive.
+ROLL, RECORDS = 256 << 20, 200_000
 #: Records of one region of a file are read by one task; ranges with at most GAP bytes between
 #: them become one read of at most READ bytes.
-REGION, GAP, READ = 8 << 20, 64 << 10, 2 << 20
+REGION, GAP, READ = 2 << 20, 64 << 10, 2 << 20
+#: Archive bytes that one task reads, and fewer where there are not as many tasks as three for each core.
+TASK_BYTES, LEAST_TASK_BYTES = 64 << 20, 1 << 20
 
 INDEX = "page_id long, url string, payload_digest string, record_type string, path string, offset long, length long"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -114,33 +116,37 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
+        kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64()]
+        names = [f.split()[0] for f in INDEX.split(", ")]
         out, path, at = None, "", 0
         rows: list[tuple] = []
+
+        def told() -> pa.RecordBatch:
+            # Index rows are told only once their archive is complete.
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
         for batch in batches:
             for page_id, url, payload, first, revisit in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
-                if out is None or at >= roll:
-                    if out:
-                        out.close()
+                if out is not None and (at >= roll or len(rows) >= RECORDS):
+                    yield told()
+                    out, rows = None, []
+                if out is None:
                     path, at = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(path, compression=None)
                 data, said = record(page_id, url, payload, first, revisit)
                 out.write(data)
                 rows.append((page_id, url, said, "revisit" if revisit else "response", path, at, len(data)))
                 at += len(data)
-        if out:
-            out.close()
-        # Index rows are told only once their archive is complete.
-        kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64()]
-        names = [f.split()[0] for f in INDEX.split(", ")]
-        for i in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000]), kinds)], names=names)
+        if out is not None:
+            yield told()
 
     return staged(records.mapInArrow(run, INDEX), "warc-index").withColumn("store", F.lit(folder))
 
 
-def coalesced(rows: list[tuple[str, int, int]], gap: int = GAP, most: int = READ) -> list[tuple[str, int, int, list[tuple[int, int]]]]:
+def coalesced(rows: list[tuple[Hashable, int, int]], gap: int = GAP, most: int = READ) -> list[tuple[Hashable, int, int, list[tuple[int, int]]]]:
     """Sorted (path, offset, length) as reads: (path, first, last, [(offset, length)...])."""
-    out: list[tuple[str, int, int, list[tuple[int, int]]]] = []
+    out: list[tuple[Hashable, int, int, list[tuple[int, int]]]] = []
     for path, offset, length in rows:
         if out and out[-1][0] == path and offset <= out[-1][2] + gap and offset + length - out[-1][1] <= most:
             _, first, last, held = out[-1]
@@ -151,11 +157,17 @@ def coalesced(rows: list[tuple[str, int, int]], gap: int = GAP, most: int = READ
     return out
 
 
-def read_records(spark: SparkSession, index: DataFrame, with_payload: bool = False, region: int = REGION, gap: int = GAP, most: int = READ) -> DataFrame:
-    """The records that `index` (all of it, or a selection) names, parsed and checked.
+def read_tasks(spark: SparkSession, total: int, task_bytes: int = TASK_BYTES) -> int:
+    """How many tasks read `total` bytes: of task_bytes each, or more and smaller ones where that leaves cores idle."""
+    return max(1, -(-total // task_bytes), min(3 * spark.sparkContext.defaultParallelism, total // LEAST_TASK_BYTES))
+
+
+def read_records(spark: SparkSession, index: DataFrame, with_payload: bool = False, region: int = REGION, gap: int = GAP, most: int = READ, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records that `index` (all of it, or a selection, also of several stores) names, parsed and checked.
 
-    A row per index row; an index row that is repeated is read as often. With payload, revisits
-    have null there. Damaged records raise an error.
+    A row per index row; an index row that is repeated is read as often; an empty index gives no rows.
+    With payload, revisits have null there. Damaged records raise an error. A record is held whole by
+    the task that reads it, however long.
     """
     schema = RESULT + (", payload binary" if with_payload else "")
 
@@ -163,23 +175,26 @@ def read_records(spark: SparkSession, index: DataFrame, with_payload: bool = Fal
         from pyarrow import fs
 
         stores: dict[str, fs.FileSystem] = {}
-        files: dict[str, object] = {}
+        opened, file = None, None
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: 5 + with_payload]
         for batch in batches:
-            wanted = list(zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length"))))
-            for folder in set(batch.column("store").to_pylist()):
-                stores.setdefault(folder, fs.FileSystem.from_uri(folder)[0])
-            store = next(iter(stores.values()), None)
+            wanted = list(zip(*(batch.column(c).to_pylist() for c in ("store", "path", "offset", "length"))))
             rows = []
-            for path, first, last, held in coalesced(wanted, gap, most):
-                if path not in files:
-                    for f in files.values():
-                        f.close()
-                    files = {path: store.open_input_file(path)}
-                data = files[path].read_at(last - first, first)
+            for (folder, path), first, last, held in coalesced([((folder, path), o, n) for folder, path, o, n in wanted], gap, most):
+                if (folder, path) != opened:
+                    if file:
+                        file.close()
+                    if folder not in stores:
+                        stores[folder] = fs.FileSystem.from_uri(folder)[0]
+                    opened, file = (folder, path), stores[folder].open_input_file(path)
+                data = file.read_at(last - first, first)
                 rows += [parse(data[o - first : o - first + n])[: 5 + with_payload] for o, n in held]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in schema.split(", ")])
+        if file:
+            file.close()
 
+    total = index.agg(F.sum("length")).first()[0] or 0
     chosen = index.select("store", "path", "offset", "length", F.floor(F.col("offset") / region).alias("region"))
-    return chosen.repartition("path", "region").sortWithinPartitions("path", "offset").mapInArrow(run, schema)
+    dealt = chosen.repartition(read_tasks(spark, total, task_bytes), "path", "region").sortWithinPartitions("store", "path", "offset")
+    return dealt.mapInArrow(run, schema)
