@@ -7,9 +7,12 @@ prior, pairs whose posterior probability of reaching the threshold falls below a
 dropped, and the rest is verified exactly on the shingles.
 
 A pair is looked at in the first band that it shares, so links are counted once. Buckets of a
-band are cut into tiles of bounded size; a tile returns a row per member (how many links it has
-there, and a representative of its component there), never its pairs. Components are then
-contracted over those representatives.
+band are cut into blocks, bounded in texts and in bytes; a tile is two blocks. A first pass over
+signatures tells which members of a tile have a partner there; only these come again with their
+texts, and the tile prunes once more and verifies. Either pass returns a row per member (in the
+end how many links it has there, and a representative of its component there), never pairs. A
+member of a bucket of n texts comes to n / TILE tiles. Components are then contracted over those
+representatives.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ ROWS, BANDS = 4, 32
 VALUES = ROWS * BANDS
 #: Values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
-#: Members of a bucket that are compared with one another in one tile.
-TILE = 256
+#: Members of a block, and their bytes: a tile compares the members of two blocks.
+TILE, TILE_BYTES = 1024, 16 << 20
 _PAIRS_AT_ONCE = 100_000
 
 _RNG = np.random.default_rng(20)
@@ -147,45 +150,37 @@ def _starts(t: pa.Table, names: tuple[str, ...]) -> np.ndarray:
 TILE_KEYS = ("key", "i", "j")
 
 
-def _prune(threshold: float, tolerance: float, step: int):
-    least = least_matches(threshold, tolerance, step)
+def _survivors(t: pa.Table, starts: np.ndarray, least: list[int], step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same tile that first meet in the tile's band and pass every step."""
+    band, block, i, j = (t.column(c).to_numpy() for c in ("band", "block", "i", "j"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, VALUES)
+    rows = t.num_rows
+    after = np.repeat(starts[1:], np.diff(starts)) - np.arange(rows) - 1  # rows of the same tile that follow
+    total = np.concatenate([[0], np.cumsum(after)])
+    first, found_a, found_b = 0, [], []
+    while first < rows:
+        last = max(first + 1, int(np.searchsorted(total, total[first] + _PAIRS_AT_ONCE, "right")) - 1)
+        n = after[first:last]
+        a = np.repeat(np.arange(first, last), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        apart = (i[a] == j[a]) | (block[a] != block[b])
+        a, b = a[apart], b[apart]
+        if len(a):
+            on = _surviving(sig, band, a, b, least, step)
+            found_a.append(a[on])
+            found_b.append(b[on])
+        first = last
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
+
+
+def _prune(least: list[int], step: int):
+    """Of each tile the members that have a partner there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, TILE_KEYS, 5000):
-            starts = _starts(t, TILE_KEYS)
-            uid, band, block = (t.column(c).to_numpy() for c in ("uid", "band", "block"))
-            i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, VALUES)
-            ends = np.repeat(starts[1:], np.diff(starts))
-            after = ends - np.arange(len(uid)) - 1  # rows of the same tile that follow
-            total = np.concatenate([[0], np.cumsum(after)])
-            first, found_a, found_b = 0, [], []
-            while first < len(uid):
-                last = max(first + 1, int(np.searchsorted(total, total[first] + _PAIRS_AT_ONCE, "right")) - 1)
-                n = after[first:last]
-                a = np.repeat(np.arange(first, last), n)
-                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-                apart = (i[a] == j[a]) | (block[a] != block[b])
-                a, b = a[apart], b[apart]
-                if len(a):
-                    on = _surviving(sig, band, a, b, least, step)
-                    found_a.append(a[on])
-                    found_b.append(b[on])
-                first = last
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-            if not len(a):
-                continue
-            rows = np.unique(np.concatenate([a, b]))
-            order = np.argsort(a, kind="stable")
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(uid))[rows])])
-            columns = {
-                "key": t.column("key").take(rows).combine_chunks(),
-                "i": pa.array(i[rows]),
-                "j": pa.array(j[rows]),
-                "uid": pa.array(uid[rows]),
-                "partners": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(uid[b[order]])),
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            a, b = _survivors(t, _starts(t, TILE_KEYS), least, step)
+            if len(a):
+                yield from t.drop_columns(["sig"]).take(pa.array(np.unique(np.concatenate([a, b])))).combine_chunks().to_batches()
 
     return run
 
@@ -236,32 +231,34 @@ def _roots(n: int, a: list[int], b: list[int]) -> list[int]:
 LINKS = "uid long, links long, linked_docs long, root long"
 
 
-def _verify(threshold: float, words: int):
+def _verify(threshold: float, words: int, least: list[int], step: int):
+    """Exact links within each tile."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = kept("words", "jaccard", WordHashes)
         for t in _runs(batches, TILE_KEYS, 500):
             starts = _starts(t, TILE_KEYS)
+            a, b = _survivors(t, starts, least, step)
+            uids, docs = t.column("uid").to_numpy(), t.column("size").to_numpy()
+            cut = np.searchsorted(a, starts)  # pairs come in order of their first row, so tile by tile
             out: list[tuple] = []
-            for s, e in zip(starts[:-1], starts[1:]):
-                part = t.slice(s, e - s).to_pydict()
-                number = {u: k for k, u in enumerate(part["uid"])}  # a repeated row counts once
-                sets = [shingles(w, words) for w in hashes.batch(part["text"])]
-                pairs = {(number[u], number[v]) for u, vs in zip(part["uid"], part["partners"]) for v in vs if v in number}
-                if not pairs:
+            for s, e, p, q in zip(starts[:-1].tolist(), starts[1:].tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+                if p == q:
                     continue
-                a, b = np.array(sorted(pairs)).T
-                size = np.array([len(x) for x in sets])
-                both = common_counts(sets, a, b)
-                linked = both >= threshold * (size[a] + size[b] - both) - 1e-9
-                a, b = a[linked], b[linked]
-                if not len(a):
+                texts = [x or "" for x in t.column("text").slice(s, e - s).to_pylist()]
+                sets = [shingles(w, words) for w in hashes.batch(texts)]
+                x, y = a[p:q] - s, b[p:q] - s
+                size = np.array([len(v) for v in sets])
+                both = common_counts(sets, x, y)
+                linked = both >= threshold * (size[x] + size[y] - both) - 1e-9
+                x, y = x[linked], y[linked]
+                if not len(x):
                     continue
-                n, docs = len(sets), np.array(part["size"], np.int64)
-                links = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
-                linked_docs = np.bincount(a, docs[b], n) + np.bincount(b, docs[a], n)
-                root = _roots(n, a.tolist(), b.tolist())
-                uid = part["uid"]
-                out += [(uid[k], int(links[k]), int(linked_docs[k]), uid[root[k]]) for k in np.flatnonzero(links).tolist()]
+                n, weight, uid = len(sets), docs[s:e], uids[s:e]
+                links = np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
+                linked_docs = np.bincount(x, weight[y], n) + np.bincount(y, weight[x], n)
+                root = _roots(n, x.tolist(), y.tolist())
+                out += [(int(uid[k]), int(links[k]), int(linked_docs[k]), int(uid[root[k]])) for k in np.flatnonzero(links).tolist()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["uid", "links", "linked_docs", "root"])
 
@@ -299,7 +296,12 @@ def _text_key(text_col: str) -> F.Column:
     return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
 
 
-def linked_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, words: int = WORDS, tolerance: float = TOLERANCE, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+def repeats(members: DataFrame) -> bool:
+    """Whether a row occurs again with its id and text."""
+    return not members.groupBy("doc_id", "h").count().filter("count > 1").isEmpty()
+
+
+def linked_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, words: int = WORDS, tolerance: float = TOLERANCE, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(members, classes).
 
     members: doc_id and h (the key of its text) of every row. classes: h, first_id (its smallest
@@ -313,31 +315,33 @@ def linked_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         for batch in pieces(batches, "text", 4 << 20):
             sets = [shingles(w, words) for w in hashes.batch(texts_of(batch, "text"))]
             sig = pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), sig], names=["doc_id", "h", "sig"])
+            bytes_ = pa.compute.binary_length(batch.column("text")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), sig, bytes_], names=["doc_id", "h", "sig", "bytes"])
 
-    signed = staged(lean.mapInArrow(sign, "doc_id long, h binary, sig binary"), "signed")
-    grouped = signed.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"), F.first("sig").alias("sig"))
+    signed = staged(lean.mapInArrow(sign, "doc_id long, h binary, sig binary, bytes long"), "signed")
+    grouped = signed.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
     classes = staged(grouped.withColumn("uid", F.monotonically_increasing_id()), "classes")
 
-    whole = classes.filter("sig IS NOT NULL").select("uid", "sig")
+    whole = classes.filter("sig IS NOT NULL").select("uid", "sig", "bytes")
     codes = F.expr(f"transform(sequence(0, {BANDS - 1}), k -> named_struct('band', k, 'key', xxhash64(k, substring(sig, {ROWS} * k + 1, {ROWS}))))")
-    bands = whole.select("uid", F.inline(codes))
-    full = bands.groupBy("key").count().filter("count > 1")
-    met = bands.join(full, "key").withColumn("blocks", F.ceil(F.col("count") / tile).cast("int"))
-    met = met.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    rows = met.join(whole, "uid").select("key", "band", "uid", "sig", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    bands = whole.select("uid", "bytes", F.inline(codes))
+    full = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("total")).filter("n > 1")
+    full = full.select("key", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("total") / tile_bytes)).cast("int").alias("blocks"))
+    met = salted_join(bands.drop("bytes"), full, "key").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    rows = met.join(whole.select("uid", "sig"), "uid").select("key", "band", "uid", "sig", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "uid", "sig", "block")
-    pruned = (
-        rows.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS).mapInArrow(_prune(threshold, tolerance, STEP), "key long, i int, j int, uid long, partners array<long>")
-    )
+    least = least_matches(threshold, tolerance)
+    pruned = rows.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS).mapInArrow(_prune(least, STEP), "key long, i int, j int, band int, uid long, block int")
     pruned = staged(pruned, "pruned")
 
     named = classes.select("uid", "h", "size", "first_id")
-    needed = pruned.select("uid").distinct().join(named, "uid")
-    # One text of each class: that of its smallest id. (Rows repeated with their id count once.)
-    texts = lean.join(needed.withColumnRenamed("h", "class_h"), (F.col("h") == F.col("class_h")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("uid", "size", "text")
-    tiles = pruned.join(texts, "uid").repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS).select(*TILE_KEYS, "uid", "partners", "size", "text")
-    verified = staged(tiles.mapInArrow(_verify(threshold, words), LINKS), "links")
+    needed = pruned.select("uid").distinct().join(classes.select("uid", "h", "size", "first_id", "sig"), "uid")
+    # One text of each class: that of its smallest id; of rows repeated with their id, one.
+    texts = lean.join(needed.withColumnRenamed("h", "class_h"), (F.col("h") == F.col("class_h")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    if repeats(signed):
+        texts = texts.dropDuplicates(["uid"])
+    tiles = pruned.join(texts.select("uid", "size", "sig", "text"), "uid").repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS)
+    verified = staged(tiles.mapInArrow(_verify(threshold, words, least, STEP), LINKS), "links")
 
     label = components(verified.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "uid"})
     counts = verified.groupBy("uid").agg(F.sum("links").alias("links"), F.sum("linked_docs").alias("linked_docs"))
@@ -385,8 +389,7 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     gone = rows.filter(~(F.col("this") & F.col("doc_id").eqNullSafe(F.col("first_id")))).select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
     marked = docs.withColumn(h, _text_key("text"))
     left = marked.join(gone, (F.col(h) == F.col(gone_h)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
-    again = members.filter(~F.col("empty")).groupBy("doc_id", "h").count().filter("count > 1").isEmpty()
-    if not again:
+    if repeats(members.filter(~F.col("empty"))):
         worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
         left = left.filter(worded).dropDuplicates(["doc_id", h]).unionByName(left.filter(~worded))
     return left.drop(h)
