@@ -21,7 +21,7 @@ def test_spans_that_base_spans_cover_go():
     text = "password=" + "0123456789abcdef" * 3
     base, every = secrets.scan(text, [(9, len(text)), (20, 30)])
     assert [k for _, k, _ in base] == [0, 2] and every == base
-    assert secrets.covered(0, 6, [(0, 0, 3), (3, 1, 6)]) and not secrets.covered(0, 6, [(0, 0, 3), (4, 1, 6)])
+    assert secrets.merged([(0, 0, 3), (3, 1, 6), (8, 0, 9), (8, 1, 12)]) == ([0, 8], [6, 12])
 
 
 def test_tails_are_told_and_redacted(spark):

@@ -18,10 +18,12 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (local tests) a folder of this machine is made and set.
+    Only where that is unset on a local master (tests) a folder of this machine is made and set.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidebook-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -69,10 +71,23 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def renamed(df: DataFrame, *taken: str) -> DataFrame:
-    """df without columns whose names an operator's result needs."""
-    low = {t.lower() for t in taken}
-    return df.drop(*[c for c in df.columns if c.lower() in low])
+def n_windows(text: F.Column, chars: int) -> F.Column:
+    """How many windows of `chars` characters a text has; an empty one has one."""
+    return F.greatest(F.lit(1), F.ceil(F.length(text) / chars)).cast("long")
+
+
+def drawn_windows(docs: DataFrame, id_col: str, text: F.Column, chars: int, share: F.Column, bound: int, salt: int, *columns: F.Column) -> list:
+    """Rows (*columns, part) of windows of `chars` characters, drawn by a hash from all windows of all whole texts.
+
+    A window is drawn with probability `share`, and of those drawn the `bound` with the least draw
+    against their share are returned: the bounded sample that a classifier learns from.
+    """
+    draw = lambda at: F.pmod(F.xxhash64(F.col(id_col), at, F.lit(salt)), F.lit(1_000_000_007)) / 1_000_000_007
+    found = docs.filter(text.isNotNull()).select(F.col(id_col), text.alias("part"), share.alias("share"), *columns)
+    names = found.columns[3:]
+    found = found.withColumn("at", F.explode(F.filter(F.sequence(F.lit(0), F.greatest(F.length("part") - 1, F.lit(0)), F.lit(chars)), lambda x: draw(x) < F.col("share"))))
+    found = found.select(*names, F.col("part").substr(F.col("at") + 1, F.lit(chars)).alias("part"), (draw(F.col("at")) / F.col("share")).alias("order"))
+    return found.orderBy("order", "part").limit(bound).drop("order").collect()
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 8) -> DataFrame:

@@ -19,15 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import crc_bucket, pieces, texts_of
+from .common import crc_bucket, drawn_windows, n_windows, pieces, texts_of
 from .memo import Numbers, kept
 
-#: Bounds of the training sample: about so many documents of each language, of each a window of
-#: so many characters at a place that its id decides.
-SAMPLE_PER_LABEL = 250
+#: Bounds of the training sample, drawn from all windows of so many characters of the labelled
+#: texts: about so many windows of each language, and so many of all.
+SAMPLE_PER_LABEL, SAMPLE = 250, 20_000
 SAMPLE_CHARS = 2000
-#: Languages that are learned, the most frequent ones.
-MOST_LABELS = 256
 #: Training sequences, each of one to three segments of sampled documents, and words a segment.
 SEQUENCES = 2400
 SEGMENT = 24
@@ -36,11 +34,12 @@ WIDTH = 1 << 16
 ROUNDS = 50
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Longer runs of letters, as of scripts without spaces, are cut into words of so many letters.
+LETTERS = re.compile(r"[^\W\d_]{1,24}")
 
 
 def words_in(text: str) -> list[str]:
-    """Runs of letters, in lower case. (Numerals such as one half alone are no word.)"""
+    """Words of runs of letters, in lower case. (Numerals such as one half alone are no word.)"""
     words = LETTERS.findall(text.lower())
     return words if not words or words[0].isalpha() else [w for w in words if any(map(str.isalpha, w))]
 
@@ -49,7 +48,7 @@ def word_features(lexicon: dict[str, str]):
     """A function word -> feature strings."""
 
     def features(w: str) -> list[str]:
-        b = f"^{w[:24]}$"
+        b = f"^{w}$"
         out = [f"p{k}{b[:k]}" for k in (2, 3, 4)] + [f"s{k}{b[-k:]}" for k in (2, 3, 4)]
         out += [f"g{b[i : i + k]}" for k in (2, 3) for i in range(len(b) - k + 1)]
         out.append(f"l{lexicon.get(w, '-')}")
@@ -110,35 +109,34 @@ class Reader:
         self.numbers = Numbers(words_in, self.scored.learn)
 
 
-def training_sample(docs: DataFrame, fold: F.Column, text_col: str, label_col: str, id_col: str, per_label: int, chars: int) -> list[tuple[str, str]]:
-    """About `per_label` rows of each label where `fold` holds, chosen by a hash of their id."""
-    usable = docs.filter(fold & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = usable.groupBy(F.col(label_col).cast("string").alias("label")).count()
-    counts = {r[0]: r[1] for r in sizes.orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()}
+def training_sample(docs: DataFrame, fold: F.Column, text_col: str, label_col: str, id_col: str, per_label: int, chars: int, sample: int) -> list[tuple[str, str]]:
+    """About `per_label` windows of each label where `fold` holds, at most twice `sample` of all.
+
+    A row for each label comes to the driver to tell the labels' shares.
+    """
+    label = F.col(label_col).cast("string")
+    usable = docs.filter(fold & label.isNotNull() & F.col(text_col).isNotNull())
+    counts = {r[0]: r[1] for r in usable.groupBy(label.alias("label")).agg(F.sum(n_windows(F.col(text_col), chars)).alias("n")).collect()}
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000)) / 1e6
-    share = F.lit(0.0)
-    for label, n in sorted(counts.items()):
-        share = F.when(F.col(label_col).cast("string") == label, min(1.0, per_label / n)).otherwise(share)
-    size = F.length(text_col)
-    start = F.when(size > chars, F.pmod(F.xxhash64(F.col(id_col), F.lit(12)), size - chars)).otherwise(F.lit(0)).cast("int")
-    window = F.col(text_col).substr(start + 1, F.lit(chars))
-    rows = usable.filter(draw < share).select(F.col(label_col).cast("string").alias("label"), window.alias("part"))
-    # A label of which many rows share one id could exceed its share; this is the hard bound.
-    return [(r[0], r[1]) for r in rows.limit(4 * per_label * len(counts)).collect()]
-
-
-def identify(docs: DataFrame, folds: int = 5, held: int = 0, text_col: str = "text", id_col: str = "doc_id", label_col: str = "lang", per_label: int = SAMPLE_PER_LABEL, chars: int = SAMPLE_CHARS) -> DataFrame:
+    each = max(1, min(per_label, sample // len(counts)))
+    share = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1.0, each / n))])[label]
+    rows = drawn_windows(usable, id_col, F.col(text_col), chars, share, 2 * each * len(counts), 11, label.alias("label"))
+    return [(r[0], r[1]) for r in rows]
+
+
+def identify(docs: DataFrame, folds: int = 5, held: int = 0, text_col: str = "text", id_col: str = "doc_id", label_col: str = "lang", per_label: int = SAMPLE_PER_LABEL, chars: int = SAMPLE_CHARS, sample: int = SAMPLE) -> DataFrame:
     """One row per document: held_out, lang_pred, score, n_words and n_switches.
 
-    The model learns from a bounded sample of the documents that are not held out. A text that is
-    null or has no letter gets `und` and score 0; so does every text if nothing can be learned
-    from. Repeated rows give a row each, equal probabilities go to the first label by name, other
-    columns are not read, and an empty table gives no rows.
+    The model learns every label from a bounded sample (per_label, chars, sample) of the documents
+    that are not held out. A text that is null or has no letter gets `und` and score 0; so does every
+    text if nothing can be learned from. All letters are read; n_words counts runs of more than 24
+    letters as several words. Repeated rows give a row each, equal probabilities go to the first
+    label by name, null ids stay null, other columns are not read, and an empty table gives no rows.
+    A text is labelled by one task, in time and memory proportional to its words.
     """
     held_out = crc_bucket(id_col, folds) == held
-    model = fit(training_sample(docs, ~held_out, text_col, label_col, id_col, per_label, chars))
+    model = fit(training_sample(docs, ~held_out, text_col, label_col, id_col, per_label, chars, sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     key = uuid.uuid4().hex

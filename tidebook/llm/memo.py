@@ -11,8 +11,8 @@ from itertools import chain
 
 import numpy as np
 
-#: New words that `learn` gets at once.
-LEARNED = 20_000
+#: New words that `learn` gets at once, and characters of words that are remembered.
+LEARNED, CHARS = 20_000, 32 << 20
 _KEPT: list[tuple[tuple[str, str], object]] = []
 
 
@@ -43,20 +43,22 @@ class Numbers:
     """Words numbered from 0 as they are met.
 
     cut(text) gives a text's words; learn(words, first) is told of new words, which get the
-    numbers from `first` on. With more than `most` words all is forgotten at the start of a batch,
-    so a worker's memory is bounded; `first` is then 0 again.
+    numbers from `first` on. With more than `most` words, or CHARS characters of them, all is forgotten
+    at the start of a batch, so a worker's memory is bounded; `first` is then 0 again.
     """
 
     def __init__(self, cut: Callable[[str], list], learn: Callable[[list, int], None], most: int = 400_000):
         self.cut, self.learn, self.most = cut, learn, most
         self.at: dict = {}
+        self.chars = 0
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words of all texts in turn, and how many belong to each text."""
-        if len(self.at) > self.most:
-            self.at = {}
+        if len(self.at) > self.most or self.chars > CHARS:
+            self.at, self.chars = {}, 0
         split = [self.cut(t) for t in texts]
         fresh = list(set().union(*split).difference(self.at))
+        self.chars += sum(map(len, fresh))
         for i in range(0, len(fresh), LEARNED):
             words, first = fresh[i : i + LEARNED], len(self.at)
             self.learn(words, first)

@@ -13,6 +13,7 @@ import random
 import re
 import string
 import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import pieces, texts_of
+from .common import drawn_windows, n_windows, pieces, texts_of
 from .memo import Numbers, kept
 
 # The base patterns and their order.
@@ -32,7 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
-#: Bounds of the training sample: about so many documents, of each a window of so many characters.
+#: Bounds of the training sample: so many windows of so many characters, drawn from all windows of all texts.
 SAMPLE, SAMPLE_CHARS = 1500, 1200
 WIDTH, ROUNDS = 1 << 14, 50
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
@@ -91,13 +92,14 @@ def token_features(w: str) -> list[str]:
     upper = sum(map(str.isupper, w))
     alpha = sum(map(str.isalpha, w))
     other = n - digits - alpha
-    counts = Counter(w[:80])
-    m = min(n, 80)
-    entropy = -sum(c / m * math.log2(c / m) for c in counts.values())
-    turns = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(w[:80], w[1:80]))
-    size = min(40, n // 2)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(w).values())
+    turns = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(w, w[1:]))
     classes = "a" * (alpha > upper) + "A" * bool(upper) + "0" * bool(digits) + "-" * bool(other)
-    out = ["bias", f"l{size}", f"c{classes}", f"c{classes}n{n // 8}", f"e{round(entropy * 2)}", f"d{4 * digits // n}", f"t{min(9, turns // 2)}", f"t{min(9, turns // 2)}n{n // 8}"]
+    dense = 10 * turns // n
+    out = ["bias", f"c{classes}", f"c{classes}r{dense}", f"l{min(12, n // 4)}", f"d{4 * digits // n}", f"o{min(4, other)}", f"r{dense}e{round(entropy)}"]
+    # What grows is told by the steps that it reached, so that lengths not met in training are known by shorter ones.
+    out += [f"n>{k}" for k in (8, 12, 16, 20, 24, 32, 48, 64) if n > k] + [f"t>{k}" for k in (1, 3, 5, 8, 12, 20) if turns > k]
+    out += [f"e>{k}" for k in (2.5, 3, 3.5, 4, 4.5, 5) if entropy > k] + [f"n>{k}r{dense}" for k in (8, 16, 24) if n > k]
     if n >= 16 and not set(low) - set("0123456789abcdef"):
         out.append(f"hex{digits != n}")
     if (found := CUES.search(low)) and n < 24:
@@ -118,39 +120,78 @@ def side(prefix: str):
     return lambda w: [prefix + f for f in token_features(w)]
 
 
-def planted(rng: random.Random) -> str:
-    """A made-up secret with the words around it, for training."""
-    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
-    name = rng.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "client_secret", "auth", "access_key", "private_key", "credential", "bearer", "pwd"])
-    word = string.ascii_letters + string.digits
-    value = rng.choice(
+#: Names that secrets are given in training, and places of a value.
+NAMES = "password passwd secret token api_key client_secret auth access_key private_key credential bearer pwd signing_key"
+FRAMES = ('{n} = "{v}"', "{n}: {v}", "{n}={v}", "'{n}': '{v}'", "{n} {v}", "export {n}={v}", "--{n} {v}", "{n}:`{v}`", "({n}, '{v}')", '<{n} value="{v}">', "{n}: Bearer {v}", "use {v} as {n}", "with {v}", "{n} := {v};")
+
+
+def _drawn(rng: random.Random, letters: str, least: int, most: int) -> str:
+    return "".join(rng.choice(letters) for _ in range(rng.randint(least, most)))
+
+
+def planted(rng: random.Random) -> tuple[str, str]:
+    """A made-up secret with the words around it, for training.
+
+    Its form is put together at random: a prefix, one to five random parts of one alphabet, joined
+    by a mark, and padding; or a short password of letters, digits and a mark.
+    """
+    word, hex_ = string.ascii_letters + string.digits, "0123456789abcdef"
+    if rng.random() < 0.2:
+        value = _drawn(rng, string.ascii_letters, 3, 6) + _drawn(rng, string.digits, 2, 4) + rng.choice("!#$%&*_-@^") + _drawn(rng, word, 2, 8)
+    else:
+        letters = rng.choice([hex_, hex_, word, word, word, word + "+/", word + "-_", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters])
+        parts = rng.choice([1, 1, 1, 2, 3, 4, 5])
+        body = rng.choice("-._").join(_drawn(rng, letters, 4 if parts > 1 else 18, 44 if parts < 4 else 14) for _ in range(parts))
+        while len(body) < 20:
+            body += rng.choice(letters)
+        prefix = rng.choice(["", "", "AKIA", _drawn(rng, string.ascii_letters, 2, 5) + rng.choice(["_", "-", ".", ""])])
+        value = prefix + body + rng.choice(["", "", "", "="])
+    name = rng.choice(NAMES.split())
+    cap = "".join(x.title() for x in name.split("_"))
+    name = rng.choice([name, name, name.upper(), name.replace("_", "-"), cap, cap[0].lower() + cap[1:], name.replace("_", "")])
+    return rng.choice(FRAMES).format(n=name, v=value), value
+
+
+def harmless(rng: random.Random) -> str:
+    """What looks a little like a secret and is none, for training: addresses, paths, names, times, numbers, versions."""
+    some = lambda joint: joint.join(_drawn(rng, string.ascii_lowercase, 3, 9) for _ in range(rng.randint(2, 6)))
+    return rng.choice(
         [
-            lambda: draw("0123456789abcdef", rng.choice([32, 40, 64])),
-            lambda: draw(word, rng.randint(20, 44)),
-            lambda: draw(word + "+/", rng.choice([40, 44, 64])),
-            lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16),
-            lambda: rng.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + draw(word, rng.randint(20, 36)),
-            lambda: draw(string.ascii_lowercase, rng.randint(3, 6)) + draw(string.digits, rng.randint(2, 4)) + draw("!#%&*_-", 1) + draw(word, rng.randint(3, 5)),
+            lambda: f"https://{some('.')}/{some('/')}{rng.choice(['', '.html', '?page=2'])}",
+            lambda: f"/{some('/')}/{some('_')}.py",
+            lambda: some("_"),
+            lambda: some("-"),
+            lambda: some("_").title().replace("_", ""),
+            lambda: f"{some('.')}@{some('-')}.com",
+            lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T{rng.randint(0, 23):02d}:{rng.randint(0, 59):02d}:00Z",
+            lambda: _drawn(rng, string.digits, 5, 19),
+            lambda: f"{some(' ')}={rng.randint(0, 9999)}",
+            lambda: f"v{rng.randint(0, 20)}.{rng.randint(0, 99)}.{rng.randint(0, 999)}-{_drawn(rng, string.ascii_lowercase, 2, 5)}{rng.randint(0, 9)}",
+            lambda: f"{rng.choice(NAMES.split())} {some(' ')}",
         ]
     )()
-    frame = rng.choice(['%s = "%s"', "%s: %s", "%s=%s", "'%s': '%s'", "%s %s", "export %s=%s"])
-    return frame % (name if rng.random() < 0.7 else name.upper(), value), value
 
 
 def labelled(texts: list[str], seed: int = 5) -> tuple[list[str], list[list[tuple[int, int]]]]:
-    """Windows of sampled texts with their secret values: base matches, and planted ones in a third."""
+    """Windows of sampled texts with their secret values: base matches, and up to three planted ones in a third.
+
+    Up to three harmless look-alikes are put into another third.
+    """
     rng = random.Random(seed)
     out, golds = [], []
     for text in texts:
-        if rng.random() < 1 / 3:
-            said, value = planted(rng)
-            at = text.find(" ", rng.randrange(len(text) + 1))
-            at = len(text) if at < 0 else at
-            text = f"{text[:at]} {said} {text[at:]}"
-            start = text.index(value, at)
-            gold = [(start, start + len(value))]
-        else:
-            gold = []
+        draw, words, gold = rng.randrange(3), text.split(" "), []
+        for _ in range(rng.randint(1, 3) if draw < 2 else 0):
+            words.insert(rng.randrange(len(words) + 1), planted(rng) if draw else harmless(rng))
+        parts, at = [], 0
+        for w in words:
+            said, value = w if isinstance(w, tuple) else (w, "")
+            if value:
+                start = at + said.index(value)
+                gold.append((start, start + len(value)))
+            parts.append(said)
+            at += len(said) + 1
+        text = " ".join(parts)
         out.append(text)
         golds.append(gold + values(text, base_spans(text)))
     return out, golds
@@ -241,19 +282,28 @@ class Tagger:
         return out
 
 
-def covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
-    """Whether spans (sorted) hold every character from start to end."""
-    for a, _, b in spans:
-        if a > start:
-            break
-        start = max(start, b)
-    return start >= end
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that sorted spans cover without a break."""
+    starts, ends = [], []
+    for s, _, e in spans:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
 
 
 def scan(text: str, extra: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and those with the field's spans that reach beyond all base spans (kind 3), whole."""
     base = base_spans(text)
-    return base, sorted(base + [(s, 3, e) for s, e in extra if not covered(s, e, base)])
+    starts, ends = merged(base)
+
+    def covered(s: int, e: int) -> bool:
+        k = bisect_right(starts, s) - 1
+        return k >= 0 and e <= ends[k]
+
+    return base, sorted(base + [(s, 3, e) for s, e in extra if not covered(s, e)])
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:
@@ -262,21 +312,21 @@ def told(spans: list[tuple[int, int, int]]) -> str:
 
 
 def trained(docs: DataFrame, text_col: str, id_col: str, sample: int, chars: int):
-    """A broadcast model from a bounded sample, chosen by a hash of id and text."""
-    n = docs.count()
-    size = F.length(text_col)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.md5(F.substring(text_col, 1, 200)), F.lit(21)), F.lit(1_000_000)) / 1e6
-    start = F.when(size > chars, F.pmod(F.xxhash64(F.col(id_col), F.lit(22)), size - chars)).otherwise(F.lit(0)).cast("int")
-    rows = docs.filter(F.col(text_col).isNotNull() & (draw < sample / max(1, n))).select(F.col(text_col).substr(start + 1, F.lit(chars)).alias("part"))
-    return docs.sparkSession.sparkContext.broadcast(fit([r[0] for r in rows.limit(4 * sample).collect()]))
+    """A broadcast model from a bounded sample of windows."""
+    text = F.col(text_col).cast("string")
+    n = docs.filter(text.isNotNull()).agg(F.sum(n_windows(text, chars))).first()[0] or 0
+    rows = drawn_windows(docs, id_col, text, chars, F.lit(min(1.0, 2 * sample / max(1, n))), sample, 21)
+    return docs.sparkSession.sparkContext.broadcast(fit([r[0] for r in rows]))
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
     """One row per document: base counts, a digest of the base spans, and all spans.
 
     Null texts count as empty and have no spans; the digest is then that of the empty text.
-    Repeated rows give a row each, other columns are not read, an empty table gives no rows.
-    Spans that begin together are ordered by kind.
+    Repeated rows give a row each, null ids stay null, other columns are not read, an empty table
+    gives no rows. Spans that begin together are ordered by kind; labels of equal score go to
+    outside before begin before inside. A text is scanned by one task, in time that grows with its
+    length (and the logarithm of its spans).
     """
     shared, key = trained(docs.select(id_col, text_col), text_col, id_col, sample, chars), uuid.uuid4().hex
 
@@ -298,8 +348,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
     """docs with the secret values in `text` replaced by a mark; the name of an assignment stays.
 
-    Values that overlap are replaced as one, by their union.
-    All other columns stay as they are; null texts stay null.
+    Values that overlap are replaced as one, by their union. All other columns, of any name, stay as
+    they are; null and empty texts stay what they are. Rows repeated stay repeated and are redacted
+    alike; an empty table gives an empty one. Needs columns text and doc_id (which may be null).
     """
     shared, key = trained(docs.select("doc_id", "text"), "text", "doc_id", sample, chars), uuid.uuid4().hex
 
