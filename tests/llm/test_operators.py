@@ -333,6 +333,30 @@ def test_pii_base_spans(spark, hard, none):
     assert pii.find_pii(none).count() == 0
 
 
+def test_added_spans_meet_no_base_span(spark):
+    rng = random.Random(12)
+    units = ["bob@mail.example.com", "10.1.2.3", "4111 1111 1111 1111", "+1 (415) 555-2671", "(212) 555-0123", "123-45-6789", "Dr. Anna Smith", "jane (at) corp (dot) com", "call", "DE89 3704 0044 0532 0130 00", "1.2.3.4.5.6.7.8"]
+    rows = [row(i, "".join(rng.choice(units) + rng.choice([" ", "", ", ", "\n"]) for _ in range(rng.randrange(30)))) for i in range(200)]
+    weak = 0
+    for r in pii.find_pii(spark.createDataFrame(rows, SCHEMA)).collect():
+        said = [x.split(":") for x in r["spans"].split(",") if x]
+        base = [(int(s), int(e)) for k, s, e in said if not k.startswith("weak_")]
+        added = [(int(s), int(e)) for k, s, e in said if k.startswith("weak_")]
+        assert len(base) == len(brute_pii(rows[r["doc_id"]][1])) and len(added) == r["n_weak"]
+        assert not any(s < f and b < e for s, e in added for b, f in base)
+        weak += len(added)
+    assert weak > 100
+
+
+def test_pii_of_thousands_of_spans_in_one_text(spark):
+    text = "mail bob.smith@mail.example.com or (212) 555-0123 now; " * 8000
+    df = spark.createDataFrame([row(1, text), row(2, "none")], SCHEMA)
+    pii.find_pii(df.limit(1)).collect()
+    began = time.perf_counter()
+    r = {x["doc_id"]: x for x in pii.find_pii(df).collect()}
+    assert r[1]["n_email"] == 8000 and r[1]["n_weak"] >= 8000 and r[2]["n_email"] == 0 and time.perf_counter() - began < 20
+
+
 def test_em_finds_the_unreliable_labeler():
     rng, counts = random.Random(1), Counter()
     for _ in range(20_000):

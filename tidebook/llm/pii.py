@@ -36,11 +36,27 @@ WIDE = {
 }
 KINDS = (*BASE, *WIDE)
 
-# Gazetteers.
-DOMAINS = "com org net edu gov io co uk de fr es it nl eu info biz example"
-DIALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 354 358 420 971 972"
-IBAN_LANDS = "AT BE CH DE DK ES FI FR GB IE IT NL NO PL PT SE"
-FIRST_NAMES = "James Mary John Anna Peter Maria Paul Laura Thomas Julia Hans Claire Pierre Carlos Lucia Marie David Sarah Michael Emma"
+# Gazetteers. Common endings of domains, dialling codes, lands that have IBANs with their lengths, first names.
+DOMAINS = (
+    "com org net edu gov mil int io co ai app dev info biz name pro tech online site store example test"
+    " ar at au be bg br ca ch cl cn cz de dk ee es eu fi fr gr hk hr hu ie il in is it jp kr lt lu lv mx my nl no nz pl pt ro rs ru se sg si sk th tr tw ua uk us za"
+)
+DIALLING = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+    " 212 213 216 218 220 221 225 233 234 237 244 249 250 251 254 255 256 260 263 350 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 380 381 382 385 386 387 389"
+    " 420 421 423 500 501 502 503 504 505 506 507 591 592 593 595 598 673 679 852 853 855 856 880 886 960 961 962 963 964 965 966 967 968 970 971 972 973 974 975 976 977 992 993 994 995 996 998"
+)
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27"
+    " JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+FIRST_NAMES = (
+    "Aaron Adam Alan Albert Alex Alexander Alice Amanda Amy Ana Andrea Andreas Andrew Angela Ann Anna Anne Anthony Antonio Barbara Ben Benjamin Bernd Bob Brian Carla Carlos Carmen Carol Catherine"
+    " Charles Charlotte Chiara Christian Christine Christopher Claire Claudia Clara Daniel David Deborah Dennis Diana Diego Donald Edward Elena Elias Elizabeth Ella Emily Emma Eric Erik Eva Fatima Felix"
+    " Fernando Francesca Francesco Francisco Frank Franz Gary George Georg Giulia Giovanni Grace Hanna Hans Heather Helen Helena Henry Hugo Ian Ines Isabel Isabella Ivan Jack Jacob James Jan Jane Janet"
+    " Jason Javier Jean Jennifer Jessica Joan Johann John Jonas Jonathan Jorge Jose Joseph Juan Julia Julie Karen Karl Katharina Kevin Klaus Larry Laura Lena Leo Lily Linda Lisa Louis Lucas Lucia Luis"
+    " Lukas Marco Margaret Maria Marie Mark Markus Marta Martin Mary Matthew Max Maximilian Mia Michael Michel Miguel Monica Nancy Nathan Nicholas Nicole Nina Noah Oliver Olivia Oscar Pablo Patricia Patrick Paul"
+)
 CUES = r"(?i)(?:e-?mail|mail|contact|call|phone|tel|mobile|fax|card|visa|iban|account|ssn|social|host|address|name|sincerely)\W{0,4}$"
 COUNTER_CUES = r"(?i)(?:version|ver|v|order|invoice|isbn|ref|no|nr|id|rev|build|part|section|figure|table)\W{0,3}$"
 
@@ -123,7 +139,7 @@ def voted(cands: DataFrame) -> DataFrame:
         .when(name == "ip", ~F.col("found").rlike(r"^(?:0|10|127|192\.168|169\.254|2[2-5][0-9])\."))
         .when(name == "card", F.length(digits).between(13, 19) & digits.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"))
         .when(name == "phone", F.exists(F.array(*[F.left(dialled, F.lit(k)) for k in (1, 2, 3)]), lambda p: _among(p, DIALLING)))
-        .when(name == "iban", _among(F.left("found", F.lit(2)), IBAN_LANDS))
+        .when(name == "iban", _among(F.concat(F.left("found", F.lit(2)), F.length(F.replace("found", F.lit(" ")))), IBAN_LENGTHS))
         .when(name == "titled_name", F.exists(F.split("found", " "), lambda w: _among(w, FIRST_NAMES)))
     )
     ok = passes()
@@ -224,9 +240,12 @@ def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     """One row per document: base counts, a digest of the base spans, all spans, and n_weak.
 
     A base span is one that passes its kind's check; it always stays. The classifier adds
-    candidates that meet no base span, under `weak_<kind>`. Null texts count as empty. Repeated
-    rows give a row each, other columns are not read, an empty table gives no rows. Long texts cost
-    in proportion to their length: positions are sums over a document's own matches.
+    candidates that meet no base span, under `weak_<kind>`; those may overlap one another. Null and
+    empty texts have no spans. Spans that begin together are ordered by their end. Repeated rows give
+    a row each, null ids stay null, other columns are not read, an empty table gives no rows. A text is
+    matched in one task; positions are running sums over its own matches, and overlaps are found by
+    two running extremes over them in order, so time grows with its length and the logarithm of its
+    matches.
     """
     cands = staged(candidates(docs, text_col, id_col), "candidates")
     scored = voted(cands)
@@ -237,20 +256,25 @@ def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     judged = scored.select("row", "doc_id", "kind", "pos", "skipped", "found", rank.alias("rank"))
     without = cands.filter("kind IS NULL").select("row", "doc_id", "kind", "pos", "skipped", "found", none.alias("rank"))
     order = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("skipped") + F.length("found")).over(order)
-    # One shuffle: the window and the grouping are both within a row of the input.
-    spans = judged.unionByName(without).repartition("row").withColumn("end", end)
-    span = F.struct("kind", (F.col("end") - F.length("found")).alias("start"), "end")
+    # One shuffle: the windows and the grouping are all within a row of the input.
+    spans = judged.unionByName(without).repartition("row").withColumn("end", F.sum(F.col("skipped") + F.length("found")).over(order))
+    spans = spans.withColumn("start", F.col("end") - F.length("found"))
+    # Spark works frames that run to the partition's end out anew for each row, so the way back is a window of its own.
+    there, back = (Window.partitionBy("row").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("start"), F.desc("start")))
+    base_end = F.max(F.when(F.col("rank") == 0, F.col("end"))).over(there)
+    base_start = F.min(F.when(F.col("rank") == 0, F.col("start"))).over(back)
+    meets = F.coalesce(base_end > F.col("start"), F.lit(False)) | F.coalesce(base_start < F.col("end"), F.lit(False))
+    spans = spans.withColumn("apart", ~meets)
+    span = F.struct("kind", "start", "end")
     grouped = spans.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.array_sort(F.collect_list(F.when(F.col("rank") == 0, span))).alias("base"),
-        F.array_sort(F.collect_list(F.when(F.col("rank") == 1, span))).alias("weak"),
+        F.array_sort(F.collect_list(F.when((F.col("rank") == 1) & F.col("apart"), span))).alias("weak"),
     )
-    apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     names = F.array(*[F.lit(k) for k in BASE], *[F.lit(f"weak_{k}") for k in KINDS])
     said = lambda spans, shift: F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1 + shift), s["start"], s["end"]))
     base = F.array_join(said(F.col("base"), 0), ",")
-    return grouped.withColumn("weak", apart).select(
+    return grouped.select(
         "doc_id",
         *[F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)],
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
