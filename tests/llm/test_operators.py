@@ -480,48 +480,91 @@ def test_decontamination_in_blocks_and_on_hard_rows(spark, hard, none):
 # 8
 
 
-def brute_lm(rows, held):
+def brute_lm(rows, held, order=3):
+    """Scores by plain counting; each level below the first counts the words before."""
     end = b"\0end"
     tok = lambda t: [*t.encode().lower().split(), end]
-    uni, bi = Counter(), Counter()
+    grams = lambda x: [tuple(([end] * (order - 1) + x)[i : i + order]) for i in range(len(x))]
+    uni, levels = Counter(), [Counter()]
     for i, t in rows:
         if not held(i):
             x = tok(t)
             uni.update(x)
-            bi.update(zip([end, *x], x))
+            levels[0].update(grams(x))
+    while len(next(iter(levels[-1]), (0,))) > 1:
+        levels.append(Counter(g[1:] for g in levels[-1]))
     n, v = sum(uni.values()), len(uni)
-    before, first, kinds = Counter(w for _, w in bi), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in bi.items():
-        first[a] += c
-        kinds[a][min(c, 3) - 1] += 1
-    d = [0, *kneser_ney.discounts([sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])]
-    e = [0, *kneser_ney.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])]
-    total = sum(before.values())
-    floor = (sum(e[min(c, 3)] for c in before.values()) / total if total else 1) / (v + 1)
-
-    def p(a, w):
-        one = (max(before[w] - e[min(before[w], 3)], 0) / total if total else 0) + floor
-        if not first[a]:
-            return one
-        c = bi[a, w]
-        return max(c - d[min(c, 3)], 0) / first[a] + sum(x * y for x, y in zip(d[1:], kinds[a])) / first[a] * one
+    discount = [[0, *kneser_ney.discounts([sum(c == k for c in level.values()) for k in (1, 2, 3, 4)])] for level in levels]
+    sums, kinds = [Counter() for _ in levels], [defaultdict(lambda: [0, 0, 0]) for _ in levels]
+    for k, level in enumerate(levels):
+        for g, c in level.items():
+            sums[k][g[:-1]] += c
+            kinds[k][g[:-1]][min(c, 3) - 1] += 1
+    total = sum(levels[-1].values())
+
+    def p(g, k):
+        if len(g) == 1:
+            e = discount[-1]
+            floor = (sum(e[min(c, 3)] for c in levels[-1].values()) / total if total and n else 1) / (v + 1)
+            return (max(levels[-1][g] - e[min(levels[-1][g], 3)], 0) / total if total else 0) + floor
+        lower = p(g[1:], k + 1)
+        if not sums[k][g[:-1]]:
+            return lower
+        c, d, s = levels[k][g], discount[k], sums[k][g[:-1]]
+        return max(c - d[min(c, 3)], 0) / s + sum(x * y for x, y in zip(d[1:], kinds[k][g[:-1]])) / s * lower
 
     for i, t in rows:
         x = tok(t)
-        yield i, held(i), len(x), sum(w in uni for w in x), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in x), sum(math.log10(p(a, w)) for a, w in zip([end, *x], x))
+        yield i, held(i), len(x), sum(w in uni for w in x), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in x), sum(math.log10(p(g, 0)) for g in grams(x))
 
 
+def lm_rows():
+    rng = random.Random(21)
+    words = "the a of in to and river stone light moon far near old new".split()
+    return [*TEXTS, *((200 + k, " ".join(rng.choice(words[: rng.choice([3, 14])]) for _ in range(rng.randrange(60)))) for k in range(120))]
+
+
+@pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("per_shard", [4_000_000, 300])
-def test_language_model_equals_counting(spark, hard, per_shard):
+def test_language_model_equals_counting(spark, per_shard, order):
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
     columns = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    got = per_doc(kneser_ney.lm_scores(hard, per_shard=per_shard), *columns)
-    want = sorted(((i is None, i or 0, *v) for i, *v in brute_lm(TEXTS, held)), key=str)
-    assert [g[:6] for g in got] == [w[:6] for w in want]
+    df = spark.createDataFrame([row(*r) for r in lm_rows()], SCHEMA)
+    got = per_doc(kneser_ney.lm_scores(df, per_shard=per_shard, order=order), *columns)
+    want = sorted(((i is None, i or 0, *v) for i, *v in brute_lm(lm_rows(), held, order)), key=str)
+    assert [g[:6] for g in sorted(got)] == [w[:6] for w in sorted(want)]
     for g, w in zip(sorted(got), sorted(want)):
         assert g[6:] == pytest.approx(w[6:], rel=1e-9, abs=1e-9)
 
 
+def test_counts_in_slices_and_from_stores_that_cant_be_mapped(spark, monkeypatch):
+    from pyarrow import fs
+
+    df = spark.createDataFrame([row(*r) for r in lm_rows()], SCHEMA)
+    model = kneser_ney.fit(df, per_shard=300)
+    texts = [t for _, t in lm_rows()]
+    want = kneser_ney.Scorer(model).score(texts)
+    assert len(list(kneser_ney._told(kneser_ney.chained(np.arange(5, dtype=np.uint64), np.array([2, 3]), kneser_ney.END), 3, np.zeros(0, np.uint64), 4))) >= 1
+    monkeypatch.setattr(kneser_ney, "HELD_BYTES", 1 << 12)
+    monkeypatch.setattr(fs, "LocalFileSystem", type("Other", (), {}))
+    scorer = kneser_ney.Scorer(model)
+    for a, b in zip(want, scorer.score(texts)):
+        assert np.array_equal(a, b)
+    assert scorer.held <= 1 << 13
+
+
+def test_packed_arrays_know_their_keys():
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 5000, dtype=np.uint64), (np.uint64(7) << np.uint64(40)) + (np.arange(50, dtype=np.uint64) << np.uint64(16))]))
+    c = rng.integers(1, 400, len(keys))
+    d = np.minimum(c, rng.integers(0, 300, len(keys)))
+    data = np.frombuffer(b"".join(a.tobytes() for a in kneser_ney.packed(keys, [c, d])), np.uint8)
+    table = kneser_ney.Packed(data, 2)
+    assert np.array_equal(table.find(keys), np.stack([c, d], axis=1))
+    assert not table.find(rng.integers(1 << 63, 1 << 64, 1000, dtype=np.uint64)).any()
+    assert not kneser_ney.Packed(np.frombuffer(b"".join(a.tobytes() for a in kneser_ney.packed(keys[:0], [c[:0]])), np.uint8), 1).find(keys).any()
+
+
 def test_language_model_without_training(spark, none):
     assert kneser_ney.lm_scores(none).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
