@@ -541,7 +541,7 @@ def test_counts_in_slices_and_from_stores_that_cant_be_mapped(spark, monkeypatch
     from pyarrow import fs
 
     df = spark.createDataFrame([row(*r) for r in lm_rows()], SCHEMA)
-    model = kneser_ney.fit(df, per_shard=300)
+    model = kneser_ney.fit(df, per_shard=300, order=3)
     texts = [t for _, t in lm_rows()]
     want = kneser_ney.Scorer(model).score(texts)
     assert len(list(kneser_ney._told(kneser_ney.chained(np.arange(5, dtype=np.uint64), np.array([2, 3]), kneser_ney.END), 3, np.zeros(0, np.uint64), 4))) >= 1
