@@ -408,6 +408,9 @@ def test_snapshots(spark, tmp_path):
     live.telemetry(batch, path, now=100.0)
     live.telemetry(batch, path, now=101.0)
     assert logs.read_snapshot(path) == {"generated_at": 101.0, "arms": {"a": {"trades": 4, "net": 7.0}, "b": {"trades": 2, "net": -2.0}}}
+    for _ in range(2):  # a batch that is repeated counts once
+        live.telemetry(batch, path, now=102.0, batch_id=3)
+    assert logs.read_snapshot(path)["arms"]["a"] == {"trades": 6, "net": 10.5}
     assert live.is_live(path, now=110.0) and not live.is_live(path, now=200.0)
     (tmp_path / "live.json").write_text("{")
     assert logs.read_snapshot(path) is None

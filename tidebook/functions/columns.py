@@ -119,6 +119,11 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
+def drawn(text: Column) -> Column:
+    """A number below 2 ** 32 that follows from a text and looks random: the same in every run and engine."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def mean_rank(window_keys: list, value: Column) -> Column:
     """Rank with ties at their mean."""
     w = Window.partitionBy(*window_keys).orderBy(value)

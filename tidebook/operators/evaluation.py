@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.columns import EPS, correlation, mean_rank, normal_cdf, normal_ppf
+from tidebook.functions.columns import EPS, correlation, drawn, mean_rank, normal_cdf, normal_ppf
 
 
 def signal_ic(df: DataFrame, signals: tuple[str, ...], horizons: tuple[int, ...], keys: tuple[str, ...] = ("symbol", "date"), least: int = 50) -> DataFrame:
@@ -151,43 +152,48 @@ def expected_best(sd: Column, trials: Column) -> Column:
     return F.when((trials < 2) | (sd <= 0) | sd.isNull(), 0.0).otherwise(sd * ((1 - EULER) * first + EULER * second))
 
 
-def deflated(daily: DataFrame, arm: str = "arm", value: str = "pnl") -> DataFrame:
-    """PSR and deflated Sharpe of each arm, n being its days with a result that isn't 0.
+def deflated(daily: DataFrame, arm: str = "arm", value: str = "pnl", every_day: bool = False, normal: bool = False) -> DataFrame:
+    """PSR and deflated Sharpe of each arm, n being its days with a result that isn't 0, or with every_day all.
 
-    The arms are the trials: a summary row each, few enough for one broadcast row of totals.
+    With `normal` the PSR against 0 takes a skewness of 0 and a kurtosis of 3. The arms are the trials (a
+    single one is compared with a trial of 0): a summary row each, few enough for one row of totals.
     """
     m = moments(daily, arm, value=value)
-    trials = m.agg(F.stddev_samp("sharpe").alias("_sd"), F.count("*").cast("double").alias("_n"))
+    trials = m.agg(F.stddev_samp("sharpe").alias("_sd"), F.count("*").cast("double").alias("_n"), F.max("sharpe").alias("_one"))
+    trials = trials.select(F.when(F.col("_n") == 1, F.abs("_one") / F.sqrt(F.lit(2.0))).otherwise(F.col("_sd")).alias("_sd"), F.greatest("_n", F.lit(2.0)).alias("_n"))
     m = m.crossJoin(F.broadcast(trials)).withColumn("sr_star", expected_best(F.col("_sd"), F.col("_n")))
-    args = [F.col(c) for c in ("sharpe", "n_days", "skew", "kurt")]
-    return m.withColumns({"psr": psr(*args, F.lit(0.0)), "dsr": psr(*args, F.col("sr_star"))}).drop("_sd", "_n")
+    sr, n, skew, kurt = (F.col(c) for c in ("sharpe", "n" if every_day else "n_days", "skew", "kurt"))
+    plain = (F.lit(0.0), F.lit(3.0)) if normal else (skew, kurt)
+    return m.withColumns({"psr": psr(sr, n, *plain, F.lit(0.0)), "dsr": psr(sr, n, skew, kurt, F.col("sr_star"))}).drop("_sd", "_n")
 
 
 def pbo(matrix: DataFrame, arm: str = "arm", day: str = "day", value: str = "pnl", blocks: int = 6) -> DataFrame:
     """Probability of backtest overfitting by combinatorially symmetric cross-validation.
 
-    matrix is long; days that an arm lacks go. Blocks are of equal length (a tail goes), and each
-    split's means come from block sums, so the splits cost a re-aggregation of blocks x arms.
+    matrix is long; days that an arm lacks go. There are `blocks` blocks, or the even number that the
+    days allow; they are of equal length (a tail goes), and each split's means come from block sums, so
+    the splits cost a re-aggregation of blocks x arms. All is one plan: the numbers of arms and days
+    are rows of it. Without two days there is no split.
     """
-    matrix = matrix.select(arm, day, value).persist()  # days x arms: a summary, read three times
-    arms = matrix.select(arm).distinct().count()
-    whole = matrix.filter(F.col(value).isNotNull()).groupBy(day).agg(F.count("*").alias("_n")).filter(F.col("_n") == arms).select(day)
-    days = whole.count()
-    s = max(2, blocks - blocks % 2)
-    while s > 2 and days < s:
-        s -= 2
-    size = days // s
-    splits = [(i, list(c)) for i, c in enumerate(combinations(range(s), s // 2))]
-    place = whole.withColumn("block", F.floor((F.row_number().over(Window.orderBy(day)) - 1) / max(1, size))).filter(F.col("block") < s)
-    sums = matrix.join(place, day).groupBy(arm, "block").agg(F.sum(value).alias("total"))
-    table = F.broadcast(matrix.sparkSession.createDataFrame(splits, "split int, inside array<int>"))
-    half = float(max(1, size) * (s // 2))
-    inside = F.array_contains("inside", F.col("block").cast("int"))
-    perf = sums.crossJoin(table).groupBy("split", arm).agg((F.sum(F.when(inside, F.col("total")).otherwise(0.0)) / half).alias("is_mean"), (F.sum(F.when(inside, 0.0).otherwise(F.col("total"))) / half).alias("oos_mean"))
+    matrix = matrix.select(arm, day, value)
+    arms = matrix.agg(F.countDistinct(arm).alias("_arms"))
+    whole = matrix.filter(F.col(value).isNotNull()).groupBy(day).agg(F.count("*").alias("_n"))
+    whole = whole.crossJoin(F.broadcast(arms)).filter(F.col("_n") == F.col("_arms")).select(day, "_arms")
+    every = Window.partitionBy("_arms")  # days are few, and their number is a row's own
+    days = F.count("*").over(every)
+    s = F.least(F.lit(blocks // 2 * 2), F.floor(days / 2) * 2)
+    place = whole.withColumns({"_s": s, "_size": F.floor(F.try_divide(days, s)), "_i": F.row_number().over(every.orderBy(day)) - 1})
+    place = place.filter("_s >= 2").withColumn("block", F.floor(F.try_divide(F.col("_i"), F.col("_size"))).cast("int")).filter("block < _s")
+    sums = matrix.join(place, day).groupBy(arm, "block", "_s", "_size", "_arms").agg(F.sum(value).alias("total"))
+    splits = [(n, i, list(c)) for n in range(2, blocks + 1, 2) for i, c in enumerate(combinations(range(n), n // 2))]
+    table = F.broadcast(matrix.sparkSession.createDataFrame(splits, "_s long, split int, inside array<int>"))
+    half = F.first(F.col("_size") * F.col("_s") / 2)
+    inside = F.array_contains("inside", F.col("block"))
+    perf = sums.join(table, "_s").groupBy("split", arm, "_arms").agg((F.sum(F.when(inside, F.col("total")).otherwise(0.0)) / half).alias("is_mean"), (F.sum(F.when(inside, 0.0).otherwise(F.col("total"))) / half).alias("oos_mean"))
     # Equal in-sample means: the first arm by name.
     best = F.row_number().over(Window.partitionBy("split").orderBy(F.desc("is_mean"), arm))
     ranked = perf.withColumns({"best": best, "rank": mean_rank(["split"], F.col("oos_mean"))}).filter("best = 1")
-    omega = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("rank") / (arms + 1)))
+    omega = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("rank") / (F.col("_arms") + 1)))
     logit = F.ln(omega / (1 - omega))
     return ranked.withColumn("logit", logit).agg(F.avg(F.when(F.col("logit") <= 0, 1.0).otherwise(0.0)).alias("pbo"), F.count("*").alias("n_splits"), F.median("logit").alias("median_logit"))
 
@@ -205,31 +211,55 @@ def autocorrelation(df: DataFrame, value: str, keys: tuple[str, ...], order: tup
     return var.join(sums, list(keys)).select(*keys, "lag", "n", F.when(F.col("_v") > 0, F.col("_s") / (F.col("n") * F.col("_v"))).otherwise(0.0).alias("rho"))
 
 
-def effective_size(df: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], lags: int = 60) -> DataFrame:
+def effective_size(df: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """n / (1 + 2 sum of autocorrelations), the sum ending before the first that isn't positive.
 
-    Lags go up to the least of n - 1, int(10 log10 n) + 20 and `lags`.
+    Lags go up to the lesser of n - 1 and int(10 log10 n) + 20; the longest series of all tells how many
+    are worked out (a number that grows by ten when series grow tenfold).
     """
-    rho = autocorrelation(df, value, keys, order, lags).filter(F.col("lag") <= F.least(F.col("n") - 1, F.floor(10 * F.log10("n")) + 20))
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    rho = autocorrelation(df, value, keys, order, max(1, min(longest - 1, int(10 * math.log10(longest)) + 20)))
+    rho = rho.filter(F.col("lag") <= F.least(F.col("n") - 1, F.floor(10 * F.log10("n")) + 20))
     ended = F.max(F.when(F.col("rho") <= 0, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0))
     total = rho.withColumn("_ended", ended).groupBy(*keys).agg(F.sum(F.when(F.col("_ended") == 0, F.col("rho")).otherwise(0.0)).alias("_s"))
     n = df.groupBy(*keys).agg(F.count(value).alias("n"))
     return n.join(total, list(keys), "left").select(*keys, "n", F.when(F.col("n") < 3, F.col("n").cast("double")).otherwise(F.col("n") / (1 + 2 * F.coalesce("_s", F.lit(0.0)))).alias("n_eff"))
 
 
-def bootstrap(pairs: DataFrame, by: tuple[str, ...], value: str, order: str, draws: int = 1000, block: int = 1, seed: int = 0) -> DataFrame:
-    """Mean, t and the 95 % interval of the mean, from resampled circular blocks.
+def bootstrap(pairs: DataFrame, by: tuple[str, ...], value: str, order: str, draws: int = 10_000, block: int = 1, seed: int = 0, statistic: str = "mean") -> DataFrame:
+    """A statistic - the mean, or the Sharpe of a period - and its 95 % interval from resampled circular blocks.
 
-    Draw b takes, for each place of the series, the value at a place that a hash of (seed, b,
-    block) chooses: draws are rows of one join, and the same in every run. Series are of days, so
-    n x draws rows are made, spread over the draws.
+    Columns: by, n, the statistic under its name (for the mean also its t), low, high and p_gt0, the share of draws above 0.
+    Draw b takes, for each place of the series, the value at a place that a hash of (seed, b, block)
+    chooses, so draws are the same in every run. Series are of days: one is an array, and each draw
+    a row that resamples it, so n x draws values are made, spread over the draws. The interval of a
+    Sharpe is null for fewer than block + 1 values.
     """
-    n = F.count("*").over(Window.partitionBy(*by))
-    rows = pairs.select(*by, F.col(value).alias("_x"), n.alias("_n"), (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).alias("_i"))
-    draw = pairs.sparkSession.range(draws).withColumnRenamed("id", "_b")
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), F.floor(F.col("_i") / block)) + F.col("_i") % block, F.col("_n"))
-    asked = rows.select(*by, "_i", "_n").crossJoin(F.broadcast(draw)).withColumn("_at", place)
-    means = asked.select(*by, "_b", F.col("_at").alias("_i")).join(rows.select(*by, "_i", "_x"), [*by, "_i"]).groupBy(*by, "_b").agg(F.avg("_x").alias("_m"))
-    spread = means.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"), F.avg(F.when(F.col("_m") > 0, 1.0).otherwise(0.0)).alias("p_gt0"))
-    point = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"), F.try_divide(F.avg("_x"), F.stddev_samp("_x") / F.sqrt(F.count("*"))).alias("t"))
-    return point.join(spread, list(by))
+    series = pairs.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("_x")))), lambda r: r["_x"]).alias("_xs"))
+    n = F.size("_xs")
+    h = lambda i: drawn(F.concat_ws("-", F.lit(seed), F.col("_b"), F.floor(i / block)))
+    place = lambda i: ((h(i) % n + i % block) % n).cast("int")
+    # A few series and many draws: the draws are dealt over tasks in parts.
+    parts = min(draws, 32)
+    asked = series.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, *by, "_part")
+    asked = asked.withColumn("_b", F.explode(F.filter(F.sequence(F.lit(0), F.lit(draws - 1)), lambda b: b % parts == F.col("_part"))))
+    asked = asked.select(*by, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_xs", place(i))).alias("_v"))
+
+    def mean(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+    drawn_ = asked.withColumn("_m", mean(F.col("_v")))
+    if statistic == "sharpe":
+        sd = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / (F.size("_v") - 1))
+        drawn_ = drawn_.withColumn("_m", F.when((F.size("_v") > 1) & (sd > 0), F.col("_m") / sd).otherwise(0.0))
+    spread = drawn_.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"), F.avg(F.when(F.col("_m") > 0, 1.0).otherwise(0.0)).alias("p_gt0"))
+    x, found = F.col(value), {}
+    if statistic == "sharpe":
+        found = {"sharpe": F.when((F.count(x) > 1) & (F.stddev_samp(x) > 0), F.avg(x) / F.stddev_samp(x)).otherwise(0.0)}
+    else:
+        found = {"mean": F.avg(x), "t": F.try_divide(F.avg(x), F.stddev_samp(x) / F.sqrt(F.count(x)))}
+    point = pairs.groupBy(*by).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in found.items()])
+    out = point.join(spread, list(by))
+    if statistic == "sharpe":
+        out = out.withColumns({c: F.when(F.col("n") > block, F.col(c)) for c in ("low", "high", "p_gt0")})
+    return out

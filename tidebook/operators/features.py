@@ -181,6 +181,11 @@ def resonance(pair: DataFrame) -> DataFrame:
     return df.withColumn("a7_resonance", (F.col("a7_bid_resonance") + F.col("a7_ask_resonance")) / 2)
 
 
+def resonance_z(df: DataFrame, n: int = 200, least: int = 10, keys=("date",)) -> DataFrame:
+    """a7_resonance_z: the resonance's distance from its rolling mean, in deviations."""
+    return df.withColumn("a7_resonance_z", zscore(F.col("a7_resonance"), session(*keys), n, least))
+
+
 def composite(df: DataFrame, n: int = 100, least: int = 20, keys=SESSION) -> DataFrame:
     """Structural composite before smoothing: z(a6 ask) - z(a6 bid) + z(a5)."""
     w = session(*keys)

@@ -44,9 +44,14 @@ def hurst(df: DataFrame, keys: tuple[str, ...], price: str = "mid", least: int =
     return fit.select(*keys, F.when(F.col("_k") >= 2, F.col("hurst")).alias("hurst"))
 
 
-def classify(df: DataFrame, keys: tuple[str, ...], q: int = 10, reverting: float = 0.7, trending: float = 1.5, price: str = "mid") -> DataFrame:
-    """keys, n, vr, hurst, drift_vol and regime of each window; `unknown` with too few rows."""
-    v = variance_ratio(df, keys, q, price).join(hurst(df, keys, price), list(keys), "left")
+def classify(df: DataFrame, keys: tuple[str, ...], q: int = 10, reverting: float = 0.7, trending: float = 1.5, price: str = "mid", with_hurst: bool = False) -> DataFrame:
+    """keys, n, vr, drift_vol and regime of each window, `unknown` with too few rows; with_hurst adds hurst.
+
+    The exponent copies each row once a scale and doesn't decide the regime.
+    """
+    v = variance_ratio(df, keys, q, price)
+    if with_hurst:
+        v = v.join(hurst(df, keys, price), list(keys), "left")
     v = v.withColumn("drift_vol", F.when(F.col("vol") > 0, F.col("drift") / F.col("vol")).otherwise(0.0))
     label = (
         F.when(F.col("n") < q + 1, "unknown")
@@ -68,6 +73,38 @@ def spread(pairs: DataFrame, keys: tuple[str, ...] = ("x", "y"), fit: DataFrame
     return pairs.join(f.select(*keys, "alpha", "beta"), list(keys)).withColumn("s", F.col("la") - (F.col("alpha") + F.col("beta") * F.col("lb")))
 
 
+def rolling_beta_drift(pairs: DataFrame, keys: tuple[str, ...] = ("x", "y"), order: str = "hour", n: int = 120, a: str = "la", b: str = "lb") -> DataFrame:
+    """keys and beta_drift: the deviation of the rolling regression slope of a on b over n rows."""
+    f = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(n - 1), 0)
+    beta = F.when(F.count("*").over(f) >= n, F.try_divide(F.covar_samp(a, b).over(f), F.var_samp(b).over(f)))
+    return pairs.select(*keys, beta.alias("_beta")).groupBy(*keys).agg(F.stddev_samp("_beta").alias("beta_drift"))
+
+
+def pair_screen(pairs: DataFrame, split: float = 0.6, window: int = 120, alpha: float = 0.05, least: tuple[int, int, int] = (500, 300, 200), order: str = "hour") -> DataFrame:
+    """Pairs(x, y, order, la, lb) tested in the first `split` of all times and in the rest.
+
+    Columns: x, y, n, beta_in, beta_out, p_in, p_out, beta_drift, corr (of changes) and kept (both p below
+    alpha). Pairs with fewer rows than `least` (of all, in, out) are left out.
+    """
+    keys = ("x", "y")
+    times = pairs.select(order).distinct()  # a row a time, as many as bars
+    ranked = times.select(order, F.percent_rank().over(Window.orderBy(order)).alias("_r"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    # The first int(split x n) times: percent_rank is (place - 1) / (n - 1).
+    cut = ranked.filter(F.round(F.col("_r") * (F.col("_n") - 1)) < F.floor(F.col("_n") * split)).agg(F.max(order).alias("_cut"))
+    halves = pairs.crossJoin(F.broadcast(cut)).withColumn("half", F.when(F.col(order) <= F.col("_cut"), "in").otherwise("out")).drop("_cut")
+    by = (*keys, "half")
+    fit = pair_fit(halves, by)
+    test = dickey_fuller(spread(halves, by, fit), by, order).select(*by, "adf_p")
+    wide = fit.join(test, list(by), "left").groupBy(*keys).pivot("half", ["in", "out"]).agg(F.first("n").alias("n"), F.first("beta").alias("beta"), F.first("adf_p").alias("p"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    moves = pairs.select(*keys, (F.col("la") - F.lag("la").over(w)).alias("_a"), (F.col("lb") - F.lag("lb").over(w)).alias("_b"))
+    moves = moves.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("corr"))
+    out = moves.join(wide, list(keys)).join(rolling_beta_drift(pairs, keys, order, window), list(keys))
+    out = out.filter((F.col("n") >= least[0]) & (F.col("in_n") >= least[1]) & (F.col("out_n") >= least[2]))
+    kept = (F.col("in_p") < alpha) & (F.col("out_p") < alpha)
+    return out.select(*keys, "n", F.col("in_beta").alias("beta_in"), F.col("out_beta").alias("beta_out"), F.col("in_p").alias("p_in"), F.col("out_p").alias("p_out"), "beta_drift", "corr", kept.alias("kept"))
+
+
 def dickey_fuller(df: DataFrame, keys: tuple[str, ...], order: str, value: str = "s") -> DataFrame:
     """t statistic and p-value of the unit-root test with one lag and a constant.
 

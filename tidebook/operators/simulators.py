@@ -58,6 +58,12 @@ def _first(mask: np.ndarray, start: int) -> int:
     return k if k < len(mask) and mask[k] else len(mask)
 
 
+def _next(places: np.ndarray, start: int, n: int) -> int:
+    """The first of the sorted places at or after start, or n."""
+    k = int(np.searchsorted(places, start))
+    return int(places[k]) if k < len(places) else n
+
+
 def _openings(signal: np.ndarray, valid: np.ndarray, threshold: float, fresh: bool) -> np.ndarray:
     """Packets whose signal may open: strong enough, and with `fresh` only after a weaker one.
 
@@ -74,21 +80,27 @@ def taker_session(mid: np.ndarray, signal: np.ndarray, p: Taker) -> list[tuple]:
     """(entry, exit, direction, entry price, exit price, method) of a session's trades."""
     n = len(mid)
     valid = ~(np.isnan(mid) | np.isnan(signal))
-    may_open = _openings(signal, valid, p.threshold, p.fresh_cross)
-    packet = np.arange(n)
+    places = np.flatnonzero(valid)
+    openings = np.flatnonzero(_openings(signal, valid, p.threshold, p.fresh_cross))
     out, start = [], 0
-    while (i := _first(may_open, start)) < n:
+    while (k := int(np.searchsorted(openings, start))) < len(openings):
+        i = int(openings[k])
         side = 1 if signal[i] > 0 else -1
         entry = mid[i] + side * p.slip_ticks * TICK
-        late = valid & (packet - i >= p.max_hold)
-        with np.errstate(invalid="ignore"):
-            hit = valid & (side * (mid - entry) < -p.stop_ticks * TICK)
-            turned = valid & (packet - i >= p.min_hold) & (side * signal < -p.reversal) if p.reversal is not None else np.zeros(n, bool)
-        j = _first(late | hit | turned, i + 1)
+        late = _next(places, max(i + p.max_hold, i + 1), n)
+        # Nothing closes later than the holding time, so no search goes beyond it.
+        part = slice(i + 1, min(late + 1, n))
+        hit = valid[part] & (side * (mid[part] - entry) < -p.stop_ticks * TICK)
+        out_early = hit
+        if p.reversal is not None:
+            turned = valid[part] & (side * signal[part] < -p.reversal)
+            turned[: max(0, p.min_hold - 1)] = False
+            out_early = hit | turned
+        j = min(late, i + 1 + _first(out_early, 0)) if out_early.any() else late
         if j == n:
             j, method = n - 1, "eod"
         else:
-            method = "max_hold" if late[j] else "stop" if hit[j] else "reversal"
+            method = "max_hold" if j == late else "stop" if hit[j - i - 1] else "reversal"
         out.append((i, j, side, entry, mid[j] - side * p.slip_ticks * TICK, method))
         start = j + max(1, p.cooldown + 1) if method != "eod" else n
     return out
@@ -98,19 +110,24 @@ def maker_session(mid: np.ndarray, bid: np.ndarray, ask: np.ndarray, signal: np.
     """Trades as for the taker, and the numbers of posts, fills and cancels."""
     n = len(mid)
     valid = ~(np.isnan(mid) | np.isnan(signal) | np.isnan(bid) | np.isnan(ask))
-    may_open = _openings(signal, valid, p.threshold, p.fresh_cross)
-    packet = np.arange(n)
+    places = np.flatnonzero(valid)
+    openings = np.flatnonzero(_openings(signal, valid, p.threshold, p.fresh_cross))
     out, start, posts, fills, cancels = [], 0, 0, 0, 0
 
-    def passed(side: int, price: float) -> np.ndarray:
-        with np.errstate(invalid="ignore"):
-            return valid & ((bid < price) if side > 0 else (ask > price))
+    def passed(side: int, price: float, first: int, last: int) -> int:
+        """The first packet from first to last that trades through the price, or n."""
+        part = slice(first, min(last + 1, n))
+        mask = valid[part] & ((bid[part] < price) if side > 0 else (ask[part] > price))
+        return first + int(mask.argmax()) if mask.any() else n
 
-    while (i := _first(may_open, start)) < n:
+    while (k := int(np.searchsorted(openings, start))) < len(openings):
+        i = int(openings[k])
         posts += 1
         side = 1 if signal[i] > 0 else -1
         price = bid[i] if side > 0 else ask[i]
-        filled, expired = _first(passed(side, price), i + 1), _first(valid & (packet - i >= p.order_timeout), i + 1)
+        # No search goes beyond the packet that ends the wait.
+        expired = _next(places, max(i + p.order_timeout, i + 1), n)
+        filled = passed(side, price, i + 1, expired)
         if filled == expired == n:
             break  # still waiting when the session ends
         if expired < filled:
@@ -118,11 +135,11 @@ def maker_session(mid: np.ndarray, bid: np.ndarray, ask: np.ndarray, signal: np.
             start = expired + 1
             continue
         fills += 1
-        late = _first(valid & (packet - filled >= p.max_hold), filled + 1)
+        late = _next(places, max(filled + p.max_hold, filled + 1), n)
         met, left = n, 0.0
-        if p.maker_exit and (posted := _first(valid, filled + 1)) < n:
+        if p.maker_exit and (posted := _next(places, filled + 1, n)) < n:
             left = ask[posted] if side > 0 else bid[posted]
-            met = _first(passed(-side, left), posted)
+            met = passed(-side, left, posted, late)
         j = min(met, late)
         if j == n:
             out.append((filled, n - 1, side, price, mid[n - 1] - side * p.slip_ticks * TICK, "taker_eod"))
@@ -324,6 +341,18 @@ def haircut(df: DataFrame, p: Strategy, keys: tuple[str, ...] = ("symbol", "date
     return both.withColumnRenamed("arm", "symbol").withColumns({"haircut": gap, "haircut_pct": F.when(F.col("touch_net") != 0, 100 * gap / F.col("touch_net"))})
 
 
+def replay_summary(trades: DataFrame, *by: str) -> DataFrame:
+    """Of a replay's trades: count, net, the share that the maker exit closed, and net by the kind of exit."""
+    kinds = ("maker_exit", "taker_stop", "taker_max_hold", "taker_reversal", "taker_eod")
+    net = F.col("net_pnl")
+    return trades.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.sum(net).alias("net"),
+        F.avg(F.when(F.col("exit_method") == "maker_exit", 1.0).otherwise(0.0)).alias("maker_exit_rate"),
+        *[F.sum(F.when(F.col("exit_method") == k, net).otherwise(0.0)).alias(f"net_{k}") for k in kinds],
+    )
+
+
 def params_frame(spark, grid: list) -> DataFrame:
     """The grid as a small table: param_id and one column a field."""
     kinds = {"int": "int", "bool": "boolean", "str": "string"}

@@ -10,6 +10,7 @@ from tidebook.operators import evaluation as E
 from tidebook.operators import features as X
 from tidebook.sources import views as V
 
+from . import normal as N
 from .features import W
 from .registry import query, rounded, shown
 from .relations import _FILLS, mids
@@ -19,13 +20,14 @@ T = V.with_views("trades")
 D = V.with_views("daily")
 
 
-def _ics(spark, d, least=50):
+def _ics(spark, d, least=50, keys=("symbol", "date")):
     """Sessions of the synthetic quotes are short, so a session here is a symbol's day."""
     q = X.forward(X.flow_first(X.microprice(mids(spark, d))), HORIZONS)
-    return E.signal_ic(q, SIGNALS, HORIZONS, least=least)
+    half = F.when(F.hour("ts") < 12, "morning").otherwise("afternoon")
+    return E.signal_ic(q.withColumn("half", half), SIGNALS, HORIZONS, keys=keys, least=least)
 
 
-def _ic_sql(least: int) -> str:
+def _ic_sql(least: int, keys: str = "symbol, date") -> str:
     flow = (
         "CASE WHEN lag(bid) OVER w IS NULL THEN 0 ELSE (CASE WHEN bid > lag(bid) OVER w THEN bid_qty WHEN bid < lag(bid) OVER w THEN -lag(bid_qty) OVER w ELSE bid_qty - lag(bid_qty) OVER w END)"
         " - (CASE WHEN ask < lag(ask) OVER w THEN ask_qty WHEN ask > lag(ask) OVER w THEN -lag(ask_qty) OVER w ELSE ask_qty - lag(ask_qty) OVER w END) END"
@@ -34,13 +36,13 @@ def _ic_sql(least: int) -> str:
     return (
         V.with_views("clean")
         + f""", m AS (SELECT *, (bid + ask) / 2 AS mid FROM clean),
-    s AS (SELECT symbol, date, ts, (bid * ask_qty + ask * bid_qty) / (bid_qty + ask_qty + 1e-9::DOUBLE) - (bid + ask) / 2 AS micro_deviation,
+    s AS (SELECT symbol, date, ts, CASE WHEN hour(ts) < 12 THEN 'morning' ELSE 'afternoon' END AS half, (bid * ask_qty + ask * bid_qty) / (bid_qty + ask_qty + 1e-9::DOUBLE) - (bid + ask) / 2 AS micro_deviation,
         (bid_qty - ask_qty) / (bid_qty + ask_qty + 1e-9::DOUBLE) AS obi_1, {flow} AS ofi_l1, {fwd} FROM m WINDOW w AS (PARTITION BY symbol, date ORDER BY ts, seq)),
-    x AS ({" UNION ALL ".join(f"SELECT symbol, date, ts, '{g}' AS signal, {h} AS horizon, {g}::DOUBLE AS x, f{h} AS y FROM s" for g in SIGNALS for h in HORIZONS)}),
-    r AS (SELECT symbol, date, ts, signal, horizon, rank() OVER (PARTITION BY symbol, date, signal, horizon ORDER BY x) + (count(*) OVER (PARTITION BY symbol, date, signal, horizon, x) - 1) / 2 AS rx,
-        rank() OVER (PARTITION BY symbol, date, signal, horizon ORDER BY y) + (count(*) OVER (PARTITION BY symbol, date, signal, horizon, y) - 1) / 2 AS ry
+    x AS ({" UNION ALL ".join(f"SELECT {keys}, '{g}' AS signal, {h} AS horizon, {g}::DOUBLE AS x, f{h} AS y FROM s" for g in SIGNALS for h in HORIZONS)}),
+    r AS (SELECT {keys}, signal, horizon, rank() OVER (PARTITION BY {keys}, signal, horizon ORDER BY x) + (count(*) OVER (PARTITION BY {keys}, signal, horizon, x) - 1) / 2 AS rx,
+        rank() OVER (PARTITION BY {keys}, signal, horizon ORDER BY y) + (count(*) OVER (PARTITION BY {keys}, signal, horizon, y) - 1) / 2 AS ry
         FROM x WHERE x IS NOT NULL AND y IS NOT NULL),
-    ic AS (SELECT symbol, date, signal, horizon, count(*) AS n, CASE WHEN count(*) >= {least} AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS ic FROM r GROUP BY ALL)"""
+    ic AS (SELECT {keys}, signal, horizon, count(*) AS n, CASE WHEN count(*) >= {least} AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS ic FROM r GROUP BY ALL)"""
     )
 
 
@@ -69,6 +71,20 @@ def g14_ic_by_symbol(spark, d):
     return shown(E.ic_summary(_ics(spark, d), ("symbol", "signal", "horizon")), ("symbol", "signal", "horizon", "n"), "mean_ic", "std_ic", "icir", "pct_pos", digits=5)
 
 
+@query(_ic_sql(50) + f" SELECT date, signal, count(*) AS n, {rounded('avg(ic) AS mean_ic', digits=5)} FROM ic WHERE ic IS NOT NULL AND horizon = 10 GROUP BY ALL")
+def g14_ic_by_day(spark, d):
+    """Mean IC of each day over its symbols, at ten packets."""
+    g = _ics(spark, d).filter("ic IS NOT NULL AND horizon = 10").groupBy("date", "signal").agg(F.count("*").alias("n"), F.avg("ic").alias("mean_ic"))
+    return shown(g, ("date", "signal", "n"), "mean_ic", digits=5)
+
+
+@query(_ic_sql(20, "symbol, date, half") + f" SELECT signal, half, count(*) AS n, {rounded('avg(ic) AS mean_ic', digits=5)} FROM ic WHERE ic IS NOT NULL AND horizon = 10 GROUP BY ALL")
+def g14_ic_by_half(spark, d):
+    """The same of mornings and afternoons, the IC being that of the half session."""
+    g = _ics(spark, d, 20, ("symbol", "date", "half")).filter("ic IS NOT NULL AND horizon = 10").groupBy("signal", "half").agg(F.count("*").alias("n"), F.avg("ic").alias("mean_ic"))
+    return shown(g, ("signal", "half", "n"), "mean_ic", digits=5)
+
+
 @query(_ic_sql(50) + " SELECT signal, " + ", ".join(f"round(avg(CASE WHEN horizon = {h} THEN ic END), 5) + 0.0 AS h{h}" for h in HORIZONS) + " FROM ic WHERE ic IS NOT NULL GROUP BY signal")
 def g30_ic_pivot(spark, d):
     p = _ics(spark, d).filter("ic IS NOT NULL").groupBy("signal").pivot("horizon", list(HORIZONS)).agg(F.avg("ic"))
@@ -283,25 +299,29 @@ def u2_effective_size(spark, d):
     return shown(E.effective_size(V.daily(spark, d), "pnl", ("arm",), ("day",)), ("arm", "n"), "n_eff", digits=5)
 
 
-@query()
+_MOMENTS = """, mo AS (SELECT {arm} AS arm, count({value}) AS n, count(CASE WHEN {value} <> 0 THEN 1 END) AS n_days, CASE WHEN stddev_samp({value}) > 0 THEN avg({value}) / stddev_samp({value}) ELSE 0 END AS sharpe,
+      CASE WHEN count({value}) > 2 THEN skewness({value}) END AS skew, CASE WHEN count({value}) > 3 THEN kurtosis({value}) + 3 END AS kurt FROM {source} GROUP BY ALL),
+    tr AS (SELECT CASE WHEN count(*) = 1 THEN abs(max(sharpe)) / sqrt(2) ELSE stddev_samp(sharpe) END AS sd, greatest(count(*), 2)::DOUBLE AS k FROM mo),
+    ti AS (SELECT sd, 1 - 1 / k AS p1, 1 - 1 / (k * 2.718281828459045::DOUBLE) AS p2 FROM tr),
+    st AS (SELECT CASE WHEN sd > 0 THEN sd * ((1 - 0.5772156649015329::DOUBLE) * {first} + 0.5772156649015329::DOUBLE * {second}) ELSE 0 END AS sr_star FROM ti),
+    sp0 AS (SELECT mo.*, sr_star, {plain} AS v0, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe AS v1 FROM mo, st),
+    zz AS (SELECT *, CASE WHEN {n} >= 2 AND v0 > 0 THEN sharpe * sqrt({n} - 1) / sqrt(v0) END AS z0, CASE WHEN {n} >= 2 AND v1 > 0 THEN (sharpe - sr_star) * sqrt({n} - 1) / sqrt(v1) END AS z1 FROM sp0),
+    df AS (SELECT *, {cdf0} AS psr, {cdf1} AS dsr FROM zz)"""
+
+
+def deflated_sql(source: str, arm: str = "arm", value: str = "pnl", every_day: bool = False, normal: bool = False) -> str:
+    """CTEs up to df, the rows of evaluation.deflated."""
+    plain = "1 + 0.5::DOUBLE * sharpe * sharpe" if normal else "1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe"
+    return _MOMENTS.format(source=source, arm=arm, value=value, n="n" if every_day else "n_days", plain=plain, first=N.ppf("p1"), second=N.ppf("p2"), cdf0=N.cdf("z0"), cdf1=N.cdf("z1"))
+
+
+@query(D + deflated_sql("daily") + f" SELECT arm, n, n_days, {rounded('sharpe', 'skew', 'kurt', 'psr', 'sr_star', 'dsr')} FROM df")
 def u6_deflated_sharpe(spark, d):
     """PSR against 0 and against the best of the arms without skill (U3 to U6)."""
     return shown(E.deflated(V.daily(spark, d)), ("arm", "n", "n_days"), "sharpe", "skew", "kurt", "psr", "sr_star", "dsr")
 
 
-_SPLITS = ", ".join(f"({i}, {list(c)})" for i, c in enumerate(__import__("itertools").combinations(range(6), 3)))
-
-
-@query(
-    D
-    + f""", whole AS (SELECT day FROM daily GROUP BY day HAVING count(*) = (SELECT count(DISTINCT arm) FROM daily)),
-    n AS (SELECT count(*) // 6 AS size FROM whole), b AS (SELECT day, (row_number() OVER (ORDER BY day) - 1) // (SELECT size FROM n) AS block FROM whole),
-    s AS (SELECT arm, block, sum(pnl) AS total FROM daily JOIN b USING (day) WHERE block < 6 GROUP BY ALL), t AS (SELECT * FROM (VALUES {_SPLITS}) x(split, inside)),
-    p AS (SELECT split, arm, sum(CASE WHEN list_contains(inside, block) THEN total ELSE 0 END) AS i, sum(CASE WHEN list_contains(inside, block) THEN 0 ELSE total END) AS o FROM s, t GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY i DESC, arm) AS best, rank() OVER (PARTITION BY split ORDER BY o) + (count(*) OVER (PARTITION BY split, o) - 1) / 2 AS rk FROM p),
-    l AS (SELECT ln(rk / ((SELECT count(DISTINCT arm) FROM daily) + 1) / (1 - rk / ((SELECT count(DISTINCT arm) FROM daily) + 1))) AS logit FROM r WHERE best = 1)
-    SELECT count(*) AS n_splits, {rounded("avg(CASE WHEN logit <= 0 THEN 1.0::DOUBLE ELSE 0 END) AS pbo", "median(logit) AS median_logit", digits=5)} FROM l"""
-)
+@query(D + N.overfit("daily") + f" SELECT n_splits, {rounded('pbo', 'median_logit', digits=5)} FROM pb")
 def u7_pbo(spark, d):
     return shown(E.pbo(V.daily(spark, d)), ("n_splits",), "pbo", "median_logit", digits=5)
 
@@ -312,24 +332,61 @@ def _diffs(spark, d):
     return day.filter("arm <> '1-URGENT'").join(base, "day").select("arm", "day", (F.col("pnl") - F.col("base")).alias("diff"))
 
 
-@query()
+_DIFFS = ", di AS (SELECT a.arm, a.day, a.pnl - b.pnl AS diff FROM daily a JOIN daily b ON a.day = b.day AND b.arm = '1-URGENT' WHERE a.arm <> '1-URGENT')"
+_DRAWS = 10_000
+
+
+@query(
+    D
+    + _DIFFS
+    + N.resampled("di", "diff", _DRAWS, 1, "mean")
+    + f" SELECT arm, n, {rounded('mean', 't', 'low', 'high', 'p_gt0', digits=4)} FROM (SELECT arm, count(*) AS n, avg(diff) AS mean, avg(diff) / (stddev_samp(diff) / sqrt(count(*))) AS t FROM di GROUP BY arm) JOIN bs USING (arm)"
+)
 def u8_paired_bootstrap(spark, d):
-    return shown(E.bootstrap(_diffs(spark, d), ("arm",), "diff", "day"), ("arm", "n"), "mean", "t", "low", "high", "p_gt0", digits=4)
+    return shown(E.bootstrap(_diffs(spark, d), ("arm",), "diff", "day", _DRAWS), ("arm", "n"), "mean", "t", "low", "high", "p_gt0", digits=4)
 
 
-@query()
+@query(
+    D
+    + N.resampled("daily", "pnl", _DRAWS, 2, "sharpe")
+    + f" SELECT arm, n, {rounded('sharpe', 'low', 'high', digits=4)} FROM (SELECT arm, count(*) AS n, CASE WHEN stddev_samp(pnl) > 0 THEN avg(pnl) / stddev_samp(pnl) ELSE 0 END AS sharpe FROM daily GROUP BY arm) JOIN bs USING (arm)"
+)
 def u9_block_bootstrap(spark, d):
-    return shown(E.bootstrap(V.daily(spark, d), ("arm",), "pnl", "day", block=2), ("arm", "n"), "mean", "low", "high", digits=4)
+    """The interval of the Sharpe per day, from circular blocks of two days."""
+    return shown(E.bootstrap(V.daily(spark, d), ("arm",), "pnl", "day", _DRAWS, 2, statistic="sharpe"), ("arm", "n"), "sharpe", "low", "high", digits=4)
+
 
+_REPORT = (
+    D
+    + deflated_sql("daily")
+    + N.overfit("daily")
+    + _DIFFS
+    + N.resampled("di", "diff", _DRAWS, 1, "mean")
+    + """, ov AS (SELECT arm, sum(pnl) AS total, avg(pnl) AS mean_day, stddev_samp(pnl) AS std_day, min(pnl) AS worst, max(pnl) AS best, max(pnl) / sum(pnl) AS concentration FROM daily GROUP BY arm),
+    tm AS (SELECT arm, count(*) AS trades, avg(CASE WHEN net_pnl > 0 THEN 1.0::DOUBLE ELSE 0 END) AS win_rate FROM trades GROUP BY arm),
+    co AS (SELECT a.arm, corr(a.pnl, b.pnl) AS base_corr FROM daily a JOIN daily b ON a.day = b.day AND b.arm = '1-URGENT' GROUP BY a.arm)
+    SELECT df.arm, trades, n_days, CASE WHEN low > 0 THEN 'real' WHEN high < 0 THEN 'worse' WHEN low IS NOT NULL THEN 'inconclusive' END AS verdict, """
+    + rounded("total", "mean_day", "std_day", "sharpe", "skew", "kurt", "worst", "best", "win_rate", "psr", "dsr", "concentration", "base_corr", "(SELECT pbo FROM pb) AS pbo", digits=6)
+    + " FROM df JOIN ov USING (arm) JOIN tm USING (arm) LEFT JOIN co USING (arm) LEFT JOIN bs USING (arm)"
+)
 
-@query()
+
+@query(_REPORT)
 def u10_arm_report(spark, d):
-    """Each arm with its statistics, and a verdict from the sign of its difference's interval."""
-    daily = V.daily(spark, d).persist()  # days x arms
-    stats = E.deflated(daily).join(E.effective_size(daily, "pnl", ("arm",), ("day",)).drop("n"), "arm").join(E.drawdown(daily, "pnl", ("arm",), ("day",)), "arm")
-    diff = E.bootstrap(_diffs(spark, d), ("arm",), "diff", "day").select("arm", "low", "high")
-    out = stats.join(diff, "arm", "left").withColumn("verdict", F.when(F.col("low") > 0, "real").when(F.col("high") < 0, "worse").when(F.col("low").isNotNull(), "inconclusive"))
-    return shown(out, ("arm", "n", "verdict"), "sharpe", "psr", "dsr", "n_eff", "max_drawdown", digits=4)
+    """Each arm's statistics, its correlation with the base arm, the share of its best day, the arms' PBO, and a verdict.
+
+    The verdict is the sign of the interval of the difference from the base arm.
+    """
+    daily, x = V.daily(spark, d), F.col("pnl")
+    over = daily.groupBy("arm").agg(F.sum(x).alias("total"), F.avg(x).alias("mean_day"), F.stddev_samp(x).alias("std_day"), F.min(x).alias("worst"), F.max(x).alias("best"), F.try_divide(F.max(x), F.sum(x)).alias("concentration"))
+    trades = V.trades(spark, d).groupBy("arm").agg(F.count("*").alias("trades"), F.avg(F.when(F.col("net_pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"))
+    base = daily.filter("arm = '1-URGENT'").select("day", x.alias("base"))
+    corr = daily.join(base, "day").groupBy("arm").agg(C.correlation("pnl", "base").alias("base_corr"))
+    diff = E.bootstrap(_diffs(spark, d), ("arm",), "diff", "day", _DRAWS).select("arm", "low", "high")
+    out = E.deflated(daily).join(over, "arm").join(trades, "arm").join(corr, "arm", "left").join(diff, "arm", "left").crossJoin(F.broadcast(E.pbo(daily).select("pbo")))
+    out = out.withColumn("verdict", F.when(F.col("low") > 0, "real").when(F.col("high") < 0, "worse").when(F.col("low").isNotNull(), "inconclusive"))
+    columns = ("total", "mean_day", "std_day", "sharpe", "skew", "kurt", "worst", "best", "win_rate", "psr", "dsr", "concentration", "base_corr", "pbo")
+    return shown(out, ("arm", "trades", "n_days", "verdict"), *columns, digits=6)
 
 
 # Further reports
@@ -348,7 +405,15 @@ def g20_instrument_markout(spark, d):
     return shown(g, ("symbol", "fills"), "at_0s", "at_300s", "at_1800s")
 
 
-@query()
+@query(
+    V.with_views("clean")
+    + """, l AS (SELECT symbol, date, seq, ln(ask - bid) AS x FROM clean WHERE ask - bid > 0),
+    o AS (SELECT symbol, date, x, count(*) OVER (PARTITION BY symbol, date) AS n, row_number() OVER (PARTITION BY symbol, date ORDER BY x, seq) AS i FROM l),
+    p AS (SELECT *, CASE WHEN i = n THEN pow(0.5::DOUBLE, 1.0::DOUBLE / n) WHEN i = 1 THEN 1 - pow(0.5::DOUBLE, 1.0::DOUBLE / n) ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM o WHERE n >= 3),
+    q AS (SELECT *, """
+    + N.ppf("p")
+    + f" AS q FROM p) SELECT symbol, date, count(*) AS n, {rounded('regr_slope(x, q) AS slope', 'regr_intercept(x, q) AS intercept', 'regr_r2(x, q) AS r2', digits=4)} FROM q GROUP BY symbol, date"
+)
 def g26_normal_plot(spark, d):
     """Fit of the ordered log spreads to normal order-statistic medians, a session at a time."""
     s = mids(spark, d).filter("spread > 0").select("symbol", "date", "seq", F.ln("spread").alias("x"))
@@ -379,13 +444,12 @@ def s22_report_json(spark, d):
     return m.select("arm", F.from_json("j", "n long, wins long").alias("r")).select("arm", "r.n", "r.wins")
 
 
-@query()
+@query(V.with_views("quotes") + f", n AS (SELECT symbol, seq, count(*) OVER (PARTITION BY symbol, date) AS n FROM quotes) SELECT symbol, seq FROM n WHERE ({N.drawn("'42-' || symbol || '-' || seq")} % 1000000) * n < 20 * 1000000")
 def o11_bounded_sample(spark, d):
-    """At most about 1000 rows of each session, chosen by a hash of the row, for plots."""
-    q = V.quotes(spark, d)
+    """About 20 rows of each session, chosen by a hash of the row, for plots."""
     n = F.count("*").over(Window.partitionBy("symbol", "date"))
-    draw = F.pmod(F.xxhash64("symbol", "seq", F.lit(42)), F.lit(1_000_000)) / 1e6
-    return q.withColumn("n", n).filter(draw < 1000 / F.col("n")).select("symbol", "seq")
+    draw = C.drawn(F.concat_ws("-", F.lit(42), "symbol", "seq")) % 1_000_000
+    return V.quotes(spark, d).withColumn("n", n).filter(draw * F.col("n") < 20 * 1_000_000).select("symbol", "seq")
 
 
 # Signals that the reference only describes

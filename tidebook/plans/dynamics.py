@@ -11,7 +11,9 @@ from tidebook.operators import recurrences as R
 from tidebook.operators import regime as G
 from tidebook.sources import views as V
 
-from .features import _A5, _A6, _BEFORE, _OFI, _RAW, _SUMS_W, KEYS, W, _z
+from .analytics import deflated_sql
+from .features import _A5, _A6, _BEFORE, _OFI, _RAW, _RESONANCE, _SUMS_W, KEYS, W, _z, resonances
+from . import normal as N
 from .registry import query, rounded, shown
 from .relations import mids
 
@@ -63,6 +65,18 @@ def p22_flow_composite(spark, d):
     return shown(R.ema(df, "flow_raw", "flow_eq", span=100), KEYS, "flow_eq", digits=4)
 
 
+@query(
+    V.with_views("book")
+    + f""", {_RESONANCE}, rs AS (SELECT 'S0' AS symbol, date, ts, seq, (rb + ra) / 2 AS res FROM r), rz AS (SELECT *, {_z("res", 200, 10)} AS z FROM rs), """
+    + ema_sql("rz", "res", 0.1)
+    + f" SELECT e.seq, {rounded('y AS a7_resonance_ema', 'z AS a7_resonance_z', digits=4)} FROM e JOIN rz USING (symbol, date, seq)"
+)
+def p19_a7_smoothed(spark, d):
+    """The resonance's exponential mean, and its distance from the mean of the last 200."""
+    df = X.resonance_z(resonances(spark, d)).select("date", "ts", "seq", "a7_resonance", "a7_resonance_z")
+    return shown(R.ema(df, "a7_resonance", "a7_resonance_ema", alpha=0.1, keys=("date",)), ("seq",), "a7_resonance_ema", "a7_resonance_z", digits=4)
+
+
 @query()
 def p23_data_driven_composite(spark, d):
     """The mean z of the three signals with the greatest information ratio at ten packets, smoothed."""
@@ -145,7 +159,15 @@ def u16_regime_distribution(spark, d):
     return shown(c.withColumn("share", F.col("n_windows") / F.sum("n_windows").over(Window.partitionBy("symbol"))), ("symbol", "regime", "n_windows"), "share", digits=5)
 
 
-@query()
+_BLOCK_KF = """, o AS (SELECT symbol, date, block, i, exp(x) AS z FROM w),
+    p AS (SELECT symbol, date, block, i, z AS x, 0.0::DOUBLE AS v, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS c FROM o WHERE i = 0
+      UNION ALL SELECT symbol, date, block, i, x1 + a1 / s * e, v + b1 / s * e, (1 - a1 / s) * a1, (1 - a1 / s) * b1, c1 - b1 / s * b1 FROM (
+        SELECT o.symbol, o.date, o.block, o.i, p.x + p.v AS x1, p.v, p.a + 2 * p.b + p.c + 1e-6::DOUBLE / 3 AS a1, p.b + p.c + 1e-6::DOUBLE / 2 AS b1, p.c + 1e-6::DOUBLE AS c1,
+          p.a + 2 * p.b + p.c + 1e-6::DOUBLE / 3 + 1e-2::DOUBLE AS s, o.z - (p.x + p.v) AS e FROM p JOIN o ON o.symbol = p.symbol AND o.date = p.date AND o.block = p.block AND o.i = p.i + 1)),
+    kf AS (SELECT symbol, date, block, avg(v) AS velocity FROM p GROUP BY ALL), mo AS (SELECT symbol, date, block, arg_max(z, i) - arg_min(z, i) AS move, max(z) - min(z) AS span FROM o GROUP BY ALL)"""
+
+
+@query(_BLOCKS + _BLOCK_KF + f" SELECT symbol, date, block, {_LABEL} AS regime, {rounded('velocity', 'move', 'span', digits=4)} FROM vr JOIN kf USING (symbol, date, block) JOIN mo USING (symbol, date, block)")
 def u16_regime_run(spark, d):
     """Windows with their regime, mean filter velocity, move and range."""
     t = _windows(spark, d)
@@ -183,18 +205,28 @@ def u17_engle_granger(spark, d):
     return shown(G.dickey_fuller(G.spread(pairs(spark, d)), ("x", "y"), "hour"), ("x", "y", "n"), "adf_t", digits=5)
 
 
-@query()
+@query(
+    V.with_views("bars")
+    + f""", p AS (SELECT a.symbol AS x, b.symbol AS y, a.hour, ln(a.close) AS la, ln(b.close) AS lb FROM bars a JOIN bars b ON a.hour = b.hour AND a.symbol < b.symbol),
+    tm AS (SELECT hour, row_number() OVER (ORDER BY hour) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT hour FROM p)), ct AS (SELECT max(hour) AS cut FROM tm WHERE i <= floor(n * 0.6::DOUBLE)),
+    h AS (SELECT p.*, CASE WHEN hour <= cut THEN 'in' ELSE 'out' END AS half FROM p, ct),
+    f AS (SELECT x, y, half, count(*) AS n, regr_slope(la, lb) AS beta, regr_intercept(la, lb) AS alpha FROM h GROUP BY ALL),
+    hs AS (SELECT x, y, half, hour, la - (alpha + beta * lb) AS s FROM h JOIN f USING (x, y, half)),
+    hl AS (SELECT *, s - lag(s) OVER w AS dy, lag(s) OVER w AS l FROM hs WINDOW w AS (PARTITION BY x, y, half ORDER BY hour)), hp AS (SELECT *, lag(dy) OVER (PARTITION BY x, y, half ORDER BY hour) AS p FROM hl),
+    hm AS {"(SELECT x, y, half, count(*) AS n, " + ", ".join(f"covar_pop({a}, {b}) * count(*) AS {k}" for a, b, k in (("l", "l", "ll"), ("p", "p", "pp"), ("l", "p", "lp"), ("l", "dy", "ly"), ("p", "dy", "py"), ("dy", "dy", "yy"))) + " FROM hp WHERE p IS NOT NULL GROUP BY ALL)"},
+    hb AS (SELECT *, ll * pp - lp * lp AS det, (ly * pp - py * lp) / (ll * pp - lp * lp) AS b1, (py * ll - ly * lp) / (ll * pp - lp * lp) AS b2 FROM hm),
+    ht AS (SELECT x, y, half, b1 / sqrt((yy - b1 * ly - b2 * py) / (n - 3) * pp / det) AS t FROM hb),
+    hz AS (SELECT *, CASE WHEN t <= -1.61 THEN 2.1659 + 1.4412 * t + 0.038269 * t * t ELSE 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t END::DOUBLE AS z FROM ht),
+    hv AS (SELECT x, y, half, CASE WHEN t > 2.74 THEN 1.0 WHEN t < -18.83 THEN 0.0 ELSE {N.cdf("z")} END AS p FROM hz),
+    rb AS (SELECT x, y, CASE WHEN count(*) OVER k >= 120 THEN covar_samp(la, lb) OVER k / var_samp(lb) OVER k END AS b FROM p WINDOW k AS (PARTITION BY x, y ORDER BY hour ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)),
+    rd AS (SELECT x, y, stddev_samp(b) AS beta_drift FROM rb GROUP BY ALL),
+    mv AS (SELECT x, y, la - lag(la) OVER w AS a, lb - lag(lb) OVER w AS b FROM p WINDOW w AS (PARTITION BY x, y ORDER BY hour)), mc AS (SELECT x, y, count(*) AS n, corr(a, b) AS corr FROM mv GROUP BY ALL),
+    wd AS (SELECT f.x, f.y, {", ".join(f"max(CASE WHEN f.half = '{h}' THEN {c} END) AS {n}_{h}" for h in ("in", "out") for c, n in (("f.n", "n"), ("f.beta", "beta"), ("hv.p", "p")))} FROM f LEFT JOIN hv USING (x, y, half) GROUP BY ALL)
+    SELECT x, y, mc.n, p_in < 0.05 AND p_out < 0.05 AS kept, {rounded("beta_in", "beta_out", "p_in", "p_out", "beta_drift", "corr", digits=4)} FROM wd JOIN mc USING (x, y) JOIN rd USING (x, y) WHERE mc.n >= 500 AND n_in >= 300 AND n_out >= 200"""
+)
 def u18_pair_screen(spark, d):
-    """Pairs whose residual is stationary in both halves of the sample (first 60 %, rest)."""
-    p = pairs(spark, d)
-    w = Window.partitionBy("x", "y")
-    halves = p.withColumn("half", F.when(F.row_number().over(w.orderBy("hour")) <= F.floor(F.count("*").over(w) * 0.6), "in").otherwise("out"))
-    keys = ("x", "y", "half")
-    t = G.dickey_fuller(G.spread(halves, keys), keys, "hour").groupBy("x", "y").pivot("half", ["in", "out"]).agg(F.first("adf_p"))
-    beta = G.pair_fit(halves, keys).groupBy("x", "y").pivot("half", ["in", "out"]).agg(F.first("beta"))
-    beta = beta.select("x", "y", (F.col("out") - F.col("in")).alias("beta_drift"))
-    out = t.join(beta, ["x", "y"]).withColumn("kept", (F.col("in") < 0.05) & (F.col("out") < 0.05)).withColumnsRenamed({"in": "p_in", "out": "p_out"})
-    return shown(out, ("x", "y", "kept"), "p_in", "p_out", "beta_drift", digits=4)
+    """Pairs whose residual is stationary in both parts of the sample (first 60 % of the bars, rest)."""
+    return shown(G.pair_screen(pairs(spark, d)), ("x", "y", "n", "kept"), "beta_in", "beta_out", "p_in", "p_out", "beta_drift", "corr", digits=4)
 
 
 @query(
@@ -213,29 +245,54 @@ def _positions(spark, d):
     return R.fade_positions(s.withColumn("z", z).select("x", "y", "hour", "ts", "seq", "s", "z"))
 
 
-@query(
-    _P
-    + f""", z AS (SELECT x, y, hour, s, row_number() OVER (PARTITION BY x, y ORDER BY hour) AS rn, CASE WHEN count(s) OVER f >= 24 THEN (s - avg(s) OVER f) / stddev_samp(s) OVER f END AS z FROM s WINDOW f AS (PARTITION BY x, y ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+_LEGS = "lc AS (SELECT symbol, median((ask - bid) / ((bid + ask) / 2)) * 1e4 + 0.000125::DOUBLE * 1e4 + 40 / (median((bid + ask) / 2) * 550) * 1e4 AS bps FROM clean GROUP BY symbol)"
+_FADE = (
+    _P.replace(V.with_views("bars"), V.with_views("bars", "clean"), 1)
+    + f""", {_LEGS}, co AS (SELECT a.symbol AS x, b.symbol AS y, (a.bps + b.bps) / 1e4 / 2 AS turn FROM lc a JOIN lc b ON a.symbol < b.symbol),
+    z AS (SELECT x, y, hour, s, row_number() OVER (PARTITION BY x, y ORDER BY hour) AS rn, CASE WHEN count(s) OVER f >= 24 THEN (s - avg(s) OVER f) / stddev_samp(s) OVER f END AS z FROM s WINDOW f AS (PARTITION BY x, y ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
     t AS (SELECT x, y, hour, s, rn, 0.0::DOUBLE AS state, 0.0::DOUBLE AS pos FROM z WHERE rn = 1 UNION ALL
       SELECT z.x, z.y, z.hour, z.s, z.rn, CASE WHEN z.z IS NULL THEN t.state WHEN t.state = 0 THEN CASE WHEN abs(z.z) > 2 THEN -sign(z.z)::DOUBLE ELSE 0 END WHEN abs(z.z) < 0.5 OR abs(z.z) > 4 THEN 0 ELSE t.state END,
         CASE WHEN z.z IS NULL THEN 0 WHEN t.state = 0 THEN CASE WHEN abs(z.z) > 2 THEN -sign(z.z)::DOUBLE ELSE 0 END WHEN abs(z.z) < 0.5 OR abs(z.z) > 4 THEN 0 ELSE t.state END
       FROM t JOIN z ON z.x = t.x AND z.y = t.y AND z.rn = t.rn + 1),
-    n AS (SELECT x, y, hour, coalesce(lag(pos) OVER w, 0) * coalesce(s - lag(s) OVER w, 0) - coalesce(abs(pos - lag(pos) OVER w), 0) * 0.0005::DOUBLE AS net FROM t WINDOW w AS (PARTITION BY x, y ORDER BY hour))
-    SELECT x, y, CAST(hour AS DATE) AS day, {rounded("sum(net) AS net", digits=5)} FROM n GROUP BY ALL"""
+    nt AS (SELECT x, y, hour, coalesce(lag(pos) OVER w, 0) * coalesce(s - lag(s) OVER w, 0) - coalesce(abs(pos - lag(pos) OVER w), 0) * turn AS net FROM t JOIN co USING (x, y) WINDOW w AS (PARTITION BY x, y ORDER BY hour)),
+    fd AS (SELECT x, y, CAST(hour AS DATE) AS day, sum(net) AS net FROM nt GROUP BY ALL)"""
 )
-def e13_pair_strategy(spark, d):
-    """Daily result of fading the spread: position before times its change, less a cost a turn."""
+
+
+def _fade_days(spark, d):
+    """x, y, day, net: position before times the spread's change, less half the legs' costs for each turn."""
     w = Window.partitionBy("x", "y").orderBy("hour")
     back = lambda c: F.lag(c).over(w)
-    net = F.coalesce(back("pos"), F.lit(0.0)) * F.coalesce(F.col("s") - back("s"), F.lit(0.0)) - F.coalesce(F.abs(F.col("pos") - back("pos")), F.lit(0.0)) * 0.0005
-    p = _positions(spark, d).withColumn("net", net)
-    return shown(p.groupBy("x", "y", F.to_date("hour").alias("day")).agg(F.sum("net").alias("net")), ("x", "y", "day"), "net", digits=5)
+    q = mids(spark, d)
+    leg = q.groupBy("symbol").agg((F.median(F.col("spread") / F.col("mid")) * 1e4 + 1.25 + 40 / (F.median("mid") * 550) * 1e4).alias("bps"))
+    p = _positions(spark, d).join(leg.select(F.col("symbol").alias("x"), F.col("bps").alias("bx")), "x").join(leg.select(F.col("symbol").alias("y"), F.col("bps").alias("by")), "y")
+    turn = (F.col("bx") + F.col("by")) / 1e4 / 2
+    net = F.coalesce(back("pos"), F.lit(0.0)) * F.coalesce(F.col("s") - back("s"), F.lit(0.0)) - F.coalesce(F.abs(F.col("pos") - back("pos")), F.lit(0.0)) * turn
+    return p.withColumn("net", net).groupBy("x", "y", F.to_date("hour").alias("day")).agg(F.sum("net").alias("net"))
 
 
-@query()
+@query(_FADE + f" SELECT x, y, day, {rounded('net', digits=5)} FROM fd")
+def e13_pair_strategy(spark, d):
+    """Daily result of fading the spread."""
+    return shown(_fade_days(spark, d), ("x", "y", "day"), "net", digits=5)
+
+
+@query(
+    _FADE
+    + ", pd AS (SELECT x || '/' || y AS pair, day, net AS pnl FROM fd), gp AS (SELECT pair FROM pd GROUP BY pair HAVING count(*) >= 3 AND stddev_samp(pnl) > 0), gd AS (SELECT * FROM pd WHERE pair IN (SELECT pair FROM gp))"
+    + deflated_sql("gd", "pair", "pnl", True, True)
+    + N.overfit("gd", "pair", "day", "pnl")
+    + f" SELECT arm AS pair, n AS days, {rounded('sharpe', 'psr', 'dsr', '(SELECT pbo FROM pb) AS pbo', digits=4)} FROM df"
+)
 def u21_pair_gauntlet(spark, d):
-    """Sharpe, PSR and deflated Sharpe of each pair's daily results."""
+    """Sharpe, PSR, deflated Sharpe of each pair's daily results, and the pairs' probability of overfitting.
+
+    Pairs with fewer than three days or without variance are left out.
+    """
     from tidebook.operators import evaluation as E
 
-    daily = e13_pair_strategy(spark, d).select(F.concat_ws("/", "x", "y").alias("pair"), F.col("net").alias("pnl"))
-    return shown(E.deflated(daily, "pair"), ("pair", "n", "n_days"), "sharpe", "psr", "dsr", digits=4)
+    daily = _fade_days(spark, d).select(F.concat_ws("/", "x", "y").alias("pair"), "day", F.col("net").alias("pnl"))
+    good = daily.groupBy("pair").agg(F.count("*").alias("_n"), F.stddev_samp("pnl").alias("_sd")).filter("_n >= 3 AND _sd > 0").select("pair")
+    daily = daily.join(good, "pair", "left_semi")
+    out = E.deflated(daily, "pair", every_day=True, normal=True).crossJoin(F.broadcast(E.pbo(daily, "pair").select("pbo")))
+    return shown(out.withColumnRenamed("n", "days"), ("pair", "days"), "sharpe", "psr", "dsr", "pbo", digits=4)

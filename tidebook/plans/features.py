@@ -303,17 +303,20 @@ def p31_leg_cost(spark, d):
     return shown(q.groupBy("symbol").agg(cost.alias("leg_cost_bps")), ("symbol",), "leg_cost_bps", digits=4)
 
 
-@query(
-    V.with_views("book")
-    + f""", a AS (SELECT * FROM book WHERE symbol = 'S0'), b AS (SELECT ts AS ts_b, bid_qty AS bq, ask_qty AS aq FROM book WHERE symbol = 'S1'),
+_RESONANCE = f"""a AS (SELECT * FROM book WHERE symbol = 'S0'), b AS (SELECT ts AS ts_b, bid_qty AS bq, ask_qty AS aq FROM book WHERE symbol = 'S1'),
     p AS (SELECT a.*, b.bq, b.aq FROM a ASOF LEFT JOIN b ON a.ts >= b.ts_b),
-    r AS (SELECT seq, {", ".join(_over(20, f"{x}_qty[i] * {x[0]}q[i]") + f" / (sqrt({_over(20, f'{x}_qty[i] * {x}_qty[i]')}) * sqrt({_over(20, f'{x[0]}q[i] * {x[0]}q[i]')}) + 1e-9::DOUBLE) AS r{x[0]}" for x in ("bid", "ask"))} FROM p)
-    SELECT seq, {rounded("rb AS a7_bid_resonance", "ra AS a7_ask_resonance", "(rb + ra) / 2 AS a7_resonance")} FROM r"""
-)
-def p19_a7_resonance(spark, d):
+    r AS (SELECT date, ts, seq, {", ".join(_over(20, f"{x}_qty[i] * {x[0]}q[i]") + f" / (sqrt({_over(20, f'{x}_qty[i] * {x}_qty[i]')}) * sqrt({_over(20, f'{x[0]}q[i] * {x[0]}q[i]')}) + 1e-9::DOUBLE) AS r{x[0]}" for x in ("bid", "ask"))} FROM p)"""
+
+
+def resonances(spark, d):
     from tidebook.operators.joins import asof
 
     book = V.book(spark, d)
     left = book.filter("symbol = 'S0'").select("date", "ts", "seq", *[F.col(f"{s}_qty").alias(f"{s}_qty_a") for s in ("bid", "ask")])
     right = book.filter("symbol = 'S1'").select("date", "ts", "seq", *[F.col(f"{s}_qty").alias(f"{s}_qty_b") for s in ("bid", "ask")])
-    return shown(X.resonance(asof(left, right, keys=("date",))), ("seq",), "a7_bid_resonance", "a7_ask_resonance", "a7_resonance")
+    return X.resonance(asof(left, right, keys=("date",)))
+
+
+@query(V.with_views("book") + f", {_RESONANCE} SELECT seq, {rounded('rb AS a7_bid_resonance', 'ra AS a7_ask_resonance', '(rb + ra) / 2 AS a7_resonance')} FROM r")
+def p19_a7_resonance(spark, d):
+    return shown(resonances(spark, d), ("seq",), "a7_bid_resonance", "a7_ask_resonance", "a7_resonance")

@@ -262,10 +262,10 @@ def o4_top_groups(spark, d):
     return shown(t.orderBy(F.desc_nulls_last("net"), "arm", "underlying").limit(5), ("underlying", "arm"), "net", digits=2)
 
 
-@query(V.with_views("daily") + " SELECT day, arg_max(arm, (pnl, -ascii(arm))) AS best FROM daily GROUP BY day")
+@query(V.with_views("daily") + " SELECT day, arg_min(arm, (-pnl, arm)) AS best FROM daily GROUP BY day")
 def o5_best_arm(spark, d):
-    """The arm with the greatest result of each day; of equal ones the first."""
-    return V.daily(spark, d).groupBy("day").agg(F.max_by("arm", F.struct("pnl", -F.ascii("arm"))).alias("best"))
+    """The arm with the greatest result of each day; of equal ones the first by name."""
+    return V.daily(spark, d).groupBy("day").agg(F.min_by("arm", F.struct(-F.col("pnl"), "arm")).alias("best"))
 
 
 @query("SELECT 'c' AS kind, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer UNION ALL SELECT 's', count(*), sum(s_suppkey)::BIGINT FROM supplier")

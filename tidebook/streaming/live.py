@@ -83,14 +83,21 @@ def broker_stream(packets: DataFrame, p: S.Strategy, lots: dict[str, int] | None
     return packets.groupBy("arm").applyInPandasWithState(run, "arm string, date string, " + S.BROKER_TRADES, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def telemetry(batch: DataFrame, path: str, now: float | None = None) -> None:
-    """For foreachBatch: totals of each arm as one small snapshot, a row an arm."""
+def telemetry(batch: DataFrame, path: str, now: float | None = None, batch_id: int | None = None) -> None:
+    """For foreachBatch: totals of each arm as one small snapshot, a row an arm.
+
+    foreachBatch may repeat a batch: one whose batch_id the snapshot has already is not added again.
+    """
+    held = read_snapshot(path) or {}
+    if batch_id is not None and held.get("batch_id", -1) >= batch_id:
+        return
     totals = batch.groupBy("arm").agg(F.count("*").alias("trades"), F.round(F.sum("net_pnl"), 2).alias("net")).collect()
-    before = (read_snapshot(path) or {}).get("arms", {})
+    before = held.get("arms", {})
     for r in totals:
         old = before.get(r["arm"], {"trades": 0, "net": 0.0})
         before[r["arm"]] = {"trades": old["trades"] + r["trades"], "net": round(old["net"] + r["net"], 2)}
-    write_snapshot({"generated_at": now if now is not None else time.time(), "arms": before}, path)
+    marked = {"batch_id": batch_id} if batch_id is not None else {}
+    write_snapshot({"generated_at": now if now is not None else time.time(), **marked, "arms": before}, path)
 
 
 def is_live(path: str, within_s: float = 15.0, now: float | None = None) -> bool:
