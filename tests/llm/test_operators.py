@@ -66,6 +66,40 @@ def test_patience_keeps_order():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def test_increasing_is_longest():
+    rng = random.Random(5)
+    for _ in range(300):
+        pairs = list(enumerate(rng.sample(range(12), rng.randrange(12))))
+        best = [1] * len(pairs)
+        for i, (_, y) in enumerate(pairs):
+            best[i] = 1 + max((best[j] for j in range(i) if pairs[j][1] < y), default=0)
+        got = licenses.increasing(pairs)
+        assert len(got) == max(best, default=0) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:]))
+
+
+def subsequence(a, b):
+    """Length of the longest common subsequence."""
+    row_ = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row_[j] = row_[j], last + 1 if x == y else max(row_[j], row_[j - 1])
+    return row_[-1]
+
+
+@pytest.mark.parametrize("k", range(0, len(TEMPLATES), 3))
+def test_coverage_against_exhaustive_alignment(k):
+    license_, text = TEMPLATES[k]
+    t, rng = licenses.Template(license_, text), random.Random(k)
+    for _ in range(5):
+        words = [w for w in text.split() if rng.random() > 0.06 or len(t.words) <= 25]
+        said = prose(k, 30) + " " + " ".join(words) + " " + prose(k + 1, 30)
+        most = subsequence(licenses.WORD.findall(" ".join(words).lower()), t.words)
+        found = [f for f in licenses.scan(said, [t])]
+        # Patience can't align more than the longest common subsequence, and of a changed copy hardly less.
+        assert len(found) == 1 and 0.97 * most <= found[0][5] <= most
+
+
 def test_licenses_on_hard_rows(hard, none, spark):
     assert licenses.scan_licenses(hard).count() == 0 and licenses.scan_licenses(none).count() == 0
     df = spark.createDataFrame([row(None, "Released under the MIT License."), row(1, "Released under the MIT License.")], SCHEMA)

@@ -1,8 +1,9 @@
 """License scans by patience alignment.
 
-A text is read near its seed words. There it is aligned with each template, from each place that the
-seed word has in the template to both sides: words that occur once in both are anchors, the longest increasing subsequence of them is kept, and the gaps between
-are aligned in the same way. The share of a template's words that are aligned is its coverage.
+A text is read near its seed words. There it is aligned with each template, from each place that
+the seed word has in the template to both sides: words that occur once in both are anchors, the
+longest increasing subsequence of them is kept, and the gaps between are aligned in the same way.
+The share of a template's words that are aligned is its coverage.
 """
 
 from __future__ import annotations
@@ -204,9 +205,13 @@ def scan(text: str, templates: list[Template]) -> list[tuple[str, float, int, in
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per place of a document that a license template covers.
 
-    start and end are code points, end exclusive. Case and punctuation don't count. Null and empty
-    texts and texts without a license give no row; repeated rows give rows each, a null id stays
-    null, other columns are not read, an empty table gives no rows. Narrow: no shuffle.
+    start and end are code points, end exclusive. Case and punctuation don't count. Every copy of a
+    notice gives a row; places of one text don't overlap. Of templates that match at one place the one
+    with the most matched words times coverage is told, of equal ones the first listed, then the
+    shortest place. Null and empty texts and texts without a license give no row; repeated rows give
+    rows each, a null id stays null, other columns are not read, an empty table gives no rows. A text
+    is scanned by one task: its words are read once, and each seed word ("license", ...) costs about
+    three template lengths of words for each template that has it. Narrow: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
