@@ -736,6 +736,48 @@ def test_best_fit_is_best_fit():
     assert load.max() <= 100 and len(load) <= math.ceil(sizes.sum() / 100) * 11 / 9 + 1
 
 
+# SQL of the base columns
+
+
+@pytest.fixture(scope="module")
+def duck(small):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{small}/documents.parquet'")
+    return c
+
+
+WORDS_SQL = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def test_quality_base_columns_equal_sql(spark, small, duck):
+    want = duck.sql(f"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS_SQL} AS w FROM documents),
+        g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])) AS g, generate_subscripts(range(1, len(w) - 1), 1) AS i FROM w WHERE len(w) > 2),
+        r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+        m AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE n > 1) GROUP BY doc_id),
+        l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w), d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id)
+        SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+            coalesce(d.n, 0) AS n_dup_lines, coalesce(m.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(m.n, 0) > 50 * len(w) AS base_failed
+        FROM w LEFT JOIN d USING (doc_id) LEFT JOIN m USING (doc_id)""").fetchall()
+    got = quality.quality_rules(spark.read.parquet(f"{small}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_language_model_base_columns_equal_sql(spark, small, duck):
+    held = {r[0]: zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in duck.sql("SELECT doc_id FROM documents").fetchall()}
+    duck.sql(f"CREATE OR REPLACE TABLE held AS SELECT * FROM (VALUES {', '.join(f'({k}, {str(v).lower()})' for k, v in held.items())}) x(doc_id, held_out)")
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    want = duck.sql(f"""
+        WITH t AS (SELECT doc_id, held_out, unnest(regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') || ['\n']) AS w FROM documents JOIN held USING (doc_id)),
+        c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base FROM t LEFT JOIN c USING (w), n GROUP BY ALL""").fetchall()
+    got = kneser_ney.lm_scores(spark.read.parquet(f"{small}/documents.parquet")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(w[:5] for w in want)
+    assert [r[5] for r in sorted(map(tuple, got))] == pytest.approx([w[5] for w in sorted(want)])
+
+
 # Registry
 
 

@@ -36,7 +36,7 @@ VALUES = ROWS * BANDS
 #: Values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
 #: Members of a block, and their bytes: a tile compares the members of two blocks.
-TILE, TILE_BYTES = 1024, 16 << 20
+TILE, TILE_BYTES = 512, 6 << 20
 _PAIRS_AT_ONCE = 100_000
 
 _RNG = np.random.default_rng(20)
@@ -377,7 +377,9 @@ def jaccard_join(docs: DataFrame, **settings) -> DataFrame:
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """docs(doc_id, text, ...) with one document of each component: that of the smallest id.
 
-    Texts without a word stay. Of rows repeated with id and text one stays.
+    Null, empty and blank texts stay. Of rows repeated with id and text one stays; a null id stays only
+    if its component has no other. Columns of any other name pass through; an empty table gives an
+    empty one.
     """
     members, classes = linked_classes(docs, **settings)
     first = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "h")

@@ -18,42 +18,52 @@ def tokenizer_file(name: str) -> str:
 
 
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, symbol and repetition counts of every document and whether it is kept."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece of every document with its sequence and place."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op1_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per place in a document that a license template covers."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the folds that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op4_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base counts, a digest, and all spans."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and benchmark item that it holds."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from its archive."""
     return warc.read_records(spark, warc.write_archives(table(spark, sf_dir, "pages")))
 
 
 def op3_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates and number of links."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts, a digest, and all spans."""
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores under the model of the training documents."""
     return kneser_ney.lm_scores(table(spark, sf_dir, "documents"))
 
 
