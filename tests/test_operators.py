@@ -357,6 +357,11 @@ def test_recordings_prefer_compacted_files(spark, tmp_path):
     with pytest.raises(Exception, match="several contracts"):
         depth.one_contract(depth.recordings(spark, str(tmp_path))).count()
     assert depth.recordings(spark, str(tmp_path), dates=["2026-06-01"]).count() == 2
+    # A damaged file is an error, or with `tolerant` as if it weren't there.
+    (tmp_path / "trading_date=2026-06-02" / "symbol=ABC-Jun2026-FUT" / "compacted-0.parquet").write_bytes(b"PAR1 this is no parquet file PAR1")
+    with pytest.raises(Exception):  # noqa: B017
+        depth.recordings(spark, str(tmp_path), dates=["2026-06-02"]).collect()
+    assert sorted(r["bid_price_01"] for r in depth.recordings(spark, str(tmp_path), dates=["2026-06-02"], tolerant=True).collect()) == [3.0, 4.0, 5.0]
 
 
 def test_history_in_ranges(spark):

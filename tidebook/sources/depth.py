@@ -9,13 +9,17 @@ OPEN, SHUT = "09:20", "15:25"
 LEVELS = 20
 
 
-def recordings(spark: SparkSession, root: str, symbols: list[str] | None = None, dates: list[str] | None = None) -> DataFrame:
+def recordings(spark: SparkSession, root: str, symbols: list[str] | None = None, dates: list[str] | None = None, tolerant: bool = False) -> DataFrame:
     """Rows of root/trading_date=D/symbol=S/*.parquet with `underlying` taken from the symbol.
 
     Dates and symbols are partition filters. Where a symbol's day has compacted files only those
-    are read, else all of its files.
+    are read, else all of its files. With `tolerant`, files that are damaged or vanish are left out
+    (`sessions` then tells which are too short); else they are an error.
     """
-    df = spark.read.option("basePath", root).option("mergeSchema", "false").parquet(root)
+    reader = spark.read.option("basePath", root).option("mergeSchema", "false")
+    if tolerant:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    df = reader.parquet(root)
     df = df.withColumn("underlying", F.split("symbol", "-")[0])
     if dates:
         df = df.filter(F.col("trading_date").cast("string").isin(dates))
@@ -24,7 +28,8 @@ def recordings(spark: SparkSession, root: str, symbols: list[str] | None = None,
     df = df.withColumn("_file", F.col("_metadata.file_name"))
     files = df.select("trading_date", "symbol", "_file").distinct().withColumn("_compacted", F.col("_file").startswith("compacted"))
     best = files.withColumn("_any", F.max("_compacted").over(Window.partitionBy("trading_date", "symbol"))).filter(F.col("_compacted") == F.col("_any"))
-    return df.join(F.broadcast(best.select("trading_date", "symbol", "_file")), ["trading_date", "symbol", "_file"], "left_semi").drop("_file")
+    # A row a file: as many as the archive has, so the join is left to what they turn out to be.
+    return df.join(best.select("trading_date", "symbol", "_file"), ["trading_date", "symbol", "_file"], "left_semi").drop("_file")
 
 
 def one_contract(df: DataFrame) -> DataFrame:
