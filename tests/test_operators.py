@@ -406,6 +406,41 @@ def test_broker_stream_equals_batch(spark, small):
     assert len(stream) > 20
 
 
+def _feed(spark, folder, rows):
+    """A file of packets as the next batch of a stream."""
+    frame = pd.DataFrame(rows, columns=["arm", "symbol", "ts", "seq", "bid", "bid_qty", "ask", "ask_qty"])
+    spark.createDataFrame(frame).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_broker_stream_closes_by_the_clock(spark, tmp_path):
+    """An arm without further packets is closed when the feed of another passes the closing minute."""
+    p = S.Strategy(entry_threshold=0.05, max_hold=500, min_hold=400, order_timeout=50, edge_margin=0.0, queue_fill=0.0, stop_ticks=0.0)
+    day = datetime(2026, 6, 1, 10, 0)
+    quotes = [(100.0, 100.0, 100.4, 100.0), (100.0, 900.0, 100.4, 100.0), (99.8, 900.0, 100.2, 100.0), (100.6, 100.0, 101.0, 100.0)]
+    held = [("a", "x", day + timedelta(seconds=k), k, *q) for k, q in enumerate(quotes)]
+    folder, out, check = (str(tmp_path / n) for n in ("in", "live.json", "check"))
+    _feed(spark, folder, held)
+
+    def run():
+        stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        live.publish(live.broker_stream(stream, p, close=15 * 60 + 30, positions=True), out, check, None).awaitTermination()
+        return logs.read_snapshot(out)["arms"]
+
+    arm = run()["a"]
+    want = {r["symbol"]: r for r in S.broker_positions(spark.read.parquet(folder).withColumn("date", F.to_date("ts")), p).collect()}["x"]
+    told = arm["positions"]["x"]
+    assert (told["direction"], told["entry_price"], told["unrealized"]) == (1, 100.0, round(0.8 * 550, 2))
+    assert all(told[c] == want[c] for c in S.names_of(S.POSITIONS) if c != "symbol") and want["seq"] == 3
+    assert arm["open_positions"] == 1 and arm["trades"] == 0 and arm["unrealized"] == 440.0 and not arm["halted"]
+    # Another arm's packets pass 15:30; the first arm gets none, and the packet itself comes after the close.
+    _feed(spark, folder, [("b", "x", day.replace(hour=15, minute=31), 4, *quotes[0])])
+    arms = run()
+    assert arms["a"]["trades"] == 1 and arms["a"]["open_positions"] == 0 and arms["a"]["unrealized"] == 0.0
+    assert arms["a"]["net"] == arms["a"]["positions"]["x"]["realized"] == arms["a"]["day_net"]
+    assert "b" not in arms
+    assert run() == arms  # nothing new: nothing counts twice
+
+
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "live.json")
     assert logs.read_snapshot(path) is None and not live.is_live(path)

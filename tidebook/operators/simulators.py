@@ -207,14 +207,14 @@ class Strategy:
 
 def fresh_state(p: Strategy) -> dict:
     """A symbol's state at the begin of a session. Orders are [side, price, packet, queue, consumed]."""
-    return {"i": 0, "side": 0, "entry": None, "exit": None, "prev": 0.0, "last_exit": -(p.order_timeout + 1), "bid_qty": None, "ask_qty": None, "mid": 0.0, "at": 0, "price": 0.0, "posts": 0, "fills": 0, "cancels": 0}
+    return {"i": 0, "side": 0, "entry": None, "exit": None, "prev": 0.0, "last_exit": -(p.order_timeout + 1), "bid_qty": None, "ask_qty": None, "mid": 0.0, "at": 0, "price": 0.0, "posts": 0, "fills": 0, "cancels": 0, "trades": 0, "realized": 0.0}
 
 
 def _close(s: dict, p: Strategy, lot: int, price: float, method: str, packet: int) -> dict:
     qty = lot * p.lots
     gross, fee = s["side"] * (price - s["price"]) * qty, round(charges(s["price"], price, qty, s["side"]), 2)
     trade = {"direction": s["side"], "entry_price": s["price"], "exit_price": round(price, 4), "exit_method": method, "hold_packets": packet - s["at"], "gross_pnl": round(gross, 2), "fee": fee, "net_pnl": round(gross - fee, 2)}
-    s.update(side=0, exit=None, last_exit=packet)
+    s.update(side=0, exit=None, last_exit=packet, trades=s["trades"] + 1, realized=round(s["realized"] + trade["net_pnl"], 2))
     return trade
 
 
@@ -297,6 +297,75 @@ class DayRisk:
 
 
 BROKER_TRADES = "symbol string, exit_seq long, direction int, entry_price double, exit_price double, exit_method string, hold_packets int, gross_pnl double, fee double, net_pnl double"
+#: What an arm has in a symbol after a packet; the time of that packet comes beside it.
+POSITIONS = "symbol string, direction int, entry_price double, last_mid double, qty long, unrealized double, pending_entry int, pending_exit boolean, posts int, fills int, cancels int, trades int, realized double, day_net double, halted boolean"
+
+
+def names_of(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+class ArmDay:
+    """An arm's day: the states of its symbols, which share the day's risk. Packets come in time order."""
+
+    def __init__(self, p: Strategy, lots: dict[str, int] | None = None, limit: float = 0.0, held: dict | None = None):
+        held = held or {}
+        self.p, self.lots = p, lots or {}
+        self.risk = DayRisk(limit, held.get("net", 0.0), held.get("halted", False))
+        self.states, self.last = held.get("symbols", {}), held.get("last", {})
+
+    def _told(self, symbol: str, trade: dict | None) -> list[dict]:
+        if not trade:
+            return []
+        self.risk.record(trade["net_pnl"])
+        return [{"symbol": symbol, "exit_seq": self.last[symbol][0], **trade}]
+
+    def packet(self, symbol: str, ts: pd.Timestamp, seq: int, minute: int, quote: tuple) -> list[dict]:
+        """The trade that the packet closes, if any, as a list."""
+        s = self.states.setdefault(symbol, fresh_state(self.p))
+        self.last[symbol] = (int(seq), ts.value // 1000)
+        return self._told(symbol, step(s, self.p, self.lots.get(symbol, 550), minute, *quote, self.risk.halted))
+
+    def close(self) -> list[dict]:
+        return [t for symbol, s in self.states.items() for t in self._told(symbol, force_close(s, self.p, self.lots.get(symbol, 550)))]
+
+    def positions(self, symbols: set[str] | None = None) -> list[dict]:
+        """A row for each symbol seen (of `symbols`): what is held and pending, its open result before charges at the last mid."""
+        out = []
+        for symbol, s in self.states.items():
+            if symbols is not None and symbol not in symbols:
+                continue
+            qty = self.lots.get(symbol, 550) * self.p.lots
+            open_ = s["side"] != 0
+            out.append({
+                "symbol": symbol, "direction": s["side"], "entry_price": round(s["price"], 4) if open_ else None, "last_mid": round(s["mid"], 4), "qty": qty,
+                "unrealized": round(s["side"] * (s["mid"] - s["price"]) * qty, 2) if open_ and s["mid"] > 0 else 0.0,
+                "pending_entry": s["entry"][0] if s["entry"] else 0, "pending_exit": s["exit"] is not None,
+                **{c: s[c] for c in ("posts", "fills", "cancels", "trades", "realized")}, "day_net": round(self.risk.net, 2), "halted": self.risk.halted,
+                "seq": self.last[symbol][0], "packet_at": pd.Timestamp(self.last[symbol][1], unit="us"),
+            })
+        return out
+
+    def kept(self) -> dict:
+        return {"net": self.risk.net, "halted": self.risk.halted, "symbols": self.states, "last": self.last}
+
+
+def _by_day(df: DataFrame, p: Strategy, lots: dict[str, int] | None, limit: float, keys: tuple[str, ...], offset_minutes: int, schema: str, tell) -> DataFrame:
+    """What tell(day, trades) gives as rows of the schema once all packets of a group are taken."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = names_of(schema)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        day, trades = ArmDay(p, lots, limit), []
+        rows = rows.sort_values(["ts", "seq"])
+        minutes = ((rows["ts"].dt.hour * 60 + rows["ts"].dt.minute + offset_minutes) % 1440).tolist()
+        for minute, symbol, ts, seq, *quote in zip(minutes, *(rows[c].tolist() for c in ("symbol", "ts", "seq", "bid", "bid_qty", "ask", "ask_qty"))):
+            trades += day.packet(symbol, ts, seq, minute, quote)
+        out = [(*key, *(r[c] for c in names)) for r in tell(day, trades)]
+        return pd.DataFrame(out, columns=[*keys, *names])
+
+    lean = df.select(*keys, "symbol", "ts", "seq", "bid", "bid_qty", "ask", "ask_qty")
+    return lean.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
 
 
 def broker(df: DataFrame, p: Strategy, lots: dict[str, int] | None = None, limit: float = 0.0, keys: tuple[str, ...] = ("arm", "date"), offset_minutes: int = 0) -> DataFrame:
@@ -305,29 +374,16 @@ def broker(df: DataFrame, p: Strategy, lots: dict[str, int] | None = None, limit
     The symbols of an arm's day share its risk, so that day is one group and its packets are taken
     in time order, then by seq. Days run side by side.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    names = [*keys, *(c.split()[0] for c in BROKER_TRADES.split(", "))]
+    return _by_day(df, p, lots, limit, keys, offset_minutes, BROKER_TRADES, lambda day, trades: trades + day.close())
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        risk, states, last, out = DayRisk(limit), {}, {}, []
 
-        def told(symbol: str, seq: int, trade: dict | None) -> None:
-            if trade:
-                risk.record(trade["net_pnl"])
-                out.append((*key, symbol, seq, *(trade[c] for c in names[len(keys) + 2 :])))
+def broker_positions(df: DataFrame, p: Strategy, lots: dict[str, int] | None = None, limit: float = 0.0, keys: tuple[str, ...] = ("arm", "date"), offset_minutes: int = 0) -> DataFrame:
+    """What broker() holds after the last packet of df in each group, before the day is closed: a row a symbol.
 
-        rows = rows.sort_values(["ts", "seq"])
-        minutes = ((rows["ts"].dt.hour * 60 + rows["ts"].dt.minute + offset_minutes) % 1440).tolist()
-        for minute, symbol, seq, *quote in zip(minutes, *(rows[c].tolist() for c in ("symbol", "seq", "bid", "bid_qty", "ask", "ask_qty"))):
-            s = states.setdefault(symbol, fresh_state(p))
-            told(symbol, seq, step(s, p, (lots or {}).get(symbol, 550), minute, *quote, risk.halted))
-            last[symbol] = seq
-        for symbol, s in states.items():
-            told(symbol, last[symbol], force_close(s, p, (lots or {}).get(symbol, 550)))
-        return pd.DataFrame(out, columns=names)
-
-    lean = df.select(*keys, "symbol", "ts", "seq", "bid", "bid_qty", "ask", "ask_qty")
-    return lean.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + BROKER_TRADES)
+    packet_at and seq are of the symbol's last packet. Take packets up to a time to see that time.
+    """
+    schema = POSITIONS + f", seq long, packet_at {df.schema['ts'].dataType.simpleString()}"
+    return _by_day(df, p, lots, limit, keys, offset_minutes, schema, lambda day, trades: day.positions())
 
 
 def haircut(df: DataFrame, p: Strategy, keys: tuple[str, ...] = ("symbol", "date"), share: float = 1.0) -> DataFrame:

@@ -80,6 +80,14 @@ def e4_day_risk(spark, d):
     return shown(t.groupBy("arm", "date").agg(F.count("*").alias("n"), F.sum("net_pnl").alias("net")), ("arm", "date", "n"), "net", digits=2)
 
 
+@query()
+def e12_live_positions(spark, d):
+    """What each arm holds at noon of each day: positions, their open result, what is pending."""
+    p = S.Strategy(entry_threshold=0.05, max_hold=20, min_hold=2, order_timeout=4, edge_margin=0.1, queue_fill=0.0, last_entry=1440)
+    rows = S.broker_positions(_arms(spark, d).filter(F.hour("ts") < 12), p, limit=-20_000.0)
+    return shown(rows, ("arm", "date", "symbol", "seq", "packet_at", "direction", "qty", "pending_entry", "pending_exit", "posts", "fills", "cancels", "trades", "halted"), "entry_price", "last_mid", "unrealized", "realized", "day_net", digits=4)
+
+
 @query()
 def e6_fill_haircut(spark, d):
     p = S.Strategy(entry_threshold=0.05, max_hold=20, min_hold=2, order_timeout=4, edge_margin=0.1, queue_fill=0.0, last_entry=1440, stop_ticks=0)

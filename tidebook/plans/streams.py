@@ -63,7 +63,7 @@ def _packets(ticks: DataFrame) -> DataFrame:
 
 @query()
 def t5_broker_stream(spark, d):
-    """The broker of e3 as keyed state; a day's close comes with the next day's first packet."""
+    """The broker of e3 as keyed state; a day closes at midnight, the last one while the stream has not passed it stays open."""
     p = S.Strategy(entry_threshold=0.05, max_hold=20, min_hold=2, order_timeout=4, edge_margin=0.1, queue_fill=0.0, last_entry=1440)
     arms = spark.createDataFrame(ARMS, "arm string, symbol string")
     trades = _ran(spark, live.broker_stream(live.fan_out(_packets(_stream(spark, d)), arms), p), "broker")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebook.operators import simulators as S
@@ -48,56 +49,111 @@ def pair_stream(messages: DataFrame, key: str = "symbol") -> DataFrame:
     return messages.groupBy(key).applyInPandasWithState(run, f"{key} string, bid_seq long, ask_seq long", "bid long, ask long", "append", GroupStateTimeout.NoTimeout)
 
 
-def broker_stream(packets: DataFrame, p: S.Strategy, lots: dict[str, int] | None = None, limit: float = 0.0) -> DataFrame:
+def broker_stream(packets: DataFrame, p: S.Strategy, lots: dict[str, int] | None = None, limit: float = 0.0, close: int = 24 * 60, late: str = "0 seconds", positions: bool = False) -> DataFrame:
     """Trades of each arm. State of an arm is its symbols' states and its day's risk, as JSON.
 
-    packets: arm, symbol, ts, seq, bid, bid_qty, ask, ask_qty. The first packet of a new day
-    closes what the day before left open, and starts afresh. A batch's rows go by (ts, seq).
+    packets: arm, symbol, ts, seq, bid, bid_qty, ask, ask_qty. A day is closed at its minute
+    `close` (local to the session's time zone): by the first packet from then on, the arm's own
+    or, through the watermark, that of any arm. Packets from `close` to midnight are left out,
+    and so are those older than the watermark. A batch's rows go by (ts, seq).
+    With positions, a column kind tells trades from rows of what is held in the symbols that a batch touched.
     """
-    names = ["arm", "date", *(c.split()[0] for c in S.BROKER_TRADES.split(", "))]
+    zone = packets.sparkSession.conf.get("spark.sql.session.timeZone")
+    rest = S.POSITIONS + ", seq long, packet_at timestamp"
+    known = set(S.names_of(S.BROKER_TRADES))
+    schema = "arm string, date string, " + "kind string, " * positions + S.BROKER_TRADES
+    if positions:
+        schema += "".join(f", {c}" for c in rest.split(", ") if c.split()[0] not in known)
+    names = S.names_of(schema)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"day": None, "net": 0.0, "halted": False, "symbols": {}, "last": {}}
-        risk = S.DayRisk(limit, held["net"], held["halted"])
-        out: list[tuple] = []
-
-        def told(symbol: str, seq: int, trade: dict | None) -> None:
-            if trade:
-                risk.record(trade["net_pnl"])
-                out.append((k[0], held["day"], symbol, seq, *(trade[c] for c in names[4:])))
-
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        for ts, symbol, seq, *quote in rows[["ts", "symbol", "seq", "bid", "bid_qty", "ask", "ask_qty"]].itertuples(index=False):
-            day = ts.strftime("%Y-%m-%d")
-            if day != held["day"]:
-                for s, x in held["symbols"].items():
-                    told(s, held["last"][s], S.force_close(x, p, (lots or {}).get(s, 550)))
-                held = {"day": day, "symbols": {}, "last": {}}
-                risk = S.DayRisk(limit)
-            x = held["symbols"].setdefault(symbol, S.fresh_state(p))
-            told(symbol, int(seq), S.step(x, p, (lots or {}).get(symbol, 550), ts.hour * 60 + ts.minute, *map(float, quote), risk.halted))
-            held["last"][symbol] = int(seq)
-        state.update((json.dumps(held | {"net": risk.net, "halted": risk.halted}),))
-        yield pd.DataFrame(out, columns=names)
-
-    return packets.groupBy("arm").applyInPandasWithState(run, "arm string, date string, " + S.BROKER_TRADES, "state string", "append", GroupStateTimeout.NoTimeout)
+        held = json.loads(state.get[0]) if state.exists else {"day": None, "open": False}
+        day, out, touched = S.ArmDay(p, lots, limit, held), [], set()
+
+        def tell(kind: str, rows: list[dict]) -> None:
+            out.extend({"arm": k[0], "date": held["day"], "kind": kind, **r} for r in rows)
+
+        def shut() -> None:
+            if held["open"]:
+                held["open"] = False
+                touched.update(day.states)
+                tell("trade", day.close())
+
+        if state.hasTimedOut:
+            shut()
+        else:
+            rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+            for ts, symbol, seq, *quote in rows[["ts", "symbol", "seq", "bid", "bid_qty", "ask", "ask_qty"]].itertuples(index=False):
+                today, minute = ts.strftime("%Y-%m-%d"), ts.hour * 60 + ts.minute
+                if today != held["day"]:
+                    shut()
+                    tell("position", day.positions(touched))
+                    held.update(day=today, open=True)
+                    day = S.ArmDay(p, lots, limit)
+                    touched.clear()
+                if minute >= close:
+                    shut()
+                if held["open"]:
+                    touched.add(symbol)
+                    tell("trade", day.packet(symbol, ts, seq, minute, tuple(map(float, quote))))
+        tell("position", day.positions(touched))
+        state.update((json.dumps({**held, **day.kept()}),))
+        if held["open"]:
+            ends = (pd.Timestamp(held["day"]) + pd.Timedelta(minutes=close)).tz_localize(zone, ambiguous=False, nonexistent="shift_forward")
+            state.setTimeoutTimestamp(max(ends.value // 1_000_000, state.getCurrentWatermarkMs() + 1))
+        told = [tuple(r.get(c) for c in names) for r in out if positions or r["kind"] == "trade"]
+        yield pd.DataFrame(told, columns=names, dtype=object)
+
+    rows = packets.withWatermark("ts", late).groupBy("arm")
+    return rows.applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def telemetry(batch: DataFrame, path: str, now: float | None = None, batch_id: int | None = None) -> None:
     """For foreachBatch: totals of each arm as one small snapshot, a row an arm.
 
+    Of a batch with a column kind (broker_stream with positions) trades count, and the last position of
+    each arm and symbol is told, with the open result, the arm's risk and the age of its last packet.
     foreachBatch may repeat a batch: one whose batch_id the snapshot has already is not added again.
     """
     held = read_snapshot(path) or {}
     if batch_id is not None and held.get("batch_id", -1) >= batch_id:
         return
-    totals = batch.groupBy("arm").agg(F.count("*").alias("trades"), F.round(F.sum("net_pnl"), 2).alias("net")).collect()
-    before = held.get("arms", {})
+    now = now if now is not None else time.time()
+    kinds = "kind" in batch.columns
+    trades = batch.filter("kind = 'trade'") if kinds else batch
+    totals = trades.groupBy("arm").agg(F.count("*").alias("trades"), F.round(F.sum("net_pnl"), 2).alias("net")).collect()
+    arms = held.get("arms", {})
     for r in totals:
-        old = before.get(r["arm"], {"trades": 0, "net": 0.0})
-        before[r["arm"]] = {"trades": old["trades"] + r["trades"], "net": round(old["net"] + r["net"], 2)}
+        old = arms.setdefault(r["arm"], {"trades": 0, "net": 0.0})
+        old.update(trades=old["trades"] + r["trades"], net=round(old["net"] + r["net"], 2))
+    if kinds:
+        told = [c for c in S.names_of(S.POSITIONS) if c != "symbol"]
+        last = F.struct(*told, (F.unix_micros("packet_at") / 1e6).alias("packet_at"))
+        rows = batch.filter("kind = 'position'").groupBy("arm", "symbol").agg(F.max_by(last, F.struct("packet_at", "seq", F.expr("direction = 0"))).alias("last")).collect()
+        for r in rows:
+            arms.setdefault(r["arm"], {"trades": 0, "net": 0.0}).setdefault("positions", {})[r["symbol"]] = r["last"].asDict()
+        for arm in (a for a in arms.values() if "positions" in a):
+            each = arm["positions"].values()
+            newest = max(each, key=lambda x: x["packet_at"])
+            arm.update(open_positions=sum(x["direction"] != 0 for x in each), unrealized=round(sum(x["unrealized"] for x in each), 2))
+            arm.update(day_net=newest["day_net"], halted=newest["halted"], packet_age=round(now - newest["packet_at"], 2))
     marked = {"batch_id": batch_id} if batch_id is not None else {}
-    write_snapshot({"generated_at": now if now is not None else time.time(), **marked, "arms": before}, path)
+    write_snapshot({"generated_at": now, **marked, "arms": arms}, path)
+
+
+def publish(rows: DataFrame, path: str, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
+    """Keep the snapshot at path up to date with a stream, a batch each second; None takes what there is now and ends."""
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+
+    def tell(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # trades and positions are read from one run of the batch
+        try:
+            telemetry(batch, path, batch_id=batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = writer.foreachBatch(tell)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def is_live(path: str, within_s: float = 15.0, now: float | None = None) -> bool:
