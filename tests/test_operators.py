@@ -406,6 +406,19 @@ def test_broker_stream_equals_batch(spark, small):
     assert len(stream) > 20
 
 
+def test_percentiles(spark):
+    rng = random.Random(4)
+    sets = {"skewed": [rng.lognormvariate(0, 6) for _ in range(3000)], "ties": [float(rng.randint(-2, 2)) for _ in range(500)], "equal": [7.0] * 9, "one": [-3.5], "pair": [1.0, 2.0]}
+    rows = [(k, v) for k, x in sets.items() for v in x] + [("one", None), ("none", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    got = {r["k"]: r for r in E.percentiles(df, ("k",), "x", {"a": 0.5, "b": 0.95, "low": 0.0, "high": 1.0}).collect()}
+    assert set(got) == set(sets)
+    for k, x in sets.items():
+        for name, q in (("a", 50), ("b", 95), ("low", 0), ("high", 100)):
+            assert got[k][name] == pytest.approx(np.percentile(x, q), rel=1e-12)
+    assert E.percentiles(df.limit(0), ("k",), "x", {"a": 0.5}).collect() == []
+
+
 def _feed(spark, folder, rows):
     """A file of packets as the next batch of a stream."""
     frame = pd.DataFrame(rows, columns=["arm", "symbol", "ts", "seq", "bid", "bid_qty", "ask", "ask_qty"])

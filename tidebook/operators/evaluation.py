@@ -11,6 +11,38 @@ from pyspark.sql import functions as F
 from tidebook.functions.columns import EPS, correlation, drawn, mean_rank, normal_cdf, normal_ppf
 
 
+def percentiles(df: DataFrame, keys: tuple[str, ...], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and an exact interpolated percentile of value for each named share (0 to 1).
+
+    No task holds a key's values at once: values are counted, each falls into one of some 2,600 bins
+    of a key, finer towards its least value, and only bins that hold a wanted rank are sorted.
+    Nulls in value don't count; keys that are null or without a value give no row.
+    """
+    counted = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    ends = counted.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
+    places = {name: q * (F.col("total") - 1) for name, q in shares.items()}
+    ranks = F.array_distinct(F.array(*[f(h).cast("long") for h in places.values() for f in (F.floor, F.ceil)]))
+    place = F.when(F.col("high") > F.col("low"), F.floor(64 * F.log2(1 + (F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * float(1 << 40)))).otherwise(0)
+    binned = counted.join(ends.select(*keys, "low", "high"), list(keys)).select(*keys, "v", "n", place.alias("bin"))
+
+    def before(*by: str):
+        w = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return lambda c, order: F.sum(c).over(w.orderBy(order)) - F.col(c)
+
+    within = lambda first, n: F.filter("ranks", lambda r: (r >= F.col(first)) & (r < F.col(first) + F.col(n)))
+    bins = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("rows")).withColumn("first", before(*keys)("rows", "bin"))
+    bins = bins.join(ends.select(*keys, ranks.alias("ranks")), list(keys)).withColumn("ranks", within("first", "rows")).filter("size(ranks) > 0")
+    hit = binned.join(bins.select(*keys, "bin", "first", "ranks"), [*keys, "bin"]).withColumn("at", F.col("first") + before(*keys, "bin")("n", "v"))
+    found = hit.select(*keys, "v", F.explode(within("at", "n")).alias("rank"))
+    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("by_rank")).join(ends.select(*keys, "total"), list(keys))
+
+    def point(h):
+        low, high = (F.element_at("by_rank", f(h).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (h - F.floor(h))
+
+    return found.select(*keys, *[point(h).alias(name) for name, h in places.items()])
+
+
 def signal_ic(df: DataFrame, signals: tuple[str, ...], horizons: tuple[int, ...], keys: tuple[str, ...] = ("symbol", "date"), least: int = 50) -> DataFrame:
     """Spearman correlation of each signal with each forward return fwd_<h>, by keys.
 

@@ -238,8 +238,9 @@ def g22_quality_counts(spark, d):
 def g23_gap_statistics(spark, d):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     g = V.ticks(spark, d).select("symbol", (us - F.lag(us).over(C.session())).alias("us"))
-    p = lambda q: F.percentile("us", F.lit(q)) / 1e3
-    out = g.groupBy("symbol").agg(F.count("us").alias("n"), F.count_if(F.col("us") > 5_000_000).alias("over_5s"), (F.avg("us") / 1e3).alias("mean_ms"), p(0.5).alias("median_ms"), p(0.95).alias("p95_ms"), p(0.99).alias("p99_ms"), (F.max("us") / 1e3).alias("max_ms"))
+    p = E.percentiles(g, ("symbol",), "us", {"median": 0.5, "p95": 0.95, "p99": 0.99})
+    out = g.groupBy("symbol").agg(F.count("us").alias("n"), F.count_if(F.col("us") > 5_000_000).alias("over_5s"), (F.avg("us") / 1e3).alias("mean_ms"), (F.max("us") / 1e3).alias("max_ms"))
+    out = out.join(p, "symbol", "left").withColumns({f"{c}_ms": F.col(c) / 1e3 for c in ("median", "p95", "p99")})
     return shown(out, ("symbol", "n", "over_5s"), "mean_ms", "median_ms", "p95_ms", "p99_ms", "max_ms", digits=2)
 
 

@@ -12,7 +12,7 @@ from tidebook.operators import regime as G
 from tidebook.sources import views as V
 
 from .analytics import deflated_sql
-from .features import _A5, _A6, _BEFORE, _OFI, _RAW, _RESONANCE, _SUMS_W, KEYS, W, _z, resonances
+from .features import _A5, _A6, _BEFORE, _OFI, _RAW, _RESONANCE, _SUMS_W, KEYS, W, _z, leg_costs, resonances
 from . import normal as N
 from .registry import query, rounded, shown
 from .relations import mids
@@ -264,7 +264,7 @@ def _fade_days(spark, d):
     w = Window.partitionBy("x", "y").orderBy("hour")
     back = lambda c: F.lag(c).over(w)
     q = mids(spark, d)
-    leg = q.groupBy("symbol").agg((F.median(F.col("spread") / F.col("mid")) * 1e4 + 1.25 + 40 / (F.median("mid") * 550) * 1e4).alias("bps"))
+    leg = leg_costs(q)
     p = _positions(spark, d).join(leg.select(F.col("symbol").alias("x"), F.col("bps").alias("bx")), "x").join(leg.select(F.col("symbol").alias("y"), F.col("bps").alias("by")), "y")
     turn = (F.col("bx") + F.col("by")) / 1e4 / 2
     net = F.coalesce(back("pos"), F.lit(0.0)) * F.coalesce(F.col("s") - back("s"), F.lit(0.0)) - F.coalesce(F.abs(F.col("pos") - back("pos")), F.lit(0.0)) * turn

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebook.functions import columns as C
+from tidebook.operators import evaluation as E
 from tidebook.operators import features as X
 from tidebook.sources import views as V
 
@@ -292,6 +293,13 @@ def p30_edge_gate(spark, d):
     return shown(q.withColumns({"edge_ok": half >= even, "edge_ratio": half / even}), (*KEYS, "edge_ok"), "edge_ratio", digits=4)
 
 
+def leg_costs(q):
+    """symbol, bps: cost of one leg of a pair by its median spread and mid (q: symbol, spread, mid)."""
+    spread = E.percentiles(q.select("symbol", (F.col("spread") / F.col("mid")).alias("share")), ("symbol",), "share", {"spread": 0.5})
+    mid = E.percentiles(q, ("symbol",), "mid", {"mid": 0.5})
+    return spread.join(mid, "symbol").select("symbol", (F.col("spread") * 1e4 + 1.25 + 40 / (F.col("mid") * 550) * 1e4).alias("bps"))
+
+
 @query(
     V.with_views("clean")
     + f" SELECT symbol, {rounded('median((ask - bid) / ((bid + ask) / 2)) * 1e4 + 0.000125::DOUBLE * 1e4 + 40 / (median((bid + ask) / 2) * 550) * 1e4 AS leg_cost_bps', digits=4)} FROM clean GROUP BY symbol"
@@ -299,8 +307,7 @@ def p30_edge_gate(spark, d):
 def p31_leg_cost(spark, d):
     """Cost of one leg of a pair in basis points: spread, transaction tax, brokerage."""
     q = X.quote_columns(_quotes(spark, d))
-    cost = F.median(F.col("spread") / F.col("mid")) * 1e4 + 1.25 + 40 / (F.median("mid") * 550) * 1e4
-    return shown(q.groupBy("symbol").agg(cost.alias("leg_cost_bps")), ("symbol",), "leg_cost_bps", digits=4)
+    return shown(leg_costs(q).withColumnRenamed("bps", "leg_cost_bps"), ("symbol",), "leg_cost_bps", digits=4)
 
 
 _RESONANCE = f"""a AS (SELECT * FROM book WHERE symbol = 'S0'), b AS (SELECT ts AS ts_b, bid_qty AS bq, ask_qty AS aq FROM book WHERE symbol = 'S1'),

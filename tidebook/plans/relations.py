@@ -247,8 +247,12 @@ def w12_mean_rank(spark, d):
     SELECT symbol, seq FROM r WHERE n <= 240 OR i = n - 1 OR i = floor(floor(i * 240 / n + 0.999999) * n / 240)""".replace("floor(i * 240 / n + 0.999999)", "ceil(i * 240 / n)"))
 def w14_even_thinning(spark, d):
     """At most 240 evenly spaced rows of each symbol, and its last one."""
+    t = V.ticks(spark, d)
+    days = t.groupBy("symbol", "date").agg(F.count("*").alias("rows"))
     w = Window.partitionBy("symbol")
-    r = V.ticks(spark, d).withColumns({"i": F.row_number().over(w.orderBy("ts", "seq")) - 1, "n": F.count("*").over(w)})
+    # Rows are numbered within their day; what lies before follows from the days' counts.
+    days = days.select("symbol", "date", (F.sum("rows").over(w.orderBy("date")) - F.col("rows")).alias("before"), F.sum("rows").over(w).alias("n"))
+    r = t.join(days, ["symbol", "date"]).withColumn("i", F.col("before") + F.row_number().over(C.session()) - 1)
     hit = F.floor(F.ceil(F.col("i") * 240 / F.col("n")) * F.col("n") / 240)
     return r.filter((F.col("n") <= 240) | (F.col("i") == F.col("n") - 1) | (F.col("i") == hit)).select(*KEYS)
 
