@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -99,3 +100,20 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 8) -> D
     left = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     right = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [key, salt]).drop(salt)
+
+
+def slices(data: bytes | str, separator: re.Pattern, size: int = 1 << 20) -> Iterator[bytes | str]:
+    """A whole text in slices of about `size`, each cut at a separator, so that no word is torn."""
+    start = 0
+    while len(data) - start > size:
+        found = separator.search(data, start + size)
+        if not found:
+            break
+        yield data[start : found.start()]
+        start = found.start()
+    yield data[start:] if start else data
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    """A text column as UTF-8; null is empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

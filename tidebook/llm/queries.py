@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, kneser_ney, langid, licenses, packing, pii, quality, secrets, warc
+from . import decontaminate, jaccard, kneser_ney, langid, lexical, licenses, packing, pii, quality, secrets, simhash, spelling, warc
 from .common import table
 
 
@@ -67,6 +67,21 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_wildcard_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents' vocabulary with its near words, form and root."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_tiled_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component."""
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_patience_licenses": op1_patience_licenses,
     "op2_crf_language": op2_crf_language,
@@ -78,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_index": op9_warc_index,
     "op10_residual_packing": op10_residual_packing,
     "op6_compression_bands": op6_compression_bands,
+    "op11_bit_sliced_search": op11_bit_sliced_search,
+    "op12_wildcard_spelling": op12_wildcard_spelling,
+    "op13_tiled_simhash": op13_tiled_simhash,
 }
 
 ORACLE: dict[str, str] = {
@@ -94,4 +112,62 @@ ORACLE: dict[str, str] = {
             CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM p JOIN f USING (sha)
     """,
+    "op11_bit_sliced_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents WHERE text IS NOT NULL
+        ), total AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0),
+        tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL),
+        df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), scored AS (
+            SELECT item_id, r, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+                * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(terms) * docs) // words))))::BIGINT AS score
+            FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN d USING (r) CROSS JOIN total GROUP BY ALL
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM scored JOIN d USING (r) WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+    """,
+    # crc32 byte by byte with the table of its polynomial; near words as pairs, which the operator never lists.
+    "op12_wildcard_spelling": """
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS bytes
+        ), runs AS (
+            SELECT doc_id, run, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+            ) WHERE length(run) >= 7 GROUP BY ALL
+        ), coded AS (
+            SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS code FROM runs
+        ), hashed AS (
+            SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(length(code) // 2), lambda i: ('0x' || substr(code, 2 * i + 1, 2))::BIGINT),
+                lambda c, b: xor(c >> 8, bytes[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM coded CROSS JOIN crc
+        ), v AS (
+            SELECT word, sum(n)::BIGINT AS n FROM (
+                SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+            ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+        ), places AS (SELECT word, unnest(range(length(word))) AS i FROM v),
+        opened AS (SELECT word, left(word, i) || '*' || substr(word, i + 2) AS key FROM places),
+        deleted AS (SELECT DISTINCT word, left(word, i) || substr(word, i + 2) AS key FROM places),
+        near AS (
+            SELECT a.word, b.word AS other FROM opened a JOIN opened b USING (key) WHERE a.word <> b.word
+            UNION SELECT d.word, v.word FROM deleted d JOIN v ON d.key = v.word
+            UNION SELECT v.word, d.word FROM deleted d JOIN v ON d.key = v.word
+        ), ordered AS (
+            SELECT near.word, other, v.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, other) AS place
+            FROM near JOIN v ON near.other = v.word
+        ), formed AS (
+            SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n
+            FROM v LEFT JOIN ordered o ON o.word = v.word AND o.place = 1
+        ), ways AS (
+            SELECT word, word AS root FROM formed
+            UNION ALL SELECT ways.word, f.form FROM ways JOIN formed f ON f.word = ways.root WHERE f.form IS NOT NULL
+        ), ends AS (SELECT ways.word, root FROM ways JOIN formed f ON f.word = ways.root WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM formed JOIN ends USING (word)
+    """,
 }
