@@ -84,12 +84,13 @@ def test_bitwise_addition_and_descent():
         words = (n + 63) // 64
         total, want = [], np.zeros(n, np.int64)
         for _ in range(20):
-            at = np.sort(rng.choice(n, rng.integers(1, n + 1), replace=False)).astype(np.uint32)
+            at = np.sort(rng.choice(n, rng.integers(1, n + 1), replace=False)).astype(np.uint16)
             value = rng.integers(0, 1 << rng.integers(1, 36), len(at))
             if not value.any():
                 continue
             want[at] += value
-            lexical.add_slices(total, lexical.bitmaps(at.tobytes(), lexical.sliced(value), words))
+            held, bits = lexical.sliced(value, np.array([len(at)]))
+            lexical.add_slices(total, lexical.bitmaps(at.tobytes(), int(bits[0]), held[0].as_py(), words))
         for k in (1, 3, 50):
             at, score = lexical.best(total, k)
             first = sorted((-s, i) for i, s in enumerate(want.tolist()) if s)[:k]

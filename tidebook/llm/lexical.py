@@ -21,14 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, salted_join, slices, staged, utf8
+from .common import pieces, slices, staged, utf8
 
-#: Documents and postings of a segment at most (a document of more postings has a segment of its own).
+#: Documents (65,536 at most, as places are 16-bit numbers) and postings of a segment; the document that passes POSTINGS is its last.
 DOCUMENTS, POSTINGS = 16_384, 2_000_000
 #: Queries that a task adds up side by side, and documents told of each.
 QUERIES_AT_ONCE, TOP = 128, 50
-#: Bits of an impact: w stays below 2 ** 16, the other factor below 2 ** 20.
-BITS = 36
 
 #: Letters of a term: all that is not ASCII, and ASCII letters and digits; A-Z are lower-cased.
 _LETTERS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in bytes(range(256)).lower())
@@ -41,7 +39,18 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
         yield part.translate(_LETTERS).split()
 
 
-SEGMENTS = "segment long, term string, df long, n_docs long, n_terms long, docs binary, tf binary"
+SEGMENTS = "segment long, term string, df long, n_docs long, n_terms long, docs binary, tf binary, ids binary"
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Bytes cut at row ends, as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a binary column in turn, and how many each row has."""
+    sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer(b"".join([x or b"" for x in column.to_pylist()]), kind), sizes // np.dtype(kind).itemsize
 
 
 class _Segment:
@@ -70,40 +79,30 @@ class _Segment:
         order = sorted(range(len(self.ids)), key=lambda k: (self.ids[k] is None, self.ids[k] or 0))
         sizes = np.array(self.sizes, np.int64)[order]
         ids = np.array([-1 if self.ids[k] is None else self.ids[k] for k in order], np.int64)
-        known = np.array([self.ids[k] is not None for k in order])
-        first = {"term": None, "df": 0, "n_docs": int((sizes > 0).sum()), "n_terms": int(sizes.sum()), "docs": np.concatenate([ids, known]).tobytes(), "tf": sizes.tobytes()}
-        yield self._batch([first])
+        known = np.array([self.ids[k] is not None for k in order], np.int64)
+        whole = np.concatenate([ids, known, sizes])
+        one = lambda n: np.array([n], np.int64)
+        none = pa.nulls(1, pa.binary())
+        yield self._batch([None], one(0), none, none, pa.array([whole.tobytes()], pa.binary()), int((sizes > 0).sum()), int(sizes.sum()))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         term = np.concatenate([f[0] for f in self.found])
         tf = np.concatenate([f[1] for f in self.found])
         doc = np.repeat(place, [len(f[0]) for f in self.found])
         by = np.lexsort((doc, term))
-        doc, tf = doc[by].astype(np.uint32), tf[by]
-        cut = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.at)))]).tolist()
-        made = []
-        for k, word in enumerate(self.at):
-            s, e = cut[k : k + 2]
-            made.append({"term": word.decode("utf-8", "replace"), "df": e - s, "n_docs": 0, "n_terms": 0, "docs": doc[s:e].tobytes(), "tf": _narrow(tf[s:e])})
-            if len(made) == 20_000:
-                yield self._batch(made)
-                made = []
-        if made:
-            yield self._batch(made)
-
-    def _batch(self, rows: list[dict]) -> pa.RecordBatch:
-        kind = {"term": pa.string(), "df": pa.int64(), "n_docs": pa.int64(), "n_terms": pa.int64(), "docs": pa.binary(), "tf": pa.binary()}
-        made = [pa.array([self.number] * len(rows), pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in kind.items())]
-        return pa.RecordBatch.from_arrays(made, names=["segment", *kind])
-
-
-def _narrow(values: np.ndarray) -> bytes:
-    """Counts as bytes where they fit, else as 64-bit numbers; their number tells which."""
-    return (values.astype(np.uint8) if values.max() < 256 else values).tobytes()
-
+        doc, tf = doc[by].astype(np.uint16), tf[by].astype(np.uint32)
+        cut = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.at)))])
+        words = list(self.at)
+        for k in range(0, len(words), 50_000):
+            ends = cut[k : k + 50_001]
+            part = slice(ends[0], ends[-1])
+            held = words[k : k + 50_000]
+            yield self._batch(held, np.diff(ends), _binary(doc[part], 2 * (ends - ends[0])), _binary(tf[part], 4 * (ends - ends[0])), pa.nulls(len(held), pa.binary()))
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).astype(np.int64) if len(data) == n else np.frombuffer(data, np.int64)
+    def _batch(self, terms: list, df: np.ndarray, docs: pa.Array, tf: pa.Array, ids: pa.Array, n_docs: int = 0, n_terms: int = 0) -> pa.RecordBatch:
+        every = lambda n: pa.array(np.full(len(terms), n, np.int64))
+        made = [every(self.number), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(df), every(n_docs), every(n_terms), docs, tf, ids]
+        return pa.RecordBatch.from_arrays(made, names=["segment", "term", "df", "n_docs", "n_terms", "docs", "tf", "ids"])
 
 
 def _segments(documents: int, postings: int):
@@ -125,44 +124,71 @@ def _segments(documents: int, postings: int):
     return run
 
 
-def sliced(impact: np.ndarray) -> bytes:
-    """The bits of impacts: a slice of ceil(n / 8) bytes for each bit that any has, least significant first."""
-    bits = max(1, int(impact.max()).bit_length())
-    return np.packbits((impact >> np.arange(bits)[:, None] & 1).astype(np.uint8), axis=1, bitorder="little").tobytes()
+def sliced(impact: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The bits of impacts, `rows` of them a term: per term slice after slice (a bit of each impact, least significant
+    first) as one string of bits, and how many slices there are."""
+    starts = np.cumsum(rows) - rows
+    most = np.maximum.reduceat(impact, starts) if len(rows) else rows
+    bits = np.maximum(np.frexp(most.astype(float))[1], 1).astype(np.int64)
+    bytes_ = (bits * rows + 7) // 8
+    ends = np.concatenate([[0], np.cumsum(bytes_)])
+    row = np.repeat(np.arange(len(rows)), rows)
+    n, deep = rows[row], bits[row]
+    at = 8 * ends[:-1][row] + np.arange(len(impact)) - starts[row]
+    out = np.zeros(8 * ends[-1], np.uint8)
+    for b in range(int(bits.max(initial=0))):
+        has = deep > b
+        out[at[has] + b * n[has]] = impact[has] >> b & 1
+    return _binary(np.packbits(out, bitorder="little"), ends), bits
 
 
 def _impacts(n_docs: int, n_terms: int):
     """Segments' rows, each segment's documents first, to rows of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean: np.ndarray | None = None
+        mean = np.zeros(0, np.int64)
         for batch in batches:
-            terms, docs, tfs, weights = (batch.column(c).to_pylist() for c in ("term", "docs", "tf", "weight"))
-            made: list[bytes] = []
-            for term, doc, tf, weight in zip(terms, docs, tfs, weights):
-                if term is None:
-                    mean = np.array([50 + 50 * n * n_docs // max(n_terms, 1) for n in np.frombuffer(tf, np.int64).tolist()], np.int64)
-                    made.append(tf)
-                else:
-                    at = np.frombuffer(doc, np.uint32)
-                    tf = _wide(tf, len(at))
-                    made.append(sliced(weight * (1_000_000_000 * tf // (1000 * tf + 20 * mean[at]))))
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("term"), batch.column("df"), batch.column("docs"), pa.array(made, pa.binary())], names=["segment", "term", "df", "docs", "slices"])
+            ids = batch.column("ids").to_pylist()
+            firsts = [k for k, x in enumerate(ids) if x is not None]
+            for s, e in zip([0, *firsts], [*firsts, batch.num_rows]):
+                part = batch.slice(s, e - s)
+                if not part.num_rows:
+                    continue
+                if ids[s] is not None:
+                    sizes = np.frombuffer(ids[s], np.int64).reshape(3, -1)[2].tolist()
+                    mean = np.array([50 + 50 * n * n_docs // max(n_terms, 1) for n in sizes], np.int64)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).slice(0, 1) for c in ("segment", "term", "docs")), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), part.column("ids").slice(0, 1)], names=INDEX_NAMES)
+                    part = part.slice(1)
+                if not part.num_rows:
+                    continue
+                docs, rows = _flat(part.column("docs"), np.uint16)
+                tf = _flat(part.column("tf"), np.uint32)[0].astype(np.int64)
+                impact = np.repeat(part.column("weight").to_numpy(), rows) * (1_000_000_000 * tf // (1000 * tf + 20 * mean[docs]))
+                held, bits = sliced(impact, rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("segment", "term", "docs")), pa.array(bits), held, part.column("ids")], names=INDEX_NAMES)
 
     return run
 
 
+INDEX = "segment long, term string, docs binary, bits long, slices binary, ids binary"
+INDEX_NAMES = [c.split()[0] for c in INDEX.split(", ")]
+
+
 def impact_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", documents: int = DOCUMENTS, postings: int = POSTINGS) -> DataFrame:
-    """The index of all terms of all documents: a row per segment and term, and one per segment (term null) with its documents."""
+    """The index of all terms of all documents: a row per segment and term, and one per segment (term null) with its documents.
+
+    The terms' frequencies come from all segments by one aggregation; a term's rows, one a segment, meet its weight
+    in a join whose large partitions adaptive execution splits.
+    """
     lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = staged(lean.mapInArrow(_segments(documents, postings), SEGMENTS), "segments")
     n_docs, n_terms = held.filter("term IS NULL").agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     frequent = held.filter("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("all_df"))
     weight = F.floor(1000 * F.log((2 * F.lit(n_docs) + 2).cast("double") / (2 * F.col("all_df") + 1).cast("double")))
-    names = ["segment", "term", "df", "docs", "tf", "weight"]
-    weighed = salted_join(held.filter("term IS NOT NULL"), frequent.select("term", weight.alias("weight")), "term").select(names)
+    names = ["segment", "term", "docs", "tf", "ids", "weight"]
+    weighed = held.filter("term IS NOT NULL").join(frequent.select("term", weight.alias("weight")), "term").select(names)
     rows = weighed.unionByName(held.filter("term IS NULL").withColumn("weight", F.lit(0).cast("long")).select(names)).repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("term"))
-    return staged(rows.mapInArrow(_impacts(n_docs, n_terms), "segment long, term string, df long, docs binary, slices binary"), "impacts")
+    return staged(rows.mapInArrow(_impacts(n_docs, n_terms), INDEX), "impacts")
 
 
 def add_slices(total: list[np.ndarray], more: np.ndarray) -> None:
@@ -210,13 +236,12 @@ def best(total: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, score
 
 
-def bitmaps(docs: bytes, slices_: bytes, words: int) -> np.ndarray:
+def bitmaps(docs: bytes, bits: int, slices_: bytes, words: int) -> np.ndarray:
     """A term's slices as bitmaps over all documents of the segment."""
-    at = np.frombuffer(docs, np.uint32)
-    held = np.frombuffer(slices_, np.uint8).reshape(-1, (len(at) + 7) // 8)
-    bits = np.unpackbits(held, axis=1, bitorder="little", count=len(at))
-    out = np.zeros((len(held), words * 64), np.uint8)
-    out[:, at] = bits
+    at = np.frombuffer(docs, np.uint16)
+    held = np.unpackbits(np.frombuffer(slices_, np.uint8), bitorder="little", count=bits * len(at)).reshape(bits, -1)
+    out = np.zeros((bits, words * 64), np.uint8)
+    out[:, at] = held
     return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
 
@@ -239,15 +264,15 @@ def _search(top: int):
                 yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(doc, pa.int64()), pa.array(score, pa.int64())], names=["query", "doc_id", "score"])
 
         for batch in batches:
-            for segment, block, term, docs, held, asked in zip(*(batch.column(c).to_pylist() for c in ("segment", "block", "term", "docs", "slices", "queries"))):
+            for segment, block, term, docs, bits, held, whole, asked in zip(*(batch.column(c).to_pylist() for c in ("segment", "block", "term", "docs", "bits", "slices", "ids", "queries"))):
                 if (segment, block) != now:
                     yield from out()
                     now, totals = (segment, block), {}
                 if term is None:
-                    ids, known = np.frombuffer(docs, np.int64).reshape(2, -1)
+                    ids, known = np.frombuffer(whole, np.int64).reshape(3, -1)[:2]
                     words = max(1, (len(ids) + 63) // 64)
                     continue
-                more = bitmaps(docs, held, words)
+                more = bitmaps(docs, bits, held, words)
                 for q in asked:
                     add_slices(totals.setdefault(q, []), more)
         yield from out()
@@ -278,10 +303,11 @@ def ranked_search(index: DataFrame, queries: DataFrame, text_col: str = "text",
     block = F.pmod(F.xxhash64("query"), F.lit(blocks))
     terms = held.groupBy("term", block.alias("block")).agg(F.sort_array(F.collect_list("query")).alias("queries"))
     terms = terms.groupBy("term").agg(F.collect_list(F.struct("block", "queries")).alias("asked"))
-    rows = salted_join(index.filter("term IS NOT NULL").select("segment", "term", "docs", "slices"), terms, "term").withColumn("asked", F.explode("asked"))
+    names = ["segment", "term", "docs", "bits", "slices", "ids"]
+    rows = index.filter("term IS NOT NULL").select(names).join(terms, "term").withColumn("asked", F.explode("asked"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    documents = index.filter("term IS NULL").select("segment", every.alias("block"), "term", "docs", "slices", F.lit(None).cast("array<bigint>").alias("queries"))
-    both = rows.select("segment", "asked.block", "term", "docs", "slices", "asked.queries").unionByName(documents)
+    documents = index.filter("term IS NULL").select(*names, every.alias("block"), F.lit(None).cast("array<bigint>").alias("queries"))
+    both = rows.select(*names, "asked.block", "asked.queries").unionByName(documents)
     both = both.repartition("segment", "block").sortWithinPartitions("segment", "block", F.asc_nulls_first("term"))
     found = both.mapInArrow(_search(top), "query long, doc_id long, score long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
