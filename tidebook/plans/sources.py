@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tidebook.sources import depth as D
 from tidebook.sources import logs as L
+from tidebook.sources import sinks as K
 from tidebook.sources import views as V
+from tidebook.sources.shared import shared_folder
 
 from .features import W
 from .registry import query, rounded, shown
@@ -17,6 +19,68 @@ _IN = "ts >= CAST(date AS TIMESTAMP) + INTERVAL '9 hours 20 minutes' AND ts <= C
 Q = V.with_views("quotes")
 
 
+def _recorded(spark, d):
+    """The quotes as an archive by date and contract in which each session lies twice, sessions of even days being compacted."""
+    q = V.quotes(spark, d).select(F.col("date").alias("trading_date"), F.concat(F.upper("symbol"), F.lit("-Jun2026-FUT")).alias("symbol"), "ts", "seq", "bid", "ask", "bid_qty", "ask_qty")
+    root = shared_folder(spark, "archive")
+    K.write_sessions(q, root)
+    q.repartition(*D.LAYOUT).write.mode("append").partitionBy(*D.LAYOUT).parquet(root)
+    K.compact(spark, root, F.day("trading_date") % 2 == 0, unique=("ts", "seq"))
+    return root
+
+
+_TWICE = Q + ", a AS (SELECT * FROM quotes UNION ALL SELECT * FROM quotes WHERE day(date) % 2 = 1)"
+
+
+@query(_TWICE + " SELECT upper(symbol) AS underlying, date AS trading_date, seq, round(bid, 6) + 0.0 AS bid FROM a WHERE symbol IN ('click', 'view')")
+def s1_recordings(spark, d):
+    """Two underlyings of an archive; of sessions that were compacted only the compacted file is read."""
+    df = D.recordings(spark, _recorded(spark, d), symbols=["CLICK", "VIEW"])
+    return shown(D.one_contract(df), ("underlying", "trading_date", "seq"), "bid")
+
+
+@query(_TWICE + " SELECT date AS trading_date, upper(symbol) || '-Jun2026-FUT' AS symbol, count(*) AS n, (count(*) > count(DISTINCT seq))::BOOLEAN AS doubled FROM a WHERE day(date) IN (3, 4) GROUP BY ALL")
+def s7_session_files(spark, d):
+    """Rows of all symbols on two days: one compacted, one of many files."""
+    root = _recorded(spark, d)
+    days = [str(r[0]) for r in D.catalog(spark, root).filter(F.day("trading_date").isin(3, 4)).select("trading_date").distinct().collect()]
+    df = D.recordings(spark, root, dates=days)
+    return df.groupBy("trading_date", "symbol").agg(F.count("*").alias("n"), (F.count("*") > F.count_distinct("seq")).alias("doubled"))
+
+
+@query(Q + " SELECT symbol, date, seq, round(ask, 6) + 0.0 AS ask FROM quotes WHERE symbol <> 'view' UNION ALL SELECT symbol, date, seq, round(ask + 1, 6) + 0.0 FROM quotes WHERE symbol = 'view'")
+def s19_session_sink(spark, d):
+    """Sessions written, and those of one symbol again with other prices: they replace what was there."""
+    q = V.quotes(spark, d).select("symbol", "date", "ts", "seq", "ask")
+    root = shared_folder(spark, "panel")
+    K.write_sessions(q, root, keys=("date", "symbol"))
+    K.write_sessions(q.filter("symbol = 'view'").withColumn("ask", F.col("ask") + 1), root, keys=("date", "symbol"))
+    return shown(spark.read.parquet(root), ("symbol", "date", "seq"), "ask")
+
+
+@query(V.with_views("trades") + " SELECT order_key % 3 AS batch, order_key, line, net_pnl FROM trades")
+def s20_batch_log(spark, d):
+    """A log of three batches, one of which was tried twice."""
+    t = V.trades(spark, d).select("order_key", "line", "net_pnl")
+    root = shared_folder(spark, "log")
+    for k in (0, 1, 1, 2):
+        K.write_batch(t.filter(F.col("order_key") % 3 == k), k, root, "csv")
+    return K.read_batches(spark, root, "order_key long, line long, net_pnl double", "csv").select("batch", "order_key", "line", "net_pnl")
+
+
+@query(V.with_views("trades") + " SELECT arm, count(*) AS trades, round(sum(net_pnl), 2) AS net FROM trades GROUP BY arm")
+def s21_snapshot(spark, d):
+    """Totals of the arms by way of a snapshot, into which one of two batches comes twice."""
+    from tidebook.streaming import live
+
+    t = V.trades(spark, d)
+    path = shared_folder(spark, "snapshot") + ".json"
+    for k in (0, 1, 1):
+        live.telemetry(t.filter(F.col("order_key") % 2 == k), path, now=0.0, batch_id=k)
+    held = spark.read.text(path, wholetext=True).select(F.from_json("value", "arms map<string, struct<trades: long, net: double>>").alias("s"))
+    return held.select(F.explode("s.arms").alias("arm", "t")).select("arm", "t.trades", F.round("t.net", 2).alias("net"))
+
+
 @query(Q + f" SELECT symbol, seq, {rounded('(bid + ask) / 2 AS mid', 'ask - bid AS spread')} FROM quotes WHERE {_IN}")
 def s2_session_prep(spark, d):
     """Zero and crossed rows stay here, as the research scan keeps them."""
@@ -68,10 +132,11 @@ def s12_tolerant_numbers(spark, d):
 )
 def s14_front_month(spark, d):
     o, c = V.load(spark, d, "orders"), V.load(spark, d, "customer")
+    segments = c.select(F.col("c_mktsegment").alias("symbol"))
     m = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_mktsegment").alias("symbol"), F.col("o_orderkey").alias("security_id"), F.to_date("o_orderdate").alias("expiry"))
     import datetime
 
-    return L.front_month(m, datetime.date(1997, 6, 15))
+    return L.front_month(m, datetime.date(1997, 6, 15), wanted=segments)
 
 
 @query("SELECT DISTINCT s_name AS symbol FROM supplier ANTI JOIN (SELECT l_suppkey AS s_suppkey FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1) USING (s_suppkey)")

@@ -9,27 +9,46 @@ OPEN, SHUT = "09:20", "15:25"
 LEVELS = 20
 
 
+LAYOUT = ("trading_date", "symbol")
+
+
+def catalog(spark: SparkSession, root: str) -> DataFrame:
+    """A row per file of root/trading_date=D/symbol=S/*.parquet: the layout's columns, path, length, modified, compacted.
+
+    It comes from the file listing alone; no file is opened.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("basePath", root).load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(*LAYOUT, "path", "length", F.col("modificationTime").alias("modified"), name.startswith("compacted").alias("compacted"))
+
+
 def recordings(spark: SparkSession, root: str, symbols: list[str] | None = None, dates: list[str] | None = None, tolerant: bool = False) -> DataFrame:
     """Rows of root/trading_date=D/symbol=S/*.parquet with `underlying` taken from the symbol.
 
-    Dates and symbols are partition filters. Where a symbol's day has compacted files only those
-    are read, else all of its files. With `tolerant`, files that are damaged or vanish are left out
-    (`sessions` then tells which are too short); else they are an error.
+    Files are chosen before any is read: those of the dates and underlyings asked for, and where a symbol's day has
+    compacted files only those. The names of the chosen files are what the plan's scan lists, as any scan's file index
+    does. With `tolerant`, files that are damaged or vanish are left out, a damaged compacted file as if it weren't there
+    (the footers of compacted files are looked at for this); else they are an error.
     """
-    reader = spark.read.option("basePath", root).option("mergeSchema", "false")
-    if tolerant:
-        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    df = reader.parquet(root)
-    df = df.withColumn("underlying", F.split("symbol", "-")[0])
-    if dates:
-        df = df.filter(F.col("trading_date").cast("string").isin(dates))
-    if symbols:
-        df = df.filter(F.col("underlying").isin(symbols))
-    df = df.withColumn("_file", F.col("_metadata.file_name"))
-    files = df.select("trading_date", "symbol", "_file").distinct().withColumn("_compacted", F.col("_file").startswith("compacted"))
-    best = files.withColumn("_any", F.max("_compacted").over(Window.partitionBy("trading_date", "symbol"))).filter(F.col("_compacted") == F.col("_any"))
-    # A row a file: as many as the archive has, so the join is left to what they turn out to be.
-    return df.join(best.select("trading_date", "symbol", "_file"), ["trading_date", "symbol", "_file"], "left_semi").drop("_file")
+    underlying = F.split("symbol", "-")[0]
+
+    def wanted(df: DataFrame) -> DataFrame:
+        if dates:
+            df = df.filter(F.col("trading_date").cast("string").isin(dates))
+        return df.filter(underlying.isin(symbols)) if symbols else df
+
+    listed = wanted(catalog(spark, root))
+    files = [(r["trading_date"], r["symbol"], r["path"], r["compacted"]) for r in listed.collect()]  # names of files
+    if tolerant and any(f[3] for f in files):
+        opened = spark.read.options(basePath=root, ignoreCorruptFiles=True, ignoreMissingFiles=True).schema(listed.select(*LAYOUT).schema)
+        whole = opened.parquet(*[f[2] for f in files if f[3]]).select(F.col("_metadata.file_name").alias("name"), *LAYOUT).distinct().collect()
+        whole = {(r["trading_date"], r["symbol"], r["name"]) for r in whole}
+        files = [f for f in files if not f[3] or (f[0], f[1], f[2].rsplit("/", 1)[1]) in whole]
+    done = {f[:2] for f in files if f[3]}
+    paths = [f[2] for f in files if f[3] or f[:2] not in done]
+    reader = spark.read.options(**{"basePath": root, "mergeSchema": "false", "ignoreCorruptFiles": tolerant, "ignoreMissingFiles": tolerant})
+    df = reader.parquet(*paths) if paths else reader.parquet(root).limit(0)
+    return wanted(df).withColumn("underlying", underlying)
 
 
 def one_contract(df: DataFrame) -> DataFrame:

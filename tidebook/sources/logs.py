@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import replace_text, text_of
+
 TRADE_LOG = (
     "underlying string, date string, direction string, entry_ts string, exit_ts string, entry_price string, exit_price string, entry_method string, exit_method string, lot_size string,"
     " n_lots string, notional string, hold_packets string, hold_secs string, gross_pnl string, fee string, net_pnl string, queue_ahead string, qty_consumed string"
@@ -47,10 +48,18 @@ def instruments(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("security_id IS NOT NULL AND expiry IS NOT NULL AND lot IS NOT NULL AND symbol <> ''")
 
 
-def front_month(df: DataFrame, as_of, keys: tuple[str, ...] = ("symbol",), expiry: str = "expiry", tie: str = "security_id") -> DataFrame:
-    """Of each symbol the contract that expires first on or after `as_of`; equal ones by id."""
+def front_month(df: DataFrame, as_of, keys: tuple[str, ...] = ("symbol",), expiry: str = "expiry", tie: str = "security_id", wanted: DataFrame | None = None) -> DataFrame:
+    """Of each symbol the contract that expires first on or after `as_of`; equal ones by id.
+
+    With `wanted`(keys), exactly those symbols are told, and one without such a contract is an error when it is read.
+    """
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(expiry, tie))
-    return df.filter(F.col(expiry) >= F.lit(as_of)).withColumn("_k", first).filter("_k = 1").drop("_k")
+    found = df.filter(F.col(expiry) >= F.lit(as_of)).withColumn("_k", first).filter("_k = 1").drop("_k")
+    if wanted is None:
+        return found
+    asked = wanted.select(*keys).distinct().join(found.withColumn("_there", F.lit(True)), list(keys), "left")
+    said = F.concat(F.lit("no contract of "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]), F.lit(f" expires on or after {as_of}"))
+    return asked.filter(F.when(F.col("_there").isNull(), F.raise_error(said).cast("boolean")).otherwise(F.lit(True))).select(found.columns)
 
 
 def unresolved(wanted: DataFrame, found: DataFrame, key: str = "symbol") -> DataFrame:
@@ -58,17 +67,13 @@ def unresolved(wanted: DataFrame, found: DataFrame, key: str = "symbol") -> Data
 
 
 def write_snapshot(row: dict, path: str) -> None:
-    """Replace a small JSON file in one step, so that a reader never sees half of it."""
-    part = f"{path}.{os.getpid()}.tmp"
-    with open(part, "w") as f:
-        json.dump(row, f)
-    os.replace(part, path)
+    """Replace a small JSON file in one step, on whichever file system path names, so that a reader never sees half of it."""
+    replace_text(SparkSession.active(), path, json.dumps(row))
 
 
 def read_snapshot(path: str) -> dict | None:
     """The snapshot, or None where it is missing or damaged."""
     try:
-        with open(path) as f:
-            return json.load(f)
-    except (OSError, ValueError):
+        return json.loads(text_of(SparkSession.active(), path) or "")
+    except ValueError:
         return None
