@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,5 +76,5 @@ def read_snapshot(path: str) -> dict | None:
     """The snapshot, or None where it is missing or damaged."""
     try:
         return json.loads(text_of(SparkSession.active(), path) or "")
-    except ValueError:
+    except (ValueError, Py4JJavaError):
         return None
