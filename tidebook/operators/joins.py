@@ -10,6 +10,27 @@ def _micros(c: str | Column) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
 
 
+def _struct(df: DataFrame, packed: Column):
+    return df.select(packed.alias("x")).schema["x"].dataType
+
+
+def _carried(left: DataFrame, right: DataFrame, keys: tuple[str, ...], on: str, tie: str, packed: Column, directions: dict[str, str]) -> DataFrame:
+    """keys, on, tie, _left and, by name, the right row found in each direction: 'backward' or 'forward'.
+
+    Both sides are dealt by the keys together, once for all directions. Forward is backward in the reversed order, so
+    a row looks at what is carried to it, never at the rest of its session.
+    """
+    whole = F.struct(*left.columns)
+    plain = left.select(*keys, on, tie, whole.alias("_left"), F.lit(None).cast(_struct(right, packed)).alias("_right"), F.lit(1).alias("_side"))
+    donors = right.select(*keys, on, tie, F.lit(None).cast(_struct(left, whole)).alias("_left"), packed.alias("_right"), F.lit(0).alias("_side"))
+    order = {"backward": (F.asc(on), F.asc("_side"), F.asc(tie)), "forward": (F.desc(on), F.asc("_side"), F.desc(tie))}
+    every = plain.unionByName(donors)
+    for name, direction in directions.items():
+        carried = Window.partitionBy(*keys).orderBy(*order[direction]).rowsBetween(Window.unboundedPreceding, 0)
+        every = every.withColumn(name, F.last("_right", ignorenulls=True).over(carried))
+    return every.filter(F.col("_left").isNotNull())
+
+
 def asof(
     left: DataFrame,
     right: DataFrame,
@@ -28,31 +49,30 @@ def asof(
     values in it aren't skipped. Right columns named as a left column get the suffix; `source`
     names a column for the right row's time. Rows are dealt by the keys and sorted once.
     """
-    back = direction == "backward"
     other = [c for c in right.columns if c not in (*keys, on, tie)]
     names = {c: c if c not in left.columns else c + suffix for c in other}
     packed = F.struct(F.col(on).alias("_at"), *[F.col(c).alias(names[c]) for c in other])
-    plain = left.select(*keys, on, tie, F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("_right"), F.lit(1 if back else 0).alias("_side"))
-    donors = right.select(*keys, on, tie, F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_left"), packed.alias("_right"), F.lit(0 if back else 1).alias("_side"))
-    window = Window.partitionBy(*keys).orderBy(on, "_side", tie)
-    if back:
-        carried = F.last("_right", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        carried = F.first("_right", ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))
-    every = plain.unionByName(donors).withColumn("_found", carried).filter(F.col("_left").isNotNull())
+    every = _carried(left, right, keys, on, tie, packed, {"_found": direction})
     near = F.col("_found")
     if tolerance_us is not None:
         near = F.when(F.abs(_micros(on) - _micros(F.col("_found._at"))) <= tolerance_us, near)
-    out = every.withColumn("_found", near).select("_left.*", *[F.col(f"_found.{names[c]}").alias(names[c]) for c in other], *([F.col("_found._at").alias(source)] if source else []))
-    return out
+    return every.withColumn("_found", near).select("_left.*", *[F.col(f"_found.{names[c]}").alias(names[c]) for c in other], *([F.col("_found._at").alias(source)] if source else []))
+
 
+def nearest(
+    left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("symbol", "date"), on: str = "ts", tie: str = "seq", value: str = "mid", name: str = "near", tolerance_us: int | None = None
+) -> DataFrame:
+    """Each left row with `value` of the right row closest in time; the earlier of two equally close.
 
-def nearest(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("symbol", "date"), on: str = "ts", tie: str = "seq", value: str = "mid", name: str = "near") -> DataFrame:
-    """Each left row with `value` of the right row closest in time; the earlier of two equally close."""
-    lean = right.select(*keys, on, tie, F.col(value).alias("_v"))
-    both = asof(asof(left, lean.withColumnRenamed("_v", "_b"), keys, on, tie, source="_tb"), lean.withColumnRenamed("_v", "_f"), keys, on, tie, direction="forward", source="_tf")
-    before, after = _micros(on) - _micros("_tb"), _micros("_tf") - _micros(on)
-    return both.withColumn(name, F.when(after.isNull() | (before <= after), F.col("_b")).otherwise(F.col("_f"))).drop("_b", "_f", "_tb", "_tf")
+    Null where there is none, or none within the tolerance. One exchange serves both directions.
+    """
+    packed = F.struct(F.col(on).alias("_at"), F.col(value).alias("_v"))
+    every = _carried(left, right, keys, on, tie, packed, {"_b": "backward", "_f": "forward"})
+    before, after = _micros(on) - _micros(F.col("_b._at")), _micros(F.col("_f._at")) - _micros(on)
+    found = F.when(after.isNull() | (before <= after), F.col("_b._v")).otherwise(F.col("_f._v"))
+    if tolerance_us is not None:
+        found = F.when(F.least(before, after) <= tolerance_us, found)
+    return every.select("_left.*", found.alias(name))
 
 
 def markout(fills: DataFrame, quotes: DataFrame, horizons_s: tuple[int, ...], tolerance_s: int, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
