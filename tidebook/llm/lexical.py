@@ -181,14 +181,14 @@ def impact_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     in a join whose large partitions adaptive execution splits.
     """
     lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = staged(lean.mapInArrow(_segments(documents, postings), SEGMENTS), "segments")
+    held = staged(lean.mapInArrow(_segments(documents, postings), SEGMENTS), "segments", "zstd")
     n_docs, n_terms = held.filter("term IS NULL").agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     frequent = held.filter("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("all_df"))
     weight = F.floor(1000 * F.log((2 * F.lit(n_docs) + 2).cast("double") / (2 * F.col("all_df") + 1).cast("double")))
     names = ["segment", "term", "docs", "tf", "ids", "weight"]
     weighed = held.filter("term IS NOT NULL").join(frequent.select("term", weight.alias("weight")), "term").select(names)
     rows = weighed.unionByName(held.filter("term IS NULL").withColumn("weight", F.lit(0).cast("long")).select(names)).repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("term"))
-    return staged(rows.mapInArrow(_impacts(n_docs, n_terms), INDEX), "impacts")
+    return staged(rows.mapInArrow(_impacts(n_docs, n_terms), INDEX), "impacts", "zstd")
 
 
 def add_slices(total: list[np.ndarray], more: np.ndarray) -> None:
