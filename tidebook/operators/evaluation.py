@@ -3,53 +3,149 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.columns import EPS, correlation, drawn, mean_rank, normal_cdf, normal_ppf
 
 
+#: Of the quantile sketch: its ranks are off by a key's rows / ACCURACY at most. Keys of fewer rows are sorted whole.
+ACCURACY = 10_000
+
+
+def at_ranks(df: DataFrame, keys: tuple[str, ...], value: str, wanted: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """keys, total (rows with a value) and by name the value at a rank, exactly.
+
+    wanted names a share (0 to 1) and the rank, from 0, as a function of the total; a rank may be two away from share * total
+    at most. A sketch of each key brackets the ranks: only values within a bracket, some 0.06 % of a
+    key's rows for each, are told apart and put in order, and what lies between is counted. Nulls don't count.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    shares = sorted({share for share, _ in wanted.values()})
+    margin = 3 / ACCURACY
+    sketch = rows.groupBy(*keys).agg(
+        F.count("*").alias("total"),
+        F.percentile_approx("v", [max(0.0, s - margin) for s in shares], ACCURACY).alias("_low"),
+        F.percentile_approx("v", [min(1.0, s + margin) for s in shares], ACCURACY).alias("_high"),
+    )
+    few = F.col("total") <= ACCURACY
+    lows = [F.when(few | F.lit(s - margin <= 0), float("-inf")).otherwise(F.col("_low")[i]) for i, s in enumerate(shares)]
+    highs = [F.when(few | F.lit(s + margin >= 1), float("inf")).otherwise(F.col("_high")[i]) for i, s in enumerate(shares)]
+    held = sketch.select(*keys, *[c.alias(f"_l{i}") for i, c in enumerate(lows)], *[c.alias(f"_h{i}") for i, c in enumerate(highs)])
+    near, passed = F.lit(False), F.lit(0)
+    for i in range(len(shares)):
+        near = near | ((F.col("v") >= F.col(f"_l{i}")) & (F.col("v") <= F.col(f"_h{i}")))
+        passed = passed + (F.col("v") > F.col(f"_h{i}")).cast("int")
+    joined = rows.join(held, list(keys)) if keys else rows.crossJoin(held)
+    counted = joined.groupBy(*keys, passed.alias("_passed"), F.when(near, F.col("v")).alias("v")).agg(F.count("*").alias("n"), F.max("v").alias("_top"))
+    order = Window.partitionBy(*keys).orderBy("_top")
+    counted = counted.withColumn("_at", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    counted = counted.join(sketch.select(*keys, "total"), list(keys)) if keys else counted.crossJoin(sketch.select("total"))
+
+    def at(rank: Callable[[Column], Column]) -> Column:
+        r = rank(F.col("total"))
+        return F.max(F.when((F.col("_at") <= r) & (r < F.col("_at") + F.col("n")), F.col("v")))
+
+    return counted.groupBy(*keys).agg(F.max("total").alias("total"), *[at(rank).alias(name) for name, (_, rank) in wanted.items()])
+
+
 def percentiles(df: DataFrame, keys: tuple[str, ...], value: str, shares: dict[str, float]) -> DataFrame:
     """keys and an exact interpolated percentile of value for each named share (0 to 1).
 
-    No task holds a key's values at once: values are counted, each falls into one of some 2,600 bins
-    of a key, finer towards its least value, and only bins that hold a wanted rank are sorted.
-    Nulls in value don't count; keys that are null or without a value give no row.
+    No task holds a key's values at once (see at_ranks). Nulls in value don't count; keys that are null or without a value give no row.
     """
-    counted = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("n"))
-    ends = counted.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
-    places = {name: q * (F.col("total") - 1) for name, q in shares.items()}
-    ranks = F.array_distinct(F.array(*[f(h).cast("long") for h in places.values() for f in (F.floor, F.ceil)]))
-    place = F.when(F.col("high") > F.col("low"), F.floor(64 * F.log2(1 + (F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * float(1 << 40)))).otherwise(0)
-    binned = counted.join(ends.select(*keys, "low", "high"), list(keys)).select(*keys, "v", "n", place.alias("bin"))
-
-    def before(*by: str):
-        w = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return lambda c, order: F.sum(c).over(w.orderBy(order)) - F.col(c)
-
-    within = lambda first, n: F.filter("ranks", lambda r: (r >= F.col(first)) & (r < F.col(first) + F.col(n)))
-    bins = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("rows")).withColumn("first", before(*keys)("rows", "bin"))
-    bins = bins.join(ends.select(*keys, ranks.alias("ranks")), list(keys)).withColumn("ranks", within("first", "rows")).filter("size(ranks) > 0")
-    hit = binned.join(bins.select(*keys, "bin", "first", "ranks"), [*keys, "bin"]).withColumn("at", F.col("first") + before(*keys, "bin")("n", "v"))
-    found = hit.select(*keys, "v", F.explode(within("at", "n")).alias("rank"))
-    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("by_rank")).join(ends.select(*keys, "total"), list(keys))
-
-    def point(h):
-        low, high = (F.element_at("by_rank", f(h).cast("long")) for f in (F.floor, F.ceil))
+
+    def rank(share: float, side):
+        return share, lambda total: side(share * (total - 1)).cast("long")
+
+    found = at_ranks(df, keys, value, {f"{side.__name__}_{name}": rank(q, side) for name, q in shares.items() for side in (F.floor, F.ceil)})
+
+    def point(name: str, q: float) -> Column:
+        h, low, high = q * (F.col("total") - 1), F.col(f"floor_{name}"), F.col(f"ceil_{name}")
         return low + (high - low) * (h - F.floor(h))
 
-    return found.select(*keys, *[point(h).alias(name) for name, h in places.items()])
+    return found.select(*keys, *[point(name, q).alias(name) for name, q in shares.items()])
+
+
+def _sorted(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows where x is known in the order of x, and x in that order."""
+    at = np.flatnonzero(known)
+    at = at[np.argsort(x[at], kind="stable")]
+    return at, x[at]
+
+
+def _mean_ranks(order: np.ndarray, values: np.ndarray, known: np.ndarray, out: np.ndarray) -> int:
+    """Into out the ranks of the rows of `order` that are known, ties at their mean; returns how many they are."""
+    on = known[order]
+    at, v = order[on], values[on]
+    if not len(at):
+        return 0
+    new = np.ones(len(at), bool)
+    new[1:] = (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(at)))
+    out[at] = np.repeat(first + (size + 1) / 2, size)
+    return len(at)
+
+
+def rank_correlations(signals: list[tuple[np.ndarray, np.ndarray]], returns: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[int, float | None]]]:
+    """(n, Spearman correlation) of each signal with each return, on the rows where both are known.
+
+    Each is a pair (values, known). A column is sorted once; what is left of its order where the other side is
+    known gives its ranks there. None where one side is constant.
+    """
+    rows = len(signals[0][0])
+    ys = [(known, *_sorted(y, known)) for y, known in returns]
+    rx, ry = np.zeros(rows), np.zeros(rows)
+    out = []
+    for x, has_x in signals:
+        order_x, sorted_x = _sorted(x, has_x)
+        line = []
+        for has_y, order_y, sorted_y in ys:
+            n = _mean_ranks(order_x, sorted_x, has_y, rx)
+            _mean_ranks(order_y, sorted_y, has_x, ry)
+            both = has_x & has_y
+            a, b = rx[both] - (n + 1) / 2, ry[both] - (n + 1) / 2
+            spread = np.sqrt(a @ a) * np.sqrt(b @ b)
+            line.append((n, float(a @ b / spread) if spread > 0 else None))
+        out.append(line)
+    return out
 
 
 def signal_ic(df: DataFrame, signals: tuple[str, ...], horizons: tuple[int, ...], keys: tuple[str, ...] = ("symbol", "date"), least: int = 50) -> DataFrame:
-    """Spearman correlation of each signal with each forward return fwd_<h>, by keys.
+    """Spearman correlation of each signal with each forward return fwd_<h>, by keys (of which a session is one).
 
     On the rows where both are known, ties at their mean rank; null with fewer than `least` rows
-    or where one side is constant. Signals and horizons are made long first, so that one
-    exchange serves all of them.
+    or where one side is constant. A session's columns are shuffled once and ranked side by side in one task: its
+    rows times (signals + horizons) numbers. signal_ic_windows is for groups of any size.
     """
+    import pyarrow as pa
+
+    lean = df.select(*keys, *[F.col(s).cast("double").alias(f"_x{i}") for i, s in enumerate(signals)], *[F.col(f"fwd_{h}").cast("double").alias(f"_y{i}") for i, h in enumerate(horizons)])
+    kinds = [lean.schema[k].dataType.simpleString() for k in keys]
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, kinds)), "signal string, horizon int, n long, ic double"])
+
+    def run(session: pa.Table) -> pa.Table:
+        def side(name: str, n: int) -> list:
+            columns = [session.column(f"{name}{i}").combine_chunks() for i in range(n)]
+            return [(c.to_numpy(zero_copy_only=False), c.is_valid().to_numpy(zero_copy_only=False)) for c in columns]
+
+        found = rank_correlations(side("_x", len(signals)), side("_y", len(horizons)))
+        made = [(s, h, n, ic if n >= least else None) for s, line in zip(signals, found) for h, (n, ic) in zip(horizons, line) if n]
+        head = session.select(list(keys)).slice(0, 1).take(pa.array([0] * len(made), pa.int64()))
+        rest = zip(*made) if made else [()] * 4
+        types = (pa.string(), pa.int32(), pa.int64(), pa.float64())
+        return pa.table([*head.columns, *(pa.array(list(c), t) for c, t in zip(rest, types))], names=[*keys, "signal", "horizon", "n", "ic"])
+
+    return lean.groupBy(*keys).applyInArrow(run, schema)
+
+
+def signal_ic_windows(df: DataFrame, signals: tuple[str, ...], horizons: tuple[int, ...], keys: tuple[str, ...] = ("symbol", "date"), least: int = 50) -> DataFrame:
+    """signal_ic by windows, for groups too large for one task: rows are copied once a signal and horizon, and then ranked."""
     long = df.select(
         *keys,
         F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("x")) for s in signals])).alias("s"),

@@ -1,7 +1,7 @@
 """Recurrences over a session, which windows cannot say: smoothing, filtering, pair positions.
 
 A session is one group; its rows are sorted inside. Callers select the columns that they need
-first, since a grouped map reads all it is given.
+first, since a grouped map reads all it is given. scans.py has the same with sessions cut into chunks.
 """
 
 from __future__ import annotations
@@ -40,14 +40,16 @@ def emas(df: DataFrame, values: dict[str, str], span: int, keys: tuple[str, ...]
     return _grouped(df, keys, ", ".join(f"{n} double" for n in values.values()), work)
 
 
-def kalman_levels(z: np.ndarray, dt: np.ndarray, q: float, r: float, dt0: float) -> tuple[np.ndarray, np.ndarray]:
-    """Level and velocity of a constant-velocity filter; the first value sets the state."""
+def kalman_levels(z: np.ndarray, dt: np.ndarray, q: float, r: float, dt0: float, state: tuple[float, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Level and velocity of a constant-velocity filter.
+
+    state is the level, the velocity and their covariances (xx, xv, vv) before; without it the first value sets it.
+    """
     n = len(z)
     level, speed = np.empty(n), np.empty(n)
-    x = v = 0.0
-    pxx, pxv, pvv = 1.0, 0.0, 1.0
+    x, v, pxx, pxv, pvv = state or (0.0, 0.0, 1.0, 0.0, 1.0)
     for i in range(n):
-        if i == 0:
+        if i == 0 and state is None:
             x = z[0]
         else:
             t = dt[i] if dt[i] > 0 else dt0

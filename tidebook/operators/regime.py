@@ -1,14 +1,17 @@
-"""Regimes of windows of packets, and mean-reverting pairs. All in DataFrame functions."""
+"""Regimes of windows of packets, and mean-reverting pairs. All in DataFrame functions but the rescaled range."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.columns import normal_cdf
 
+from .evaluation import at_ranks
+
 
 def blocks(df: DataFrame, size: int, least: int, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
     """df with `block` (number of its window) and `i` (place in it); a tail below `least` rows goes."""
@@ -29,25 +32,46 @@ def variance_ratio(df: DataFrame, keys: tuple[str, ...], q: int, price: str = "m
     return g.withColumn("vr", F.when((F.col("n") >= q + 1) & (F.col("_v") > 0), F.col("_vq") / (q * F.col("_v")))).drop("_v", "_vq")
 
 
-def hurst(df: DataFrame, keys: tuple[str, ...], price: str = "mid", least: int = 8, widest: int = 1 << 14) -> DataFrame:
-    """Rescaled-range exponent of the log price levels: window sizes double from `least` to n / 2."""
-    scales = [least << k for k in range(20) if least << k <= widest]
-    x = df.select(*keys, "i", F.ln(price).alias("_x"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
-    x = x.withColumn("w", F.explode(F.array(*[F.lit(s) for s in scales]))).filter((F.col("w") <= F.floor(F.col("_n") / 2)) & (F.col("_n") >= 2 * least))
-    x = x.withColumn("seg", F.floor(F.col("i") / F.col("w"))).filter(F.col("seg") < F.floor(F.col("_n") / F.col("w")))
-    seg = Window.partitionBy(*keys, "w", "seg")
-    x = x.withColumn("_z", F.col("_x") - F.avg("_x").over(seg))
-    x = x.withColumn("_c", F.sum("_z").over(seg.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    ratios = x.groupBy(*keys, "w", "seg").agg((F.max("_c") - F.min("_c")).alias("_r"), F.stddev_pop("_x").alias("_s")).filter("_s > 0")
-    means = ratios.groupBy(*keys, "w").agg(F.ln(F.avg(F.col("_r") / F.col("_s"))).alias("_y"))
-    fit = means.groupBy(*keys).agg(F.count("*").alias("_k"), F.regr_slope("_y", F.ln("w")).alias("hurst"))
-    return fit.select(*keys, F.when(F.col("_k") >= 2, F.col("hurst")).alias("hurst"))
+def rescaled_range(x: np.ndarray, least: int = 8) -> float | None:
+    """The exponent of one series: slope of the log mean range over deviation on the log of the window, windows doubling to n / 2."""
+    n = len(x)
+    widths, means = [], []
+    w = least
+    while w <= n // 2:
+        part = x[: n // w * w].reshape(-1, w)
+        walk = np.cumsum(part - part.mean(axis=1, keepdims=True), axis=1)
+        sd = part.std(axis=1)
+        some = sd > 0
+        if some.any():
+            widths.append(w)
+            means.append(((walk.max(axis=1) - walk.min(axis=1))[some] / sd[some]).mean())
+        w *= 2
+    if len(widths) < 2:
+        return None
+    return float(np.polyfit(np.log(widths), np.log(means), 1)[0])
+
+
+def hurst(df: DataFrame, keys: tuple[str, ...], price: str = "mid", least: int = 8) -> DataFrame:
+    """Rescaled-range exponent of the log price levels of each window of packets, at all scales up to half of it.
+
+    A window is one group: its prices are sent once, in any order.
+    """
+    import pyarrow as pa
+
+    lean = df.select(*keys, "i", F.ln(price).alias("_x"))
+    schema = ", ".join([*(f"`{k}` {lean.schema[k].dataType.simpleString()}" for k in keys), "hurst double"])
+
+    def run(window: pa.Table) -> pa.Table:
+        x = window.sort_by("i").column("_x").drop_null().to_numpy()
+        return pa.table([*window.select(list(keys)).slice(0, 1).columns, pa.array([rescaled_range(x, least)], pa.float64())], names=[*keys, "hurst"])
+
+    return lean.groupBy(*keys).applyInArrow(run, schema)
 
 
 def classify(df: DataFrame, keys: tuple[str, ...], q: int = 10, reverting: float = 0.7, trending: float = 1.5, price: str = "mid", with_hurst: bool = False) -> DataFrame:
     """keys, n, vr, drift_vol and regime of each window, `unknown` with too few rows; with_hurst adds hurst.
 
-    The exponent copies each row once a scale and doesn't decide the regime.
+    The exponent doesn't decide the regime.
     """
     v = variance_ratio(df, keys, q, price)
     if with_hurst:
@@ -87,11 +111,11 @@ def pair_screen(pairs: DataFrame, split: float = 0.6, window: int = 120, alpha:
     alpha). Pairs with fewer rows than `least` (of all, in, out) are left out.
     """
     keys = ("x", "y")
-    times = pairs.select(order).distinct()  # a row a time, as many as bars
-    ranked = times.select(order, F.percent_rank().over(Window.orderBy(order)).alias("_r"), F.count("*").over(Window.partitionBy()).alias("_n"))
-    # The first int(split x n) times: percent_rank is (place - 1) / (n - 1).
-    cut = ranked.filter(F.round(F.col("_r") * (F.col("_n") - 1)) < F.floor(F.col("_n") * split)).agg(F.max(order).alias("_cut"))
-    halves = pairs.crossJoin(F.broadcast(cut)).withColumn("half", F.when(F.col(order) <= F.col("_cut"), "in").otherwise("out")).drop("_cut")
+    micros = F.unix_micros(F.col(order).cast("timestamp"))
+    times = pairs.select(micros.alias("_at")).distinct().withColumn("_all", F.lit(1))  # a row a time, as many as bars
+    # The last of the first int(split x n) times; none where there are none.
+    cut = at_ranks(times, ("_all",), "_at", {"_cut": (split, lambda n: F.floor(n * split) - 1)}).select("_cut")
+    halves = pairs.withColumn("half", F.when(micros <= cut.scalar(), "in").otherwise("out"))
     by = (*keys, "half")
     fit = pair_fit(halves, by)
     test = dickey_fuller(spread(halves, by, fit), by, order).select(*by, "adf_p")

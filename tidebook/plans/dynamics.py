@@ -9,15 +9,20 @@ from tidebook.functions import columns as C
 from tidebook.operators import features as X
 from tidebook.operators import recurrences as R
 from tidebook.operators import regime as G
+from tidebook.operators import scans as S
 from tidebook.sources import views as V
 
 from .analytics import deflated_sql
-from .features import _A5, _A6, _BEFORE, _OFI, _RAW, _RESONANCE, _SUMS_W, KEYS, W, _z, leg_costs, resonances
+from .features import _A5, _A6, _BEFORE, _MICRO, _OFI, _RAW, _RESONANCE, _SUMS_W, KEYS, W, _flow, _lag, _z, leg_costs, resonances
 from . import normal as N
 from .registry import query, rounded, shown
 from .relations import mids
 
 
+#: Six hours, in microseconds: a session of the synthetic quotes lasts a day.
+CHUNK = 6 * 3600 * 1_000_000
+
+
 def ema_sql(source: str, value: str, alpha: float) -> str:
     """CTEs o, e: the exponential mean y of `value` over the sessions of `source`; weights decay over nulls."""
     a = f"{alpha!r}::DOUBLE"
@@ -31,7 +36,8 @@ def ema_sql(source: str, value: str, alpha: float) -> str:
 
 @query(V.with_views("clean") + ", m AS (SELECT *, (bid + ask) / 2 AS mid FROM clean), " + ema_sql("m", "mid", 2 / 33) + f" SELECT symbol, seq, {rounded('y AS ema', digits=7)} FROM e")
 def w6_ema(spark, d):
-    return shown(R.ema(mids(spark, d).select("symbol", "date", "ts", "seq", "mid"), "mid", "ema", alpha=2 / 33), KEYS, "ema", digits=7)
+    """By chunks of six hours of each session."""
+    return shown(S.ema_scan(mids(spark, d).select("symbol", "date", "ts", "seq", "mid"), "mid", "ema", 2 / 33, CHUNK), KEYS, "ema", digits=7)
 
 
 @query(V.with_views("book") + ", s AS (SELECT *, " + _SUMS_W[0] + " FROM book), k AS (SELECT *, " + _SUMS_W[1] + " AS brk FROM s), " + ema_sql("k", "brk", 0.05) + f" SELECT symbol, seq, {rounded('y AS a3_symmetry_break_ema', digits=5)} FROM e")
@@ -77,18 +83,38 @@ def p19_a7_smoothed(spark, d):
     return shown(R.ema(df, "a7_resonance", "a7_resonance_ema", alpha=0.1, keys=("date",)), ("seq",), "a7_resonance_ema", "a7_resonance_z", digits=4)
 
 
-@query()
+_P23 = ("micro_deviation", "obi_1", "ofi_l1", "spread", "tick_through")
+_P23_SQL = (
+    V.with_views("clean")
+    + f""", q AS (SELECT *, (bid + ask) / 2 AS mid, {_MICRO} AS micro_deviation, (bid_qty - ask_qty) / (bid_qty + ask_qty + 1e-9::DOUBLE) AS obi_1, ask - bid AS spread,
+        {", ".join(f"{_lag(c)} AS p_{c}" for c in ("bid", "bid_qty", "ask", "ask_qty"))}, row_number() OVER {W} AS rn FROM clean),
+    u AS (SELECT *, CASE WHEN rn = 1 THEN 0 ELSE {_flow("bid", "bid_qty", True)} - {_flow("ask", "ask_qty", False)} END AS ofi_l1, lead(mid, 10) OVER {W} / mid - 1 AS fwd,
+        mid - coalesce({_lag("mid")}, mid) AS mv FROM q),
+    s AS (SELECT *, CASE WHEN abs(mv) >= 2 * 0.05::DOUBLE THEN sign(mv)::DOUBLE ELSE 0.0 END AS tick_through FROM u),
+    x AS ({" UNION ALL ".join(f"SELECT symbol, date, '{g}' AS signal, {g}::DOUBLE AS x, fwd AS y FROM s WHERE fwd IS NOT NULL" for g in _P23)}),
+    r AS (SELECT symbol, date, signal, rank() OVER (PARTITION BY symbol, date, signal ORDER BY x) + (count(*) OVER (PARTITION BY symbol, date, signal, x) - 1) / 2 AS rx,
+        rank() OVER (PARTITION BY symbol, date, signal ORDER BY y) + (count(*) OVER (PARTITION BY symbol, date, signal, y) - 1) / 2 AS ry FROM x),
+    ic AS (SELECT signal, CASE WHEN count(*) >= 20 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS ic FROM r GROUP BY symbol, date, signal),
+    b AS (SELECT signal FROM ic WHERE ic IS NOT NULL GROUP BY signal ORDER BY abs(avg(ic) / (stddev_samp(ic) + 1e-9::DOUBLE)) DESC NULLS LAST, signal LIMIT 3),
+    c AS (SELECT symbol, date, ts, seq, ({" + ".join(f"CASE WHEN '{g}' IN (SELECT signal FROM b) THEN {_z(g + '::DOUBLE', 100, 20)} ELSE 0 END" for g in _P23)}) / greatest((SELECT count(*) FROM b), 1) AS raw FROM s), """
+    + ema_sql("c", "raw", 2 / 101)
+)
+
+
+@query(_P23_SQL + f" SELECT symbol, seq, {rounded('y AS data_driven_eq', digits=4)} FROM e")
 def p23_data_driven_composite(spark, d):
-    """The mean z of the three signals with the greatest information ratio at ten packets, smoothed."""
+    """The mean z of the three signals with the greatest information ratio at ten packets, smoothed.
+
+    Which they are is a scalar subquery of the plan.
+    """
     from tidebook.operators import evaluation as E
 
-    q = X.stability(X.tick_through(X.forward(X.flow_first(X.microprice(mids(spark, d))), (10,))))
-    names = ("micro_deviation", "obi_1", "ofi_l1", "tick_through", "spread")
-    summary = E.ic_summary(E.signal_ic(q, names, (10,), least=20))
-    best = [r[0] for r in summary.orderBy(F.desc_nulls_last(F.abs("icir")), "signal").limit(3).collect()]  # names of columns
-    w = C.session()
-    z = sum((C.zscore(F.col(c).cast("double"), w, 100, 20) for c in best), F.lit(0.0)) / max(1, len(best))
-    df = q.withColumn("raw", z).select("symbol", "date", "ts", "seq", "raw")
+    q = X.tick_through(X.forward(X.flow_first(X.microprice(mids(spark, d))), (10,)))
+    summary = E.ic_summary(E.signal_ic(q, _P23, (10,), least=20))
+    best = summary.orderBy(F.desc_nulls_last(F.abs("icir")), "signal").limit(3).agg(F.collect_list("signal"))
+    w, top = C.session(), F.col("_top")
+    z = sum((F.when(F.array_contains(top, c), C.zscore(F.col(c).cast("double"), w, 100, 20)).otherwise(0.0) for c in _P23), F.lit(0.0))
+    df = q.withColumn("_top", best.scalar()).withColumn("raw", z / F.greatest(F.size(top), F.lit(1))).select("symbol", "date", "ts", "seq", "raw")
     return shown(R.ema(df, "raw", "data_driven_eq", span=100), KEYS, "data_driven_eq", digits=4)
 
 
@@ -111,7 +137,8 @@ _KF = """, o AS (SELECT symbol, date, seq, mid AS z, row_number() OVER (PARTITIO
 
 @query(V.with_views("clean") + _KF + f" SELECT symbol, seq, {rounded('x AS kf_level', 'v AS kf_velocity', digits=4)} FROM p")
 def u11_kalman(spark, d):
-    return shown(R.kalman(mids(spark, d).select("symbol", "date", "ts", "seq", "mid")), KEYS, "kf_level", "kf_velocity", digits=4)
+    """By chunks of six hours of each session."""
+    return shown(S.kalman_scan(mids(spark, d).select("symbol", "date", "ts", "seq", "mid"), CHUNK), KEYS, "kf_level", "kf_velocity", digits=4)
 
 
 def _windows(spark, d):
