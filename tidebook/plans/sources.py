@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebook.sources import depth as D
 from tidebook.sources import logs as L
+from tidebook.sources import packets as P
 from tidebook.sources import sinks as K
 from tidebook.sources import views as V
 from tidebook.sources.shared import shared_folder
@@ -144,3 +145,40 @@ def s15_unresolved_ids(spark, d):
     used = V.load(spark, d, "lineitem").filter("l_quantity > 49 AND l_linenumber = 1").select(F.col("l_suppkey").alias("s_suppkey"))
     found = V.load(spark, d, "supplier").join(used, "s_suppkey", "left_semi").select(F.col("s_name").alias("symbol"))
     return L.unresolved(V.load(spark, d, "supplier").select(F.col("s_name").alias("symbol")), found)
+
+
+def _frames(spark, d):
+    """Each event as a depth packet of its symbol; every 50th frame is cut short, every 70th says a wrong length."""
+    steps = lambda f: F.transform(F.sequence(F.lit(1), F.lit(20)), f)
+    t = V.ticks(spark, d).select(
+        "symbol",
+        "seq",
+        F.when(F.col("k") % 2 == 0, 41).otherwise(51).alias("code"),
+        F.lit(2).alias("segment"),
+        (1000 + F.col("user_id")).cast("int").alias("security_id"),
+        F.col("seq").alias("sequence"),
+        steps(lambda i: F.col("mid") - 0.05 * i).alias("price"),
+        steps(lambda i: 100 * (1 + (F.col("k") + i) % 7)).alias("qty"),
+        steps(lambda i: 1 + (F.col("user_id") + i) % 5).alias("orders"),
+    )
+    whole = P.depth_frames(t).select("symbol", "seq", "frame")
+    two = F.concat("frame", F.substring("frame", 1, 332))  # the packet twice
+    cut = F.when(F.col("seq") % 50 == 0, F.expr("substring(frame, 1, 328)")).when(F.col("seq") % 70 == 0, F.concat(F.unhex(F.lit("4B01")), F.expr("substring(frame, 3)")))
+    return whole.withColumn("frame", F.coalesce(cut, F.when(F.col("seq") % 3 == 0, two).otherwise(F.col("frame"))))
+
+
+@query(
+    V.with_views("ticks")
+    + f""", g AS (SELECT *, CASE WHEN seq % 50 = 0 THEN 'length 332 of code ' || CASE WHEN k % 2 = 0 THEN 41 ELSE 51 END || ' with 328 bytes left'
+          WHEN seq % 70 = 0 THEN 'length 331 of code ' || CASE WHEN k % 2 = 0 THEN 41 ELSE 51 END || ' with 332 bytes left' END AS error FROM ticks)
+    SELECT symbol, seq, CASE WHEN error IS NULL THEN CASE WHEN k % 2 = 0 THEN 'bid' ELSE 'ask' END END AS kind, CASE WHEN error IS NULL THEN 1000 + user_id END AS security_id, CASE WHEN error IS NULL THEN 'NSE_FNO' END AS segment,
+        CASE WHEN error IS NULL THEN seq END AS sequence, CASE WHEN error IS NULL THEN list_sum(list_transform(range(1, 21), lambda i: 100 * (1 + (k + i) % 7)))::BIGINT END AS qty,
+        CASE WHEN error IS NULL THEN list_sum(list_transform(range(1, 21), lambda i: 1 + (user_id + i) % 5))::BIGINT END AS orders, error,
+        {rounded("CASE WHEN error IS NULL THEN mid - 0.05::DOUBLE END AS first_price", "CASE WHEN error IS NULL THEN mid - 0.05::DOUBLE * 20 END AS last_price")}
+    FROM g, range(CASE WHEN error IS NULL AND seq % 3 = 0 THEN 2 ELSE 1 END)"""
+)
+def s18_wire_decode(spark, d):
+    """Frames packed from the events and read again, beside those that can't be read with what is wrong with them."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    p = P.decoded(_frames(spark, d)).withColumns({"first_price": F.col("price")[0], "last_price": F.col("price")[19], "qty": total("qty"), "orders": total("orders")})
+    return shown(p, ("symbol", "seq", "kind", "security_id", "segment", "sequence", "qty", "orders", "error"), "first_price", "last_price")
