@@ -427,17 +427,6 @@ def g26_normal_plot(spark, d):
     return shown(q.groupBy("symbol", "date").agg(F.count("*").alias("n"), F.regr_slope("x", "q").alias("slope"), F.regr_intercept("x", "q").alias("intercept"), F.regr_r2("x", "q").alias("r2")), ("symbol", "date", "n"), "slope", "intercept", "r2", digits=4)
 
 
-@query(
-    T
-    + f""", o AS (SELECT arm, order_key % 7 = 0 AS open, net_pnl FROM trades) SELECT arm, count(*) AS trades, count(CASE WHEN open THEN 1 END) AS open_positions, {rounded("sum(CASE WHEN open THEN 0 ELSE net_pnl END) AS realized", "sum(CASE WHEN open THEN net_pnl ELSE 0 END) AS unrealized", digits=2)} FROM o GROUP BY arm"""
-)
-def g29_telemetry_totals(spark, d):
-    """Totals as the live snapshot tells them; a trade of an order in seven counts as still open."""
-    t = V.trades(spark, d).withColumn("open", F.col("order_key") % 7 == 0)
-    g = t.groupBy("arm").agg(F.count("*").alias("trades"), F.count_if("open").alias("open_positions"), F.sum(F.when(F.col("open"), 0.0).otherwise(F.col("net_pnl"))).alias("realized"), F.sum(F.when(F.col("open"), F.col("net_pnl")).otherwise(0.0)).alias("unrealized"))
-    return shown(g, ("arm", "trades", "open_positions"), "realized", "unrealized", digits=2)
-
-
 @query(T + """, m AS (SELECT arm, to_json({'n': count(*), 'wins': count(CASE WHEN net_pnl > 0 THEN 1 END)}) AS j FROM trades GROUP BY arm) SELECT arm, CAST(json_extract(j, '$.n') AS BIGINT) AS n, CAST(json_extract(j, '$.wins') AS BIGINT) AS wins FROM m""")
 def s22_report_json(spark, d):
     """Report rows through JSON and back, as the monitor reads them."""

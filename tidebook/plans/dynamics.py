@@ -15,7 +15,7 @@ from tidebook.sources import views as V
 from .analytics import deflated_sql
 from .features import _A5, _A6, _BEFORE, _MICRO, _OFI, _RAW, _RESONANCE, _SUMS_W, KEYS, W, _flow, _lag, _z, leg_costs, resonances
 from . import normal as N
-from .registry import query, rounded, shown
+from .registry import ORACLE, query, rounded, shown
 from .relations import mids
 
 
@@ -59,13 +59,14 @@ def p20_composite(spark, d):
 _MB = "(bid_price[1] * ask_qty[1] + ask_price[1] * bid_qty[1]) / (bid_qty[1] + ask_qty[1] + 1e-9::DOUBLE) - (bid_price[1] + ask_price[1]) / 2"
 
 
-@query(
+_FLOW_RAW = (
     V.with_views("book")
     + f", {_A5}, {_A6}, l AS (SELECT *, {_BEFORE}, row_number() OVER {W} AS rn FROM a6), f AS (SELECT *, CASE WHEN rn = 1 THEN 0 ELSE {_OFI} END AS ofi, {_MB} AS md FROM l),"
-    + f" c AS (SELECT * EXCLUDE (rn), 3 * ({_z('md', 100, 20)}) + {_z('ofi', 100, 20)} + {_z('va6', 100, 20)} - {_z('vb6', 100, 20)} AS raw FROM f), "
-    + ema_sql("c", "raw", 2 / 101)
-    + f" SELECT symbol, seq, {rounded('y AS flow_eq', digits=4)} FROM e"
+    + f" c AS (SELECT * EXCLUDE (rn), 3 * ({_z('md', 100, 20)}) + {_z('ofi', 100, 20)} + {_z('va6', 100, 20)} - {_z('vb6', 100, 20)} AS raw FROM f)"
 )
+
+
+@query(_FLOW_RAW + ", " + ema_sql("c", "raw", 2 / 101) + f" SELECT symbol, seq, {rounded('y AS flow_eq', digits=4)} FROM e")
 def p22_flow_composite(spark, d):
     df = X.flow_composite(X.flow_levels(X.microprice(_book_features(spark, d)))).select("symbol", "date", "ts", "seq", "flow_raw")
     return shown(R.ema(df, "flow_raw", "flow_eq", span=100), KEYS, "flow_eq", digits=4)
@@ -118,14 +119,38 @@ def p23_data_driven_composite(spark, d):
     return shown(R.ema(df, "raw", "data_driven_eq", span=100), KEYS, "data_driven_eq", digits=4)
 
 
-@query()
+def _p24_sql() -> str:
+    """The features' own SQL, row by row beside each other."""
+    parts = {
+        "p5_a1_gradient": ("a1_asymmetry",),
+        "p6_a2_fragmentation": ("a2_bid_fragmentation",),
+        "p8_a3_symmetry": ("a3_symmetry_break",),
+        "p9_a4_centre_of_gravity": ("a4_cog_divergence",),
+        "p11_a5_activation": ("a5_condensation_signal",),
+        "p12_a6_impact_depth": ("a6_ask_shallowing",),
+        "p15_flow_levels": ("ofi_ml",),
+        "p21_composite_raw": ("composite_raw",),
+        "p20_composite": ("composite_eq",),
+        "p22_flow_composite": ("flow_eq",),
+    }
+    sql = {name: ORACLE[name] for name in parts}
+    sql["micro"] = V.with_views("book") + f" SELECT symbol, seq, {rounded(_MB + ' AS micro_deviation')} FROM book"
+    sql["raw"] = _FLOW_RAW + f" SELECT symbol, seq, {rounded('raw AS flow_raw', digits=4)} FROM c"
+    columns = [c for cs in parts.values() for c in cs] + ["micro_deviation", "flow_raw"]
+    first, *rest = (f"({text}) t{i}" for i, text in enumerate(sql.values()))
+    return f"SELECT symbol, seq, {', '.join(columns)} FROM {first}" + "".join(f" JOIN {t} USING (symbol, seq)" for t in rest)
+
+
+@query(_p24_sql())
 def p24_feature_pipeline(spark, d):
     """Every book feature in order, both composites smoothed in one grouped map."""
     df = X.centre_of_gravity(X.symmetry(X.fragmentation(X.gradient(_book_features(spark, d)))))
     df = X.flow_composite(X.composite(X.flow_levels(X.microprice(df))))
-    names = ["a1_asymmetry", "a2_bid_fragmentation", "a3_symmetry_break", "a4_cog_divergence", "a5_condensation_signal", "a6_ask_shallowing", "micro_deviation", "ofi_ml", "composite_raw", "flow_raw"]
-    df = R.emas(df.select("symbol", "date", "ts", "seq", *names), {"composite_raw": "composite_eq", "flow_raw": "flow_eq"}, span=100)
-    return shown(df, KEYS, *names, "composite_eq", "flow_eq", digits=4)
+    plain = ["a1_asymmetry", "a2_bid_fragmentation", "a3_symmetry_break", "a4_cog_divergence", "micro_deviation", "ofi_ml"]
+    whole, smooth = ["a5_condensation_signal", "a6_ask_shallowing"], ["composite_raw", "flow_raw"]
+    df = R.emas(df.select("symbol", "date", "ts", "seq", *plain, *whole, *smooth), {"composite_raw": "composite_eq", "flow_raw": "flow_eq"}, span=100)
+    df = shown(df, (*KEYS, *whole, *smooth, "composite_eq", "flow_eq"), *plain)
+    return shown(df, (*KEYS, *whole, *plain), *smooth, "composite_eq", "flow_eq", digits=4)
 
 
 _KF = """, o AS (SELECT symbol, date, seq, mid AS z, row_number() OVER (PARTITION BY symbol, date ORDER BY ts, seq) AS rn FROM (SELECT *, (bid + ask) / 2 AS mid FROM clean)),

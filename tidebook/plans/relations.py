@@ -286,14 +286,6 @@ def o8_first_and_last(spark, d):
     return V.load(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", at).alias("first_order"), F.max_by("o_orderkey", at).alias("last_order"))
 
 
-@query(f"WITH {_ARMS}, u AS (SELECT arm, unnest(universe) AS symbol, generate_subscripts(universe, 1) AS i FROM arms), p AS (SELECT symbol, min((CASE arm WHEN 'control' THEN 0 WHEN 'expanded' THEN 1 ELSE 2 END) * 100 + i) AS pos FROM u GROUP BY symbol) SELECT symbol, row_number() OVER (ORDER BY pos) AS place FROM p")
-def o9_ordered_union(spark, d):
-    """Symbols of all arms in the order in which they are first named."""
-    arms = spark.createDataFrame([(i, a, u) for i, (a, u) in enumerate(ARMS)], "i int, arm string, universe array<string>")
-    first = arms.select("i", F.posexplode("universe").alias("j", "symbol")).groupBy("symbol").agg(F.min(F.struct("i", "j")).alias("at"))
-    return first.select("symbol", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
-
-
 @query("SELECT 'both' AS part, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers only', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0) UNION ALL SELECT 'any', count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)")
 def o10_set_operations(spark, d):
     c, s = V.load(spark, d, "customer").select("c_nationkey"), V.load(spark, d, "supplier")
