@@ -43,8 +43,72 @@ def _exponent(x: np.ndarray) -> np.ndarray:
     return np.exp(x - x.max(axis=1, keepdims=True))
 
 
+#: Sequences of more than LONG tokens are worked on in chunks of CHUNK tokens, side by side.
+LONG, CHUNK = 4096, 256
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+
+def long_forward_backward(scores: np.ndarray, transitions: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """Label probabilities of one long sequence, exact: what each chunk does to the forward and backward values is one
+    matrix, a product over its tokens; carried from chunk to chunk these give the values at the chunks' ends, and
+    then all chunks are gone through side by side."""
+    n, labels = scores.shape
+    chunks, tail = -(-n // chunk), n % chunk or chunk
+    p = np.ones((chunks * chunk, labels))
+    p[:n] = _exponent(scores)
+    p = p.reshape(chunks, chunk, labels)
+    move = np.exp(transitions)
+    does = np.broadcast_to(np.eye(labels), (chunks, labels, labels))
+    for k in range(chunk):
+        on = chunks if k < tail else chunks - 1  # only the last chunk may be shorter
+        does = np.concatenate([_scaled((does[:on] @ move) * p[:on, k, None, :]), does[on:]])
+    # Values before each chunk, and after it. The sequence's first token has none before it.
+    first = p[0, 0]
+    for k in range(1, chunk if chunks > 1 else tail):
+        first = (first @ move) * p[0, k]
+        first = first / first.sum()
+    before, after = np.ones((chunks, labels)), np.ones((chunks, labels))
+    end = first
+    for c in range(1, chunks):
+        before[c] = end
+        end = end @ does[c]
+        end = end / end.sum()
+    for c in range(chunks - 2, -1, -1):
+        b = does[c + 1] @ after[c + 1]
+        after[c] = b / b.sum()
+    del does
+    out = np.empty_like(p)
+    a = before @ move
+    a[0] = 1.0
+    for k in range(chunk):
+        a = _scaled(a * p[:, k])
+        out[:, k] = a
+        a = a @ move
+    b = after
+    for k in range(chunk - 1, -1, -1):
+        on = slice(None) if k < tail else slice(0, chunks - 1)
+        out[on, k] *= b[on]
+        if k:
+            b[on] = _scaled((p[on, k] * b[on]) @ move.T)
+    out = out.reshape(-1, labels)[:n]
+    out /= out.sum(axis=1, keepdims=True)
+    return out
+
+
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
     """Label probabilities of each token; with pairs also the expected count of each transition."""
+    lengths = np.asarray(lengths, np.int64)
+    if not pairs and len(lengths) and lengths.max() > LONG:
+        ends = np.cumsum(lengths)
+        long_ = np.repeat(lengths > LONG, lengths)
+        out = np.empty((len(scores), len(transitions)))
+        out[~long_] = forward_backward(scores[~long_], lengths[lengths <= LONG], transitions)
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            out[ends[k] - lengths[k] : ends[k]] = long_forward_backward(scores[ends[k] - lengths[k] : ends[k]].astype(np.float64), transitions)
+        return out
     steps = Steps(lengths)
     p = np.empty_like(scores, dtype=np.float64)
     p[steps.at] = _exponent(scores.astype(np.float64))
