@@ -16,6 +16,7 @@ import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -234,6 +235,26 @@ def fit(texts: list[str], width: int = WIDTH, rounds: int = ROUNDS) -> Model | N
     return Model(weights.astype(np.float32), moves)
 
 
+def surely_outside(scores: np.ndarray, lasts: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Tokens that are outside in every best labelling. lasts: the places of the sequences' last tokens.
+
+    Were such a token in a secret, calling it outside, and the next token, if it is inside, a beginning, would score more:
+    the token's own margin is more than all that the moves around it and the next token's change can take away.
+    """
+    none, labels = -1, (OUTSIDE, BEGIN, INSIDE)
+    move = lambda a, b: 0.0 if none in (a, b) else float(moves[a, b])
+    most = -np.inf
+    for a, y, c in product((none, *labels), (BEGIN, INSIDE), (none, *labels)):
+        changed = BEGIN if c == INSIDE else c
+        for d in (none,) if c == none else (none, *labels):
+            most = max(most, move(a, y) + move(y, c) + move(c, d) - move(a, OUTSIDE) - move(OUTSIDE, changed) - move(changed, d))
+    margin = scores[:, OUTSIDE] - np.maximum(scores[:, BEGIN], scores[:, INSIDE])
+    change = np.zeros(len(scores))
+    change[:-1] = np.maximum(scores[1:, INSIDE] - scores[1:, BEGIN], 0.0)
+    change[lasts] = 0.0
+    return margin > most + change + 1e-6
+
+
 class Tagger:
     """Spans that the field finds in whole texts."""
 
@@ -259,18 +280,21 @@ class Tagger:
         width, moves = len(self.model.weights), self.model.moves
         some = np.flatnonzero(lengths)
         scores += np.repeat(np.array([self.model.weights[crf.hashed(file_features(texts[k]), width)].sum(axis=0) for k in some]), lengths[some], axis=0)
-        # A run inside a secret gains at most `gain` at each move. Where every token prefers
-        # outside by more than two gains, no run can pay, and the best labels are all outside.
-        gain = float(moves.max() - moves[OUTSIDE, OUTSIDE])
-        margin = scores[:, OUTSIDE] - np.maximum(scores[:, BEGIN], scores[:, INSIDE])
-        open_ = some[np.minimum.reduceat(margin, firsts) <= 2 * max(gain, 0.0)]
-        if not len(open_):
-            return out
-        kept_ = np.zeros(len(texts), bool)
-        kept_[open_] = True
+        # Only stretches between tokens that are outside in every best labelling are decoded.
+        sure = surely_outside(scores, lasts, moves)
         tags = np.zeros(len(flat), np.int8)
-        on = np.repeat(kept_, lengths)
-        tags[on] = crf.viterbi(scores[on], lengths[open_], moves)
+        needed = ~sure
+        inner = np.ones(len(flat), bool)
+        inner[firsts] = False  # tokens that have one before them in their text
+        needed[:-1] |= ~sure[1:] & inner[1:]
+        needed[1:] |= ~sure[:-1] & inner[1:]
+        at = np.flatnonzero(needed)
+        if not len(at):
+            return out
+        stretch = scores[at]
+        stretch[sure[at], BEGIN] = stretch[sure[at], INSIDE] = -1e9
+        begins = np.append(True, (np.diff(at) > 1) | ~inner[at[1:]])
+        tags[at] = crf.viterbi(stretch, np.diff(np.append(np.flatnonzero(begins), len(at))), moves)
         for k in np.flatnonzero(np.bincount(np.repeat(np.arange(len(texts)), lengths), tags != OUTSIDE, len(texts))).tolist():
             own_tags = tags[ends[k] - lengths[k] : ends[k]].tolist()
             for m, tag in zip(TOKEN.finditer(texts[k]), own_tags):
