@@ -8,6 +8,8 @@ length, or when more than `chunk_share` of its bytes lie in chunks that leave th
 
 from __future__ import annotations
 
+import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, pieces, texts_of
+from .common import SPACES, pieces, slices, texts_of
 from .memo import release
 
 #: (bytes below which the row holds, least ratio, greatest ratio). Short texts hardly
@@ -32,6 +34,9 @@ BANDS = (
 CHUNK = 4096
 CHUNK_SHARE = 0.3
 LEVEL = 3
+#: Bytes of a text from which its windows are numbers, not tuples of words.
+LONG = 1 << 19
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
@@ -62,16 +67,54 @@ def repeat_words(words: list) -> int:
     return int(marked.sum())
 
 
+def _runs_again(key: np.ndarray) -> np.ndarray:
+    """Which values occur twice or more."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    same = np.append(ordered[1:] == ordered[:-1], False)
+    same[1:] |= same[:-1]
+    out = np.zeros(len(key), bool)
+    out[order[same]] = True
+    return out
+
+
+def long_repeat_words(data: bytes) -> tuple[int, int]:
+    """(words, repeat_words) of a long UTF-8 text: a number for each word, and windows as numbers of pairs and words."""
+    ids: dict[bytes, int] = {}
+    parts = [np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)) for words in (part.split() for part in slices(data, _SPACE))]
+    at = np.concatenate(parts)
+    n, kinds = len(at), len(ids)
+    if n < 4:
+        return n, 0
+    pair = np.unique(at[:-1] * kinds + at[1:], return_inverse=True)[1]
+    again = _runs_again(pair[:-1] * kinds + at[2:])
+    marked = np.zeros(n, bool)
+    for k in range(3):
+        marked[k : k + len(again)] |= again
+    return n, int(marked.sum())
+
+
+def dup_lines(data: bytes) -> int:
+    """Lines with a word that equal an earlier line."""
+    seen: set[bytes] = set()
+    lines = 0
+    for line in io.BytesIO(data):
+        if line.strip():
+            lines += 1
+            seen.add(line.rstrip(b"\n"))
+    return lines - len(seen)
+
+
 def measure(text: str, squeeze, bands=BANDS, chunk=CHUNK, chunk_share=CHUNK_SHARE) -> tuple:
     """The counts and the verdict of one text, in the order of SCHEMA after doc_id."""
     data = text.encode("utf-8", "surrogatepass")
-    words = data.split()
-    n = len(words)
+    if len(data) > LONG:
+        n, repeated = long_repeat_words(data)
+    else:
+        words = data.split()
+        n, repeated = len(words), repeat_words(words)
     word_chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, "#*$%&|<>"))
-    lines = [line for line in data.split(b"\n") if line.strip()]
-    dup_lines = len(lines) - len(set(lines))
-    repeated = repeat_words(words)
     failed = n < 50 or 100 * repeated > 50 * n
     ratio, share = 0.0, 0.0
     if data:
@@ -85,7 +128,7 @@ def measure(text: str, squeeze, bands=BANDS, chunk=CHUNK, chunk_share=CHUNK_SHAR
         share = bad / len(data)
     low, high = _band(len(data), bands)
     kept = not failed and low <= ratio <= high and share <= chunk_share
-    return n, word_chars, symbols, dup_lines, repeated, failed, kept, ratio, share
+    return n, word_chars, symbols, dup_lines(data), repeated, failed, kept, ratio, share
 
 
 def quality_rules(
@@ -99,8 +142,9 @@ def quality_rules(
 ) -> DataFrame:
     """One row per document: word and repetition counts, the ratios and `kept`.
 
-    Null texts count as empty, have no words and fail. Repeated rows give a row each; a null id
-    stays null; other columns are not read. An empty table gives no rows. Narrow: no shuffle.
+    Null texts count as empty, have no words and fail. Repeated rows, and texts that tie in all measures, give a row each; a null id
+    stays null; other columns are not read. An empty table gives no rows. Narrow: no shuffle. A very long text is
+    measured whole by one task, in some 15 bytes a byte at most beside it (words as numbers).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
