@@ -326,28 +326,34 @@ def pbo(matrix: DataFrame, arm: str = "arm", day: str = "day", value: str = "pnl
     return ranked.withColumn("logit", logit).agg(F.avg(F.when(F.col("logit") <= 0, 1.0).otherwise(0.0)).alias("pbo"), F.count("*").alias("n_splits"), F.median("logit").alias("median_logit"))
 
 
-def autocorrelation(df: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], lags: int) -> DataFrame:
-    """rho by keys and lag 1..lags, about the mean of the whole series; 0 without variance or rows."""
+def autocorrelation(df: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], lags: int, most: Callable[[Column], Column] | None = None) -> DataFrame:
+    """rho by keys and lag 1..lags, about the mean of the whole series; 0 without variance or rows.
+
+    most tells the last lag of a series from its number of rows, where that is less than lags.
+    """
     w = Window.partitionBy(*keys)
     d = df.withColumn("_d", F.col(value) - F.avg(value).over(w))
     ordered = w.orderBy(*order)
     # One window for all lags: the values ahead as an array.
-    d = d.withColumn("_ahead", F.collect_list("_d").over(ordered.rowsBetween(1, lags)))
+    ahead = F.collect_list("_d").over(ordered.rowsBetween(1, lags))
+    d = d.withColumn("_ahead", ahead if most is None else F.slice(ahead, F.lit(1), F.greatest(most(F.count(value).over(w)), F.lit(0)).cast("int")))
     d = d.select(*keys, "_d", F.posexplode_outer("_ahead").alias("_i", "_x"))
     var = df.groupBy(*keys).agg(F.count(value).alias("n"), F.var_pop(value).alias("_v"))
     sums = d.filter("_i IS NOT NULL").groupBy(*keys, (F.col("_i") + 1).alias("lag")).agg(F.sum(F.col("_d") * F.col("_x")).alias("_s"))
     return var.join(sums, list(keys)).select(*keys, "lag", "n", F.when(F.col("_v") > 0, F.col("_s") / (F.col("n") * F.col("_v"))).otherwise(0.0).alias("rho"))
 
 
+LAGS = 180
+
+
 def effective_size(df: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """n / (1 + 2 sum of autocorrelations), the sum ending before the first that isn't positive.
 
-    Lags go up to the lesser of n - 1 and int(10 log10 n) + 20; the longest series of all tells how many
-    are worked out (a number that grows by ten when series grow tenfold).
+    Lags go up to the lesser of n - 1 and int(10 log10 n) + 20, which LAGS bounds for series of up to 10 ** 16 rows.
     """
-    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    rho = autocorrelation(df, value, keys, order, max(1, min(longest - 1, int(10 * math.log10(longest)) + 20)))
-    rho = rho.filter(F.col("lag") <= F.least(F.col("n") - 1, F.floor(10 * F.log10("n")) + 20))
+    last = lambda n: F.least(n - 1, F.floor(10 * F.log10(F.greatest(n, F.lit(1)))) + 20)
+    rho = autocorrelation(df, value, keys, order, LAGS, last)
+    rho = rho.filter(F.col("lag") <= last(F.col("n")))
     ended = F.max(F.when(F.col("rho") <= 0, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0))
     total = rho.withColumn("_ended", ended).groupBy(*keys).agg(F.sum(F.when(F.col("_ended") == 0, F.col("rho")).otherwise(0.0)).alias("_s"))
     n = df.groupBy(*keys).agg(F.count(value).alias("n"))

@@ -263,7 +263,7 @@ def g24_depth_profile(spark, d):
 def g25_log_normal_spread(spark, d):
     l = mids(spark, d).filter("spread > 0").select("symbol", F.ln("spread").alias("x"))  # noqa: E741
     f = l.groupBy("symbol").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sigma"))
-    j = l.join(F.broadcast(f), "symbol").groupBy("symbol", "mu", "sigma").agg(F.avg(F.when(F.abs(F.try_divide(F.col("x") - F.col("mu"), F.col("sigma"))) > 2, 1.0).otherwise(0.0)).alias("beyond_two"))
+    j = l.join(f, "symbol").groupBy("symbol", "mu", "sigma").agg(F.avg(F.when(F.abs(F.try_divide(F.col("x") - F.col("mu"), F.col("sigma"))) > 2, 1.0).otherwise(0.0)).alias("beyond_two"))
     return shown(j, ("symbol",), "mu", "sigma", "beyond_two", digits=5)
 
 

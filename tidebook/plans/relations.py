@@ -93,7 +93,7 @@ def j5_clean_days(spark, d):
     SELECT arm, day, coalesce(pnl, 0.0) AS pnl FROM days CROSS JOIN arms LEFT JOIN (SELECT * FROM daily WHERE day[7:7] <> '3') USING (arm, day)""")
 def j6_calendar(spark, d):
     day = V.daily(spark, d)
-    grid = day.select("day").distinct().join(F.broadcast(day.select("arm").distinct()))
+    grid = day.select("day").distinct().crossJoin(day.select("arm").distinct())
     return grid.join(day.filter(F.substring("day", 7, 1) != "3"), ["arm", "day"], "left").select("arm", "day", F.coalesce("pnl", F.lit(0.0)).alias("pnl"))
 
 
@@ -117,7 +117,7 @@ def j8_pair_overlap(spark, d):
 @query(V.with_views("ticks") + " SELECT a.symbol AS x, b.symbol AS y FROM (SELECT DISTINCT symbol FROM ticks) a JOIN (SELECT DISTINCT symbol FROM ticks) b ON a.symbol < b.symbol")
 def j9_symbol_pairs(spark, d):
     s = V.ticks(spark, d).select("symbol").distinct()
-    return s.select(F.col("symbol").alias("x")).join(F.broadcast(s.select(F.col("symbol").alias("y"))), F.expr("x < y"))
+    return s.select(F.col("symbol").alias("x")).join(s.select(F.col("symbol").alias("y")), F.expr("x < y"))
 
 
 _SPLIT = """, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY hour) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM bars)"""
@@ -149,7 +149,7 @@ _ARMS = "arms AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {u})" for a, u i
 def j13_fan_out(spark, d):
     """Packets to the arms that trade their symbol; the arms are a fixed list."""
     arms = spark.createDataFrame(ARMS, "arm string, universe array<string>").select("arm", F.explode("universe").alias("symbol"))
-    return V.clean(V.quotes(spark, d)).join(F.broadcast(arms), "symbol").groupBy("arm", "symbol").agg(F.count("*").alias("n_packets"))
+    return V.clean(V.quotes(spark, d)).join(arms, "symbol").groupBy("arm", "symbol").agg(F.count("*").alias("n_packets"))
 
 
 @query(V.with_views("ticks") + """, o AS (SELECT symbol, date, seq, CASE WHEN k % 3 = 0 THEN 'ask' ELSE 'bid' END AS side, row_number() OVER (PARTITION BY symbol, date ORDER BY ts, seq) AS rn FROM ticks),

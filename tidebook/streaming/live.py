@@ -24,8 +24,8 @@ def bar_stream(ticks: DataFrame, width: str = "1 hour", late: str = "0 seconds")
 
 
 def fan_out(packets: DataFrame, arms: DataFrame) -> DataFrame:
-    """Packets to each arm that trades their symbol; arms(arm, symbol) is small and static."""
-    return packets.join(F.broadcast(arms), "symbol")
+    """Packets to each arm that trades their symbol; arms(arm, symbol) is static, and sent to all tasks only if it turns out small."""
+    return packets.join(arms, "symbol")
 
 
 def pair_stream(messages: DataFrame, key: str = "symbol") -> DataFrame:
