@@ -78,6 +78,15 @@ def test_search_on_hard_rows(spark, hard, none):
     assert lexical.rank_documents(hard, asked.limit(0)).count() == 0
 
 
+def test_counts_are_packed_by_row():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(1, 9, 300)
+    tf = rng.choice([1, 2, 255, 256, 70_000, 3_000_000_000], int(rows.sum()), p=[0.6, 0.2, 0.1, 0.05, 0.03, 0.02])
+    packed = lexical._counts(tf, np.concatenate([[0], np.cumsum(rows)]))
+    assert lexical._flat_counts(packed, rows).tolist() == tf.tolist()
+    assert sum(len(x) for x in packed.to_pylist()) < 4 * len(tf)
+
+
 def test_bitwise_addition_and_descent():
     rng = np.random.default_rng(3)
     for n in (1, 63, 64, 200):

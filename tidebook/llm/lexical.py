@@ -53,6 +53,26 @@ def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join([x or b"" for x in column.to_pylist()]), kind), sizes // np.dtype(kind).itemsize
 
 
+def _counts(tf: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Counts cut at row ends, a byte each in rows where all are below 256, else four."""
+    rows = np.diff(ends)
+    wide = np.maximum.reduceat(tf, ends[:-1]) > 255
+    keep = np.ones((len(tf), 4), bool)
+    keep[:, 1:] = np.repeat(wide, rows)[:, None]
+    data = np.ascontiguousarray(tf.astype("<u4")).view(np.uint8).reshape(-1, 4)[keep]
+    return _binary(data, np.concatenate([[0], np.cumsum(rows * np.where(wide, 4, 1))]))
+
+
+def _flat_counts(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """What _counts has packed, for rows of so many counts."""
+    held = column.to_pylist()
+    wide = np.fromiter(map(len, held), np.int64, len(held)) > rows
+    out, at = np.empty(int(rows.sum()), np.int64), np.repeat(wide, rows)
+    out[~at] = np.frombuffer(b"".join([x for x, w in zip(held, wide.tolist()) if not w]), np.uint8)
+    out[at] = np.frombuffer(b"".join([x for x, w in zip(held, wide.tolist()) if w]), "<u4")
+    return out
+
+
 class _Segment:
     def __init__(self, number: int):
         self.number, self.at = number, {}
@@ -90,14 +110,14 @@ class _Segment:
         tf = np.concatenate([f[1] for f in self.found])
         doc = np.repeat(place, [len(f[0]) for f in self.found])
         by = np.lexsort((doc, term))
-        doc, tf = doc[by].astype(np.uint16), tf[by].astype(np.uint32)
+        doc, tf = doc[by].astype(np.uint16), tf[by]
         cut = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.at)))])
         words = list(self.at)
         for k in range(0, len(words), 50_000):
             ends = cut[k : k + 50_001]
             part = slice(ends[0], ends[-1])
             held = words[k : k + 50_000]
-            yield self._batch(held, np.diff(ends), _binary(doc[part], 2 * (ends - ends[0])), _binary(tf[part], 4 * (ends - ends[0])), pa.nulls(len(held), pa.binary()))
+            yield self._batch(held, np.diff(ends), _binary(doc[part], 2 * (ends - ends[0])), _counts(tf[part], ends - ends[0]), pa.nulls(len(held), pa.binary()))
 
     def _batch(self, terms: list, df: np.ndarray, docs: pa.Array, tf: pa.Array, ids: pa.Array, n_docs: int = 0, n_terms: int = 0) -> pa.RecordBatch:
         every = lambda n: pa.array(np.full(len(terms), n, np.int64))
@@ -162,7 +182,7 @@ def _impacts(n_docs: int, n_terms: int):
                 if not part.num_rows:
                     continue
                 docs, rows = _flat(part.column("docs"), np.uint16)
-                tf = _flat(part.column("tf"), np.uint32)[0].astype(np.int64)
+                tf = _flat_counts(part.column("tf"), rows)
                 impact = np.repeat(part.column("weight").to_numpy(), rows) * (1_000_000_000 * tf // (1000 * tf + 20 * mean[docs]))
                 held, bits = sliced(impact, rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("segment", "term", "docs")), pa.array(bits), held, part.column("ids")], names=INDEX_NAMES)
