@@ -359,7 +359,8 @@ def jaccard_join(docs: DataFrame, **settings) -> DataFrame:
     is one shingle. Texts without a word, null ones among them, link to nothing: their class is
     their own id and they have no copies but themselves. A null id doesn't name a class while
     another id does. Repeated rows are copies of one another; other columns are not read; an empty
-    table gives no rows.
+    table gives no rows. Pairs that tie at the threshold are linked. A very long text is shingled whole by one task,
+    and compared in tiles of its own where it passes TILE_BYTES.
     """
     members, classes = linked_classes(docs, **settings)
     names = classes.groupBy("label").agg(F.min("first_id").alias("class_id"))
@@ -377,9 +378,9 @@ def jaccard_join(docs: DataFrame, **settings) -> DataFrame:
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """docs(doc_id, text, ...) with one document of each component: that of the smallest id.
 
-    Null, empty and blank texts stay. Of rows repeated with id and text one stays; a null id stays only
-    if its component has no other. Columns of any other name pass through; an empty table gives an
-    empty one.
+    Null, empty and blank texts stay. Of rows repeated with id and text one stays, of texts that tie for the smallest id that
+    with the least key; a null id stays only if its component has no other. Columns of any other name pass through; an empty table gives an
+    empty one. Very long texts are compared as jaccard_join does.
     """
     members, classes = linked_classes(docs, **settings)
     first = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "h")

@@ -167,7 +167,7 @@ def keep_good(docs: DataFrame, **settings) -> DataFrame:
 
     The verdict is computed beside the row itself (no join back), so repeated rows, ties and null ids
     are safe, and columns of any other name pass through. Null and empty texts fail the base rule of 50
-    words and go; an empty table gives an empty one. Needs a column `text`.
+    words and go; an empty table gives an empty one; very long texts are measured whole. Needs a column `text`.
     """
     columns, schema = docs.columns, docs.schema
 

@@ -372,7 +372,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
     """docs with the secret values in `text` replaced by a mark; the name of an assignment stays.
 
-    Values that overlap are replaced as one, by their union. All other columns, of any name, stay as
+    Values that overlap, or tie in where they begin, are replaced as one, by their union. A very long text is decoded whole by one task, stretch by stretch. All other columns, of any name, stay as
     they are; null and empty texts stay what they are. Rows repeated stay repeated and are redacted
     alike; an empty table gives an empty one. Needs columns text and doc_id (which may be null).
     """
