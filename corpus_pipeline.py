@@ -2,6 +2,11 @@
 
 Each stage works on all rows that its predecessor kept. The first four return the columns of
 documents, the last one a row for each packed piece.
+
+Null and empty texts fail the first stage's rule of 50 words, so later stages of a run see none; called alone,
+those keep them. Null ids pass through; repeated rows stay repeated until the second stage leaves one of them; ties go to the smallest
+id. Very long texts are read whole. Further columns of documents pass through the first four stages, whatever their names.
+An empty table, or one of which nothing is kept, gives an empty result.
 """
 
 from __future__ import annotations
