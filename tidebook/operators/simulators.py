@@ -8,6 +8,7 @@ groups and streams.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
 
 import numpy as np
@@ -350,22 +351,38 @@ class ArmDay:
         return {"net": self.risk.net, "halted": self.risk.halted, "symbols": self.states, "last": self.last}
 
 
-def _by_day(df: DataFrame, p: Strategy, lots: dict[str, int] | None, limit: float, keys: tuple[str, ...], offset_minutes: int, schema: str, tell) -> DataFrame:
-    """What tell(day, trades) gives as rows of the schema once all packets of a group are taken."""
+def _by_day(df: DataFrame, p: Strategy, lots: dict[str, int] | None, limit: float, keys: tuple[str, ...], offset_minutes: int, schema: str, trades: bool, tell) -> DataFrame:
+    """Rows of the schema: with `trades` those that packets close, then what tell(day) gives once all packets of a group are taken.
+
+    Spark sorts the packets of a task by group and time, so a task holds a batch of them and the state of one group.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names = names_of(schema)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        day, trades = ArmDay(p, lots, limit), []
-        rows = rows.sort_values(["ts", "seq"])
-        minutes = ((rows["ts"].dt.hour * 60 + rows["ts"].dt.minute + offset_minutes) % 1440).tolist()
-        for minute, symbol, ts, seq, *quote in zip(minutes, *(rows[c].tolist() for c in ("symbol", "ts", "seq", "bid", "bid_qty", "ask", "ask_qty"))):
-            trades += day.packet(symbol, ts, seq, minute, quote)
-        out = [(*key, *(r[c] for c in names)) for r in tell(day, trades)]
-        return pd.DataFrame(out, columns=[*keys, *names])
-
-    lean = df.select(*keys, "symbol", "ts", "seq", "bid", "bid_qty", "ask", "ask_qty")
-    return lean.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
+    columns = ("symbol", "ts", "seq", "bid", "bid_qty", "ask", "ask_qty")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, day = None, None
+        frame = lambda out: pd.DataFrame(out, columns=[*keys, *names])
+        rows_of = lambda told: [(*at, *(r[c] for c in names)) for r in told]
+        for rows in parts:
+            out = []
+            minutes = ((rows["ts"].dt.hour * 60 + rows["ts"].dt.minute + offset_minutes) % 1440).tolist()
+            groups = zip(*(rows[k].tolist() for k in keys))
+            for key, minute, symbol, ts, seq, *quote in zip(groups, minutes, *(rows[c].tolist() for c in columns)):
+                if day is None or key != at:
+                    out += rows_of(tell(day)) if day else []
+                    at, day = key, ArmDay(p, lots, limit)
+                closed = day.packet(symbol, ts, seq, minute, quote)
+                if closed and trades:
+                    out += rows_of(closed)
+            if out:
+                yield frame(out)
+        if day:
+            yield frame(rows_of(tell(day)))
+
+    lean = df.select(*keys, *(c for c in columns if c not in keys))
+    ordered = lean.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("ts"), F.asc_nulls_last("seq"))
+    return ordered.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
 
 
 def broker(df: DataFrame, p: Strategy, lots: dict[str, int] | None = None, limit: float = 0.0, keys: tuple[str, ...] = ("arm", "date"), offset_minutes: int = 0) -> DataFrame:
@@ -374,7 +391,7 @@ def broker(df: DataFrame, p: Strategy, lots: dict[str, int] | None = None, limit
     The symbols of an arm's day share its risk, so that day is one group and its packets are taken
     in time order, then by seq. Days run side by side.
     """
-    return _by_day(df, p, lots, limit, keys, offset_minutes, BROKER_TRADES, lambda day, trades: trades + day.close())
+    return _by_day(df, p, lots, limit, keys, offset_minutes, BROKER_TRADES, True, ArmDay.close)
 
 
 def broker_positions(df: DataFrame, p: Strategy, lots: dict[str, int] | None = None, limit: float = 0.0, keys: tuple[str, ...] = ("arm", "date"), offset_minutes: int = 0) -> DataFrame:
@@ -383,7 +400,7 @@ def broker_positions(df: DataFrame, p: Strategy, lots: dict[str, int] | None = N
     packet_at and seq are of the symbol's last packet. Take packets up to a time to see that time.
     """
     schema = POSITIONS + f", seq long, packet_at {df.schema['ts'].dataType.simpleString()}"
-    return _by_day(df, p, lots, limit, keys, offset_minutes, schema, lambda day, trades: day.positions())
+    return _by_day(df, p, lots, limit, keys, offset_minutes, schema, False, ArmDay.positions)
 
 
 def haircut(df: DataFrame, p: Strategy, keys: tuple[str, ...] = ("symbol", "date"), share: float = 1.0) -> DataFrame:
