@@ -6,7 +6,9 @@ import json
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pandas.api.types import union_categoricals
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -49,13 +51,29 @@ def pair_stream(messages: DataFrame, key: str = "symbol") -> DataFrame:
     return messages.groupBy(key).applyInPandasWithState(run, f"{key} string, bid_seq long, ask_seq long", "bid long, ask long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Rows of a sorted batch that are plain Python objects at a time.
+STEP = 10_000
+
+
+def _in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    """Rows by (ts, seq); all that is held of the frames are these columns, texts as numbers."""
+    held = [f[columns].astype({"symbol": "category"}) for f in frames]
+    symbols = union_categoricals([f["symbol"] for f in held])
+    rows = {c: np.concatenate([f[c].to_numpy() for f in held]) for c in columns if c != "symbol"}
+    held.clear()
+    order = np.lexsort((rows["seq"], rows["ts"]))
+    for k in range(0, len(order), STEP):
+        part = order[k : k + STEP]
+        yield from pd.DataFrame({c: symbols[part].astype(object) if c == "symbol" else rows[c][part] for c in columns}).itertuples(index=False, name=None)
+
+
 def broker_stream(packets: DataFrame, p: S.Strategy, lots: dict[str, int] | None = None, limit: float = 0.0, close: int = 24 * 60, late: str = "0 seconds", positions: bool = False) -> DataFrame:
-    """Trades of each arm. State of an arm is its symbols' states and its day's risk, as JSON.
+    """Trades of each arm. State of an arm's day is its symbols' states and its risk, as JSON, until the watermark has passed that day.
 
     packets: arm, symbol, ts, seq, bid, bid_qty, ask, ask_qty. A day is closed at its minute
-    `close` (local to the session's time zone): by the first packet from then on, the arm's own
-    or, through the watermark, that of any arm. Packets from `close` to midnight are left out,
-    and so are those older than the watermark. A batch's rows go by (ts, seq).
+    `close` (local to the session's time zone): by the arm's first packet of that day from then on
+    or, through the watermark, by that of any arm, of that day or a later one. Packets from `close` to
+    midnight are left out, and so are those older than the watermark. A batch's rows go by (ts, seq).
     With positions, a column kind tells trades from rows of what is held in the symbols that a batch touched.
     """
     zone = packets.sparkSession.conf.get("spark.sql.session.timeZone")
@@ -65,46 +83,48 @@ def broker_stream(packets: DataFrame, p: S.Strategy, lots: dict[str, int] | None
     if positions:
         schema += "".join(f", {c}" for c in rest.split(", ") if c.split()[0] not in known)
     names = S.names_of(schema)
+    columns = ["ts", "symbol", "seq", "bid", "bid_qty", "ask", "ask_qty"]
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"day": None, "open": False}
-        day, out, touched = S.ArmDay(p, lots, limit, held), [], set()
-
-        def tell(kind: str, rows: list[dict]) -> None:
-            out.extend({"arm": k[0], "date": held["day"], "kind": kind, **r} for r in rows)
-
-        def shut() -> None:
-            if held["open"]:
-                held["open"] = False
-                touched.update(day.states)
-                tell("trade", day.close())
-
+        held = json.loads(state.get[0]) if state.exists else {"open": True}
+        day, touched = S.ArmDay(p, lots, limit, held), set()
+
+        def frame(kind: str, rows: list[dict]) -> pd.DataFrame:
+            rows = rows if positions or kind == "trade" else []
+            told = [{"arm": k[0], "date": k[1], "kind": kind, **r} for r in rows]
+            return pd.DataFrame([tuple(r.get(c) for c in names) for r in told], columns=names, dtype=object)
+
+        def shut() -> list[dict]:
+            if not held["open"]:
+                return []
+            held["open"] = False
+            touched.update(day.states)
+            return day.close()
+
+        ends, over = ((pd.Timestamp(k[1]) + pd.Timedelta(minutes=m)).tz_localize(zone, ambiguous=False, nonexistent="shift_forward").value // 1_000_000 for m in (close, 24 * 60))
         if state.hasTimedOut:
-            shut()
+            yield frame("trade", shut())
         else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-            for ts, symbol, seq, *quote in rows[["ts", "symbol", "seq", "bid", "bid_qty", "ask", "ask_qty"]].itertuples(index=False):
-                today, minute = ts.strftime("%Y-%m-%d"), ts.hour * 60 + ts.minute
-                if today != held["day"]:
-                    shut()
-                    tell("position", day.positions(touched))
-                    held.update(day=today, open=True)
-                    day = S.ArmDay(p, lots, limit)
-                    touched.clear()
+            told = []
+            for ts, symbol, seq, *quote in _in_order(frames, columns):
+                minute = ts.hour * 60 + ts.minute
                 if minute >= close:
-                    shut()
+                    told += shut()
                 if held["open"]:
                     touched.add(symbol)
-                    tell("trade", day.packet(symbol, ts, seq, minute, tuple(map(float, quote))))
-        tell("position", day.positions(touched))
-        state.update((json.dumps({**held, **day.kept()}),))
-        if held["open"]:
-            ends = (pd.Timestamp(held["day"]) + pd.Timedelta(minutes=close)).tz_localize(zone, ambiguous=False, nonexistent="shift_forward")
-            state.setTimeoutTimestamp(max(ends.value // 1_000_000, state.getCurrentWatermarkMs() + 1))
-        told = [tuple(r.get(c) for c in names) for r in out if positions or r["kind"] == "trade"]
-        yield pd.DataFrame(told, columns=names, dtype=object)
-
-    rows = packets.withWatermark("ts", late).groupBy("arm")
+                    told += day.packet(symbol, ts, seq, minute, tuple(map(float, quote)))
+                if len(told) >= STEP:
+                    yield frame("trade", told)
+                    told = []
+            yield frame("trade", told)
+        yield frame("position", day.positions(touched))
+        if state.hasTimedOut and state.getCurrentWatermarkMs() >= over:
+            state.remove()
+            return
+        state.update((json.dumps({"open": held["open"], **day.kept()}),))
+        state.setTimeoutTimestamp(max(ends if held["open"] else over, state.getCurrentWatermarkMs() + 1))
+
+    rows = packets.withWatermark("ts", late).select("arm", F.date_format("ts", "yyyy-MM-dd").alias("date"), *columns).groupBy("arm", "date")
     return rows.applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -131,7 +151,9 @@ def telemetry(batch: DataFrame, path: str, now: float | None = None, batch_id: i
         last = F.struct(*told, (F.unix_micros("packet_at") / 1e6).alias("packet_at"))
         rows = batch.filter("kind = 'position'").groupBy("arm", "symbol").agg(F.max_by(last, F.struct("packet_at", "seq", F.expr("direction = 0"))).alias("last")).collect()
         for r in rows:
-            arms.setdefault(r["arm"], {"trades": 0, "net": 0.0}).setdefault("positions", {})[r["symbol"]] = r["last"].asDict()
+            told = arms.setdefault(r["arm"], {"trades": 0, "net": 0.0}).setdefault("positions", {})
+            if told.get(r["symbol"], r["last"])["packet_at"] <= r["last"]["packet_at"]:  # a day may be closed after the next has begun
+                told[r["symbol"]] = r["last"].asDict()
         for arm in (a for a in arms.values() if "positions" in a):
             each = arm["positions"].values()
             newest = max(each, key=lambda x: x["packet_at"])
