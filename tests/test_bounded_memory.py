@@ -1,10 +1,13 @@
 """Days and keys of any size pass through a task a batch at a time."""
 
+import datetime as dt
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidebook.operators import simulators as S
+from tidebook.streaming import live, ordered
 from tidebook.plans.simulations import _arms
 
 P = S.Strategy(entry_threshold=0.05, max_hold=20, min_hold=2, order_timeout=4, edge_margin=0.1, queue_fill=0.0, last_entry=1440)
@@ -46,3 +49,62 @@ def test_broker_takes_a_day_in_batches(spark, small, seven, limit):
         assert got == loop(rows, limit, columns) and len(got) > 20
     # A grouped map would hold the whole day in a task.
     assert "FlatMapGroupsInPandas" not in plan(trades) + plan(held)
+
+
+def test_broker_stream_deals_out_days(spark, tmp_path):
+    """An arm's days are groups of their own, so a late packet of one leaves the next as it is."""
+    at = lambda day, s: dt.datetime(2026, 6, day, 10, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    quotes = [(100.0, 100.0, 100.4, 100.0), (100.0, 900.0, 100.4, 100.0), (99.8, 900.0, 100.2, 100.0), (100.6, 100.0, 101.0, 100.0)]
+    p = S.Strategy(entry_threshold=0.05, max_hold=500, min_hold=400, order_timeout=50, edge_margin=0.0, queue_fill=0.0, stop_ticks=0.0)
+    schema = "arm string, symbol string, ts timestamp, seq long, bid double, bid_qty double, ask double, ask_qty double"
+    rows = lambda day, ks: [("a", "x", at(day, k), 10 * day + k, *quotes[k]) for k in ks]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    # Both days begin in the first file; the second has a packet of the first day, one of the second, and one of the fourth.
+    for part in (rows(1, (0, 1, 2)) + rows(2, (0, 1, 2)), rows(1, (3,)) + rows(2, (3,)) + rows(4, (0,))):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    live.run_available(live.broker_stream(feed, p, late="48 hours"), out, str(tmp_path / "state"))
+    told = sorted(tuple(r) for r in spark.read.parquet(out).select("date", "exit_seq", "exit_method", "entry_price").collect())
+    # The day before the watermark of the fourth day is closed, at its own last packet.
+    assert told == [("2026-06-01", 13, "taker_eod", 100.0)]
+
+
+def test_positions_of_an_older_day_are_not_told(spark, tmp_path):
+    """A day that is closed after the next has begun leaves the newer position in the snapshot."""
+    from tidebook.sources.logs import read_snapshot
+
+    schema = "kind string, arm string, " + S.POSITIONS + ", seq long, packet_at timestamp, net_pnl double"
+    row = lambda day, side: ("position", "a", "x", side, 1.0, 1.0, 550, 0.0, 0, False, 0, 0, 0, 0, 0.0, 0.0, False, day, dt.datetime(2026, 6, day), None)
+    path = str(tmp_path / "live.json")
+    for day, side in ((1, 1), (2, -1), (1, 0)):
+        live.telemetry(spark.createDataFrame([row(day, side)], schema), path)
+    assert read_snapshot(path)["arms"]["a"]["positions"]["x"]["direction"] == -1
+
+
+class Sizes(ordered.Numbered):
+    """Tells how many packets a fold gets at once."""
+
+    adds = "n long, gap_s double, at_once long"
+
+    @staticmethod
+    def step(rows, held):
+        out, held = ordered.Numbered.step(rows, held)
+        return out.assign(at_once=len(rows)), held
+
+
+def test_ordered_packets_are_held_by_slots(spark, tmp_path):
+    key, store = ordered.STORE
+    spark.conf.set(key, store)
+    try:
+        t0, schema, folder = dt.datetime(2024, 3, 1, 9, tzinfo=dt.timezone.utc), "symbol string, ts timestamp, seq long", str(tmp_path / "in")
+        at = lambda k: ("A", t0 + dt.timedelta(seconds=k), k)
+        shuffled = [at((k * 37) % 1000) for k in range(1000)]
+        for part in (shuffled[:500] + shuffled[:100], shuffled[500:] + shuffled[200:300], [at(1055)], [at(5000)]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        live.run_available(ordered.ordered_stream(feed, "1000 seconds", fold=Sizes, slot=20), str(tmp_path / "out"), str(tmp_path / "state"))
+        rows = spark.read.parquet(str(tmp_path / "out")).orderBy("n").collect()
+    finally:
+        spark.conf.unset(key)
+    assert [(r["n"], r["seq"]) for r in rows] == [(k + 1, k) for k in range(1000)] + [(1001, 1055)]
+    assert max(r["at_once"] for r in rows) == 20
