@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,32 @@ def test_ordered_packets_are_held_by_slots(spark, tmp_path):
         spark.conf.unset(key)
     assert [(r["n"], r["seq"]) for r in rows] == [(k + 1, k) for k in range(1000)] + [(1001, 1055)]
     assert max(r["at_once"] for r in rows) == 20
+
+
+def test_rolling_z_is_the_windows(spark):
+    """Digit by digit, with gaps, constant stretches and across blocks; p23 has no sliding window left."""
+    from tidebook.functions import columns as C
+    from tidebook.operators import recurrences as R
+    from tidebook.plans import QUERIES
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(0, 3, 400), 2)
+    x[rng.random(400) < 0.2] = np.nan
+    x[200:330] = 1.5
+    rows = [("a", dt.date(2024, 1, 1), k, k, None if np.isnan(v) else float(v)) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, date date, ts long, seq long, x double")
+    want = [r["z"] for r in df.withColumn("z", C.zscore(F.col("x"), C.session(), 100, 20)).orderBy("seq").collect()]
+    before, R.BLOCK = R.BLOCK, 64
+    try:
+        got = R.rolling_z(x, 100, 20)
+    finally:
+        R.BLOCK = before
+    assert [None if np.isnan(v) else v for v in got] == want and sum(v is not None for v in want) > 200
+    assert "stddev_samp" not in plan(QUERIES["p23_data_driven_composite"](spark, "/root/testdata/sf0.001")).split("Subquery")[0]
+
+
+def test_report_joins_trades_once(spark, small):
+    from tidebook.plans import QUERIES
+
+    for name in ("u10_arm_report", "u8_paired_bootstrap", "u7_pbo"):
+        assert "lineitem" not in plan(QUERIES[name](spark, small))

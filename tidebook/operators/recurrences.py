@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidebook.functions.columns import SESSION
+from tidebook.functions.columns import EPS, SESSION
 
 
 def _grouped(df: DataFrame, keys: tuple[str, ...], added: str, work):
@@ -40,6 +40,51 @@ def emas(df: DataFrame, values: dict[str, str], span: int, keys: tuple[str, ...]
     return _grouped(df, keys, ", ".join(f"{n} double" for n in values.values()), work)
 
 
+#: Rows whose rolling values are worked out at once.
+BLOCK = 1 << 14
+
+
+def rolling_z(x: np.ndarray, n: int, least: int) -> np.ndarray:
+    """functions.columns.zscore of a session's values, NaN where there is none.
+
+    Each window is added up oldest first, as Spark's windows do, but those of a block of rows side by side.
+    """
+    padded, out = np.concatenate([np.full(n - 1, np.nan), x]), np.empty(len(x))
+    for first in range(0, len(x), BLOCK):
+        size = min(BLOCK, len(x) - first)
+        held, total, mean, square = np.zeros((4, size))
+        for k in range(n):
+            value = padded[first + k : first + k + size]
+            there = ~np.isnan(value)
+            held += there
+            total += np.where(there, value, 0.0)
+            apart = np.where(there, value - mean, 0.0)
+            step = apart / np.maximum(held, 1.0)
+            mean += step
+            square += apart * (apart - step)
+        sd = np.sqrt(square / np.maximum(held - 1, 1.0))
+        z = (x[first : first + size] - total / np.maximum(held, 1.0)) / (np.where(sd < 1e-12, 0.0, sd) + EPS)
+        out[first : first + size] = np.where(held >= max(least, 2), z, np.nan)
+    return out
+
+
+def mean_z_ema(df: DataFrame, signals: tuple[str, ...], chosen: str, name: str, n: int, least: int, span: int, keys: tuple[str, ...] = SESSION) -> DataFrame:
+    """keys, ts, seq and the exponential mean of the mean rolling z of those signals whose bit is set in `chosen`, alike in all rows."""
+    kept = [*keys, *(c for c in ("ts", "seq") if c not in keys)]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + f", `{name}` double"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "seq"])
+        on = [s for i, s in enumerate(signals) if int(rows[chosen].iloc[0]) >> i & 1]
+        raw = np.zeros(len(rows))
+        for s in on:
+            raw = raw + rolling_z(rows[s].to_numpy(float), n, least)
+        raw = pd.Series(raw / max(len(on), 1), rows.index)
+        return rows[kept].assign(**{name: raw.ewm(span=span, adjust=False).mean()})
+
+    return df.select(*kept, *signals, chosen).groupBy(*keys).applyInPandas(run, schema)
+
+
 def kalman_levels(z: np.ndarray, dt: np.ndarray, q: float, r: float, dt0: float, state: tuple[float, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Level and velocity of a constant-velocity filter.
 

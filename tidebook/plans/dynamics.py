@@ -113,10 +113,9 @@ def p23_data_driven_composite(spark, d):
     q = X.tick_through(X.forward(X.flow_first(X.microprice(mids(spark, d))), (10,)))
     summary = E.ic_summary(E.signal_ic(q, _P23, (10,), least=20))
     best = summary.orderBy(F.desc_nulls_last(F.abs("icir")), "signal").limit(3).agg(F.collect_list("signal"))
-    w, top = C.session(), F.col("_top")
-    z = sum((F.when(F.array_contains(top, c), C.zscore(F.col(c).cast("double"), w, 100, 20)).otherwise(0.0) for c in _P23), F.lit(0.0))
-    df = q.withColumn("_top", best.scalar()).withColumn("raw", z / F.greatest(F.size(top), F.lit(1))).select("symbol", "date", "ts", "seq", "raw")
-    return shown(R.ema(df, "raw", "data_driven_eq", span=100), KEYS, "data_driven_eq", digits=4)
+    chosen = sum((F.array_contains("_top", c).cast("int") * (1 << i) for i, c in enumerate(_P23)), F.lit(0))
+    df = q.withColumn("_top", best.scalar()).withColumn("_chosen", chosen).withColumns({c: F.col(c).cast("double") for c in _P23})
+    return shown(R.mean_z_ema(df, _P23, "_chosen", "data_driven_eq", 100, 20, 100), KEYS, "data_driven_eq", digits=4)
 
 
 def _p24_sql() -> str:
