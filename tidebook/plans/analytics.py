@@ -324,11 +324,10 @@ def u6_deflated_sharpe(spark, d):
 
 @query(D + N.overfit("daily") + f" SELECT n_splits, {rounded('pbo', 'median_logit', digits=5)} FROM pb")
 def u7_pbo(spark, d):
-    return shown(E.pbo(V.daily(spark, d)), ("n_splits",), "pbo", "median_logit", digits=5)
+    return shown(E.pbo(V.kept_daily(spark, d)), ("n_splits",), "pbo", "median_logit", digits=5)
 
 
-def _diffs(spark, d):
-    day = V.daily(spark, d)
+def _diffs(day):
     base = day.filter("arm = '1-URGENT'").select("day", F.col("pnl").alias("base"))
     return day.filter("arm <> '1-URGENT'").join(base, "day").select("arm", "day", (F.col("pnl") - F.col("base")).alias("diff"))
 
@@ -344,7 +343,7 @@ _DRAWS = 10_000
     + f" SELECT arm, n, {rounded('mean', 't', 'low', 'high', 'p_gt0', digits=4)} FROM (SELECT arm, count(*) AS n, avg(diff) AS mean, avg(diff) / (stddev_samp(diff) / sqrt(count(*))) AS t FROM di GROUP BY arm) JOIN bs USING (arm)"
 )
 def u8_paired_bootstrap(spark, d):
-    return shown(E.bootstrap(_diffs(spark, d), ("arm",), "diff", "day", _DRAWS), ("arm", "n"), "mean", "t", "low", "high", "p_gt0", digits=4)
+    return shown(E.bootstrap(_diffs(V.kept_daily(spark, d)), ("arm",), "diff", "day", _DRAWS), ("arm", "n"), "mean", "t", "low", "high", "p_gt0", digits=4)
 
 
 @query(
@@ -378,12 +377,13 @@ def u10_arm_report(spark, d):
 
     The verdict is the sign of the interval of the difference from the base arm.
     """
-    daily, x = V.daily(spark, d), F.col("pnl")
+    kept, x = V.kept_daily(spark, d), F.col("pnl")
+    daily = kept.select("arm", "day", "pnl")
     over = daily.groupBy("arm").agg(F.sum(x).alias("total"), F.avg(x).alias("mean_day"), F.stddev_samp(x).alias("std_day"), F.min(x).alias("worst"), F.max(x).alias("best"), F.try_divide(F.max(x), F.sum(x)).alias("concentration"))
-    trades = V.trades(spark, d).groupBy("arm").agg(F.count("*").alias("trades"), F.avg(F.when(F.col("net_pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"))
+    trades = kept.groupBy("arm").agg(F.sum("trades").alias("trades"), (F.sum("wins") / F.sum("trades")).alias("win_rate"))
     base = daily.filter("arm = '1-URGENT'").select("day", x.alias("base"))
     corr = daily.join(base, "day").groupBy("arm").agg(C.correlation("pnl", "base").alias("base_corr"))
-    diff = E.bootstrap(_diffs(spark, d), ("arm",), "diff", "day", _DRAWS).select("arm", "low", "high")
+    diff = E.bootstrap(_diffs(daily), ("arm",), "diff", "day", _DRAWS).select("arm", "low", "high")
     out = E.deflated(daily).join(over, "arm").join(trades, "arm").join(corr, "arm", "left").join(diff, "arm", "left").crossJoin(F.broadcast(E.pbo(daily).select("pbo")))
     out = out.withColumn("verdict", F.when(F.col("low") > 0, "real").when(F.col("high") < 0, "worse").when(F.col("low").isNotNull(), "inconclusive"))
     columns = ("total", "mean_day", "std_day", "sharpe", "skew", "kurt", "worst", "best", "win_rate", "psr", "dsr", "concentration", "base_corr", "pbo")

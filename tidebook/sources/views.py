@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import shared_folder
+
 LEVELS = 20
 TICK = 0.05
 
@@ -109,6 +111,18 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("arm", F.date_format("date", "yyyy-MM").alias("day")).agg(F.round(F.sum("net_pnl"), 2).alias("pnl"))
 
 
+def kept_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """daily with the numbers of trades and of wins, written to the shared folder: a row an arm and month.
+
+    For plans that read it several times, each of which would join the trades once more.
+    """
+    t = trades(spark, sf_dir)
+    day = t.groupBy("arm", F.date_format("date", "yyyy-MM").alias("day")).agg(F.round(F.sum("net_pnl"), 2).alias("pnl"), F.count("*").alias("trades"), F.count_if(F.col("net_pnl") > 0).alias("wins"))
+    path = shared_folder(spark, "daily")
+    day.write.parquet(path)
+    return spark.read.schema(day.schema).parquet(path)
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, hour, close: the last clean mid of each hour; empty hours are left out."""
     t = ticks(spark, sf_dir).filter("mid > 0")
