@@ -48,6 +48,8 @@ PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 l
 LETTERS, NUMERALS, BLANK = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
 PARTS = re.compile(f"[{LETTERS}]+|[{NUMERALS}]|'(?:s|t|re|ve|m|ll|d)|[^{BLANK}{LETTERS}{NUMERALS}]+")
 BEYOND = re.compile("[^\u0000-\u00ff]")
+#: New parts that the tokenizer gets as one text.
+JOINED = 64
 
 
 def parts_of(text: str) -> list[str]:
@@ -75,18 +77,42 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() if suffix else 0, bool)
+        self.ends[[i for s, i in self.tokenizer.get_vocab().items() if suffix and s.endswith(suffix)]] = True
         self.numbers = Numbers(parts_of, self._learn, most=500_000)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
 
-    def _learn(self, parts: list[str], first: int) -> None:
+    def _alone(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts in turn, and how many belong to each.
+
+        Parts within Latin-1 are one word each, so many are encoded as one text with spaces between, and the ids that end
+        a word tell them apart. Where these are not as many as the parts, or characters are beyond, each is encoded alone.
+        """
+        if not len(self.ends):
+            return self._alone(parts)
+        groups = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+        texts, out = [" ".join(g) for g in groups], []
+        for group, text, found in zip(groups, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            flat = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[flat]) + 1
+            plain = len(ends) == len(group) and ends[-1] == len(flat) and not BEYOND.search(text) and not (self.special and self.special.search(text))
+            out.append((flat, np.diff(ends, prepend=0)) if plain else self._alone(group))
+        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+    def _learn(self, parts: list[str], first: int) -> None:
+        flat, sizes = self._encoded(parts)
         used = int(self.begin[first - 1] + self.count[first - 1]) if first else 0
         total, last = int(sizes.sum()), first + len(parts)
         self.ids, self.begin, self.count = grown(self.ids, used + total), grown(self.begin, last), grown(self.count, last)
-        self.ids[used : used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
+        self.ids[used : used + total] = flat
         self.begin[first:last] = used + np.cumsum(sizes) - sizes
         self.count[first:last] = sizes
 
