@@ -52,6 +52,38 @@ def test_broker_takes_a_day_in_batches(spark, small, seven, limit):
     assert "FlatMapGroupsInPandas" not in plan(trades) + plan(held)
 
 
+@pytest.mark.parametrize("kind", ["int", "bigint", "double"])
+def test_broker_arms_may_be_numbers(spark, small, seven, kind):
+    """Arms with numbers for names, one of them without, trade as those with texts do."""
+    quotes = _arms(spark, small).filter("date < '2024-01-05'").withColumn("arm", F.when(F.col("arm") == "expanded", F.col("symbol")))
+    # Neighbours beyond 2^53 are one number to a double.
+    number = F.when(F.col("arm").isNotNull(), F.lit(2**53 if kind == "bigint" else -1) + F.locate("k", "arm") % 3 + F.length("arm")).cast(kind)
+    numbered = quotes.withColumn("arm", number)
+    name = {r["number"]: r["arm"] for r in quotes.select("arm", number.alias("number")).distinct().collect()}
+    for op, columns in ((S.broker, ("symbol", "exit_seq", "exit_method", "net_pnl")), (S.broker_positions, ("symbol", "seq", "trades", "day_net"))):
+        found = op(numbered, P, limit=-2000.0)
+        assert dict(found.dtypes)["arm"] == kind
+        got = sorted(str((name[r["arm"]], *r[1:])) for r in found.select("arm", "date", *columns).collect())
+        want = sorted(str(tuple(r)) for r in op(quotes, P, limit=-2000.0).select("arm", "date", *columns).collect())
+        assert got == want and any(r.startswith("(None") for r in got)
+
+
+def test_zeros_and_nans_are_arms_of_their_own(spark):
+    """-0.0 is the arm 0.0, as for a grouping; missing arms and NaN are not mixed."""
+    at = dt.datetime(2024, 3, 1, 10)
+    rows = [(arm, "2024-03-01", "x", at + dt.timedelta(seconds=k), k, 100.0, 900, 100.4, 100) for k, arm in enumerate([0.0, -0.0, None, None, float("nan"), float("nan"), float("nan")])]
+    df = spark.createDataFrame(rows, "arm double, date string, symbol string, ts timestamp, seq long, bid double, bid_qty long, ask double, ask_qty long")
+    assert sorted((str(r["arm"]), r["seq"]) for r in S.broker_positions(df, P).collect()) == [("0.0", 1), ("None", 3), ("nan", 6)]
+
+
+def test_no_query_of_the_broker_holds_a_day(spark, small):
+    from tidebook.plans import QUERIES
+
+    for name in ("e3_broker", "e4_day_risk", "e5_replay", "e6_fill_haircut", "e12_live_positions"):
+        text = plan(QUERIES[name](spark, small))
+        assert "MapInPandas" in text and "FlatMapGroupsInPandas" not in text, name
+
+
 def test_broker_stream_deals_out_days(spark, tmp_path):
     """An arm's days are groups of their own, so a late packet of one leaves the next as it is."""
     at = lambda day, s: dt.datetime(2026, 6, day, 10, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)

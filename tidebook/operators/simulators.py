@@ -380,9 +380,12 @@ def _by_day(df: DataFrame, p: Strategy, lots: dict[str, int] | None, limit: floa
         if day:
             yield frame(rows_of(tell(day)))
 
-    lean = df.select(*keys, *(c for c in columns if c not in keys))
+    # Numbers go through pandas as texts: beside a null they would all be floats there, and no missing one equals the next.
+    numbers = [k for k in keys if kinds[k] in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+    lean = df.select(*keys, *(c for c in columns if c not in keys)).withColumns({k: (F.col(k) + F.lit(0).cast(kinds[k])).cast("string") for k in numbers})
     ordered = lean.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("ts"), F.asc_nulls_last("seq"))
-    return ordered.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
+    told = ordered.mapInPandas(run, ", ".join(f"{k} {'string' if k in numbers else kinds[k]}" for k in keys) + ", " + schema)
+    return told.withColumns({k: F.col(k).cast(kinds[k]) for k in numbers})
 
 
 def broker(df: DataFrame, p: Strategy, lots: dict[str, int] | None = None, limit: float = 0.0, keys: tuple[str, ...] = ("arm", "date"), offset_minutes: int = 0) -> DataFrame:
